@@ -16,33 +16,28 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: What parts words: ASCII but for digits and letters (either case: A-Z become a-z).
-BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What parts words once A-Z are a-z: ASCII but for digits and small letters.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE = 3
 END = -1
 
 
-def raw_words(text: Column) -> Column:
-    """Words in the letter case of the text; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), BETWEEN, -1), lambda w: w != "")
-
-
-def ascii_lower(words: Column) -> Column:
-    return F.transform(words, lambda w: F.translate(w, UPPER, LOWER))
+def lower_words(text: Column) -> Column:
+    """Words with A-Z, and no other letters, in lower case; none for null."""
+    text = F.coalesce(text, F.lit(""))
+    # lower() is faster and the same where all is ASCII
+    low = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return F.filter(F.split(low, BETWEEN, -1), lambda w: w != "")
 
 
 def shingle_hash(words: Column, at: Column, n: int) -> Column:
-    """Hash of ``n`` words from 0-based ``at``.
-
-    lower() folds more letters than A-Z and folds equal words equally, so no match is lost; the words
-    themselves are compared later.
-    """
-    return F.xxhash64(F.lit(n), *[F.lower(F.get(words, at + k)) for k in range(n)])
+    """Hash of ``n`` words from 0-based ``at``."""
+    return F.xxhash64(F.lit(n), *[F.get(words, at + k) for k in range(n)])
 
 
 def item_windows(items: DataFrame, window: int) -> DataFrame:
     """(item_id, win, len): the distinct windows of each item."""
-    words = items.select("item_id", ascii_lower(raw_words(F.col("text"))).alias("words")).where(F.size("words") > 0)
+    words = items.select("item_id", lower_words(F.col("text")).alias("words")).where(F.size("words") > 0)
     n = F.size("words")
     first = F.explode(F.sequence(F.lit(0), F.greatest(n - window, F.lit(0))))
     wins = words.select("item_id", "words", first.alias("at")).select("item_id", F.slice("words", F.col("at") + 1, window).alias("win"))
@@ -82,7 +77,7 @@ def decontaminate(
         n = max(1, math.ceil(df.count() * width / broadcast_bytes))
         return [df.where(F.pmod(F.xxhash64(key), F.lit(n)) == b) if n > 1 else df for b in range(n)]
 
-    words = docs.select("doc_id", F.xxhash64("text").alias("text_key"), raw_words(F.col("text")).alias("words"))
+    words = docs.select("doc_id", F.xxhash64("text").alias("text_key"), lower_words(F.col("text")).alias("words"))
     words = words.withColumn("n_words", F.size("words"))
     # the position after the last word carries END, which keeps a row of every document in the join below
     placed = words.select("*", F.explode(F.sequence(F.lit(0), F.col("n_words"))).alias("pos"))
@@ -106,7 +101,8 @@ def decontaminate(
     )
     prefix = scratch.table(prefix, "prefix")
 
-    # 3. Join, bound, verify.  The first join also meets the END of each document.
+    # 3. Join, bound, verify, within one generated loop over the positions: a position's row exists only
+    # if it joins, so the words of a document are not copied for each.  The first join also meets the END of each document.
     end = prefix.sparkSession.range(1).select(
         F.array().cast("array<string>").alias("win"), F.lit(0).cast("bigint").alias("df"), F.lit(0).alias("off"), F.lit(END).alias("shingle"),
         F.array().cast(prefix.schema["items"].dataType).alias("items"), F.lit(0).alias("len"), F.lit(0).alias("k"),
@@ -119,7 +115,7 @@ def decontaminate(
             side = side.unionByName(end) if rows is None else side
             found = part.join(F.broadcast(side), "shingle").where((at >= 0) & (at + F.col("len") <= F.col("n_words")))
             found = found.where((F.col("len") > 0) | (F.col("pos") == F.col("n_words")))
-            found = found.where(ascii_lower(F.slice("words", at + 1, F.col("len"))) == F.col("win"))
+            found = found.where(F.slice("words", F.greatest(at + 1, F.lit(1)), F.col("len")) == F.col("win"))
             found = found.select("doc_id", "text_key", at.alias("start"), "len", "items", "n_words")
             rows = found if rows is None else rows.unionByName(found)
     if rows is None:  # no windows at all

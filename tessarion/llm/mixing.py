@@ -20,7 +20,7 @@ from pyspark.sql.window import Window as W
 from .common import WORD, Scratch, unit_draw
 
 ROUNDS = 24  # of the swap-or-not permutation
-CHUNK = 4096  # documents whose prefix sums one window computes, about
+CHUNK = 512  # documents whose prefix sums one window computes, about
 
 
 def permuted(x: Column, n: Column, key: Column, inverse: bool = False) -> Column:

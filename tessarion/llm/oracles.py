@@ -41,3 +41,30 @@ SELECT v.vec_id, CAST((SELECT count(*) FROM link WHERE link.a = v.vec_id) AS BIG
        least(v.vec_id, coalesce((SELECT min(r) FROM reach WHERE reach.v = v.vec_id), v.vec_id)) = v.vec_id AS kept
 FROM v
 """
+
+ORACLES["op4_substring_dedup"] = r"""
+WITH dw AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM dw WHERE len(w) >= 50)),
+first AS (SELECT h, min(doc_id) AS least FROM win GROUP BY h),
+gone AS (
+  SELECT DISTINCT doc_id, p FROM (SELECT win.doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN first USING (h) WHERE win.doc_id > least)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM dw),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text FROM words WHERE (doc_id, p) NOT IN (SELECT (doc_id, p) FROM gone) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM dw LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES["op9_warc_round_trip"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest FROM p),
+g AS (SELECT payload_digest, payload_bytes, max(page_id) AS original, count(*) AS n FROM d GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN n > 1 AND payload_bytes >= 1000 AND page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n > 1 AND payload_bytes >= 1000 AND page_id <> original THEN original END AS refers_to
+FROM d JOIN g USING (payload_digest, payload_bytes)
+"""

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -58,7 +59,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts and the offsets between them; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pa.compute.fill_null(texts, "").cast(pa.large_string())
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
     if not len(texts):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, off, data = texts.buffers()
@@ -97,7 +98,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
     for b in batches:
         if not b.num_rows:
             continue
-        size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
         at = 0
         while at < b.num_rows:
             done = size[at - 1] if at else 0
