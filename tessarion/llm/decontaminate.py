@@ -131,3 +131,10 @@ def decontaminate(
     )["n"]
     out = merged.select("doc_id", "text_key", F.col("n_words").cast("bigint"), n_hit.cast("bigint").alias("n_hit"), F.array_sort(F.transform("items", lambda i: i.cast("string"))).alias("item_ids"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy"))
     return out.drop("copy")
+
+
+def clean_documents(spark: SparkSession, docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """Rows of ``docs`` without a hit, all columns as they are."""
+    found = decontaminate(spark, docs, items, **options)
+    hit = Scratch(spark, "clean").table(found.where("n_hit > 0").select("doc_id", F.col("text_key").alias("__text_key")).distinct(), "hit")
+    return docs.withColumn("__text_key", F.xxhash64("text")).join(hit, ["doc_id", "__text_key"], "left_anti").select(*docs.columns)

@@ -208,13 +208,14 @@ def training_rows(docs: DataFrame, scratch: Scratch, per_label: int, chars: int)
     return [(t, lang) for lang in sorted(out) for t in out[lang][:per_label]]
 
 
-def detect_languages(spark: SparkSession, docs: DataFrame, *, per_label: int = 500, chars: int = 1024) -> DataFrame:
+def detect_languages(spark: SparkSession, docs: DataFrame, *, per_label: int = 500, chars: int = 1024, carry: bool = False) -> DataFrame:
     """Per document row: doc_id, held_out, lang_pred, score.
 
     docs (doc_id, text, lang).  Learns from at most ``per_label`` rows a language, none of them held out;
     predicts from the text alone.  Texts that are null or have no letter are ``und`` with score 0, and so
     are all texts if there is nothing to learn from.  Rows without lang are predicted but not learnt from;
     repeated rows are predicted alike; an empty table gives an empty result; other columns are ignored.
+    With ``carry`` the whole input row comes along as the struct column ``doc``.
     """
     scratch = Scratch(spark, "language")
     net = train(training_rows(docs.select("doc_id", "text", "lang"), scratch, per_label, chars))
@@ -226,14 +227,18 @@ def detect_languages(spark: SparkSession, docs: DataFrame, *, per_label: int = 5
             else:
                 best, score = classify(net, b.column("text"))
             names = [None if k < 0 else net.labels[k] for k in best]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("letters"), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["doc_id", "letters", "label", "p"])
+            kept = [c for c in b.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(names, pa.string()), pa.array(score, pa.float64())], [*kept, "label", "p"])
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    raw = docs.select("doc_id", letters.alias("letters"), "text").mapInArrow(predict, "doc_id bigint, letters boolean, label string, p double")
+    rows = docs.select("doc_id", letters.alias("letters"), "text", *([F.struct("*").alias("doc")] if carry else []))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
+    raw = rows.mapInArrow(predict, f"{kinds}, label string, p double")
     good = F.col("letters") & F.col("label").isNotNull()
     return raw.select(
         "doc_id",
         (doc_crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"),
         F.when(good, F.col("label")).otherwise(F.lit(UNKNOWN)).alias("lang_pred"),
         F.when(good, F.col("p")).otherwise(F.lit(0.0)).alias("score"),
+        *(["doc"] if carry else []),
     )
