@@ -18,8 +18,9 @@ from tessarion.llm.neardup import near_dup_classes
 from tessarion.llm.substrings import dedup_substrings
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document stays if the network gives its language at least this share of its bytes.
-LEAST_SCORE = 0.5
+#: A document stays if the network gives its language this share of its bytes, a little above chance: short
+#: texts are placed with little confidence and are no worse for it.
+LEAST_SCORE = 0.3
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
