@@ -16,6 +16,7 @@ from ..functions import markdown
 from ..functions import vocabulary as V
 from ..functions.ids import content_id
 from ..functions.phrases import ANY, clauses, confidence, has_determiner, is_concept, is_negated, is_usable, normalize_phrase, sentences, strip
+from ..functions.scratch import Scratch
 
 COMPILER_VERSION = "0.1.0"
 
@@ -228,12 +229,17 @@ class Compiled:
 
 
 def compile_artifacts(artifacts: DataFrame, *, match=relational_matches, extra_predicates: dict[str, str] | None = None) -> Compiled:
-    """Compile (artifact_id, content); ``match`` turns segments into relational matches and may be replaced."""
-    obs = observe(artifacts)
+    """Compile (artifact_id, content); ``match`` turns segments into relational matches and may be replaced.
+
+    Observations, matches, facts and entities are written once to the shared folder, since every later
+    table reads them several times.
+    """
+    keep = Scratch(artifacts.sparkSession, "compiled").table
+    obs = keep(observe(artifacts), "observations")
     segs = segment(obs)
-    found = match(segs)
+    found = keep(match(segs), "matches")
     stmts = statements(segs, found)
     scored = claims(stmts)
-    fact_rows = facts(scored, extra_predicates)
-    entity_rows = entities(segs, found)
+    fact_rows = keep(facts(scored, extra_predicates), "facts")
+    entity_rows = keep(entities(segs, found), "entities")
     return Compiled(obs, segs, stmts, entity_rows, scored, fact_rows, relations(fact_rows, entity_rows))

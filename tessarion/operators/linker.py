@@ -257,12 +257,13 @@ def link(spark: SparkSession, artifacts: DataFrame, compiled: Compiled, *, in_or
     ``in_order`` replays the rules artifact by artifact; ``rules`` are further functions of
     (facts, evidence) that return supersession edges.
     """
-    rows = assertions(artifacts, compiled)
+    keep = Scratch(spark, "linked").table
+    rows = keep(assertions(artifacts, compiled), "assertions")
     facts, proof = promote(rows), evidence(rows)
     edges, conflicts = replay(spark, rows) if in_order else rule_edges(facts, proof)
     for rule in rules:
         edges = distinct_edges(edges.unionByName(rule(facts, proof)))
-    return Memory(entity_table(artifacts, compiled.entities), facts, proof, edges, conflicts)
+    return Memory(entity_table(artifacts, compiled.entities), facts, proof, keep(edges, "edges"), keep(conflicts, "conflicts"))
 
 
 def retract(memory: Memory, fact_id: str, reason: str, author: str, on: str) -> tuple[Memory, str]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import content_id, entity_id
+from ..functions.scratch import Scratch
 from ..operators.linker import authority, rule_edges
 from ..operators.memory import Memory
 
@@ -93,11 +94,24 @@ def evidence_of(rows: DataFrame) -> DataFrame:
     return keyed.withColumn("authority", authority(F.col("artifact_type"))).withColumn("supporting", F.array().cast("array<string>"))
 
 
-def star_memory(spark: SparkSession, sf_dir: str) -> Memory:
-    rows = asserted(spark, sf_dir)
-    facts, proof = facts_of(rows), evidence_of(rows)
+def build_star_memory(spark: SparkSession, sf_dir: str) -> Memory:
+    """Ingest the star schema: all tables of memory, written to the shared folder."""
+    scratch = Scratch(spark, "star")
+    rows = scratch.table(asserted(spark, sf_dir), "asserted")
+    facts, proof = scratch.table(facts_of(rows), "facts"), scratch.table(evidence_of(rows), "evidence")
     edges, conflicts = rule_edges(facts, proof)
-    return Memory(entity_rows(spark, sf_dir), facts, proof, edges, conflicts)
+    return Memory(scratch.table(entity_rows(spark, sf_dir), "entities"), facts, proof, scratch.table(edges, "supersessions"), scratch.table(conflicts, "conflicts"))
+
+
+_stored: dict[tuple[str, str], Memory] = {}
+
+
+def star_memory(spark: SparkSession, sf_dir: str) -> Memory:
+    """The stored memory of the star schema; ingested once an application, as a memory is, and read by every query."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        _stored[key] = build_star_memory(spark, sf_dir)
+    return _stored[key]
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
