@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -148,8 +149,8 @@ def sketches(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.
         starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
         s = sampler(h, log_weights(h, tf, idf), starts)
         rows = pa.array(doc[starts])
-        packed = pa.array([x.tobytes() for x in s], pa.binary())
-        bands = mix(np.arange(BANDS, dtype=np.uint64)[None, :], 31)
+        packed = pa.array([x.tobytes() for x in s.astype(np.uint8)], pa.binary())  # a byte of each serves to rank candidates
+        bands = mix(np.arange(BANDS, dtype=np.uint64)[None, :], 31)  # a bucket's hash holds its band
         for k in range(ROWS):
             bands = mix(bands ^ s[:, k::ROWS].astype(np.uint64), 37 + k)
         lists = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), bands.ravel().view(np.int64))
@@ -162,7 +163,7 @@ def likely_links(t):
     t = t.sort_by("doc_id")
     ids = t.column("doc_id").to_numpy()
     ids, first = np.unique(ids, return_index=True)
-    s = np.frombuffer(b"".join(x.as_py() for x in t.column("samples")), np.uint32).reshape(-1, ROWS * BANDS)[first]
+    s = np.frombuffer(b"".join(x.as_py() for x in t.column("samples")), np.uint8).reshape(-1, ROWS * BANDS)[first]
     n = len(ids)
     left, right = [], []
     best, link, inside = np.full(n, -1.0), np.zeros(n, np.int64), np.zeros(n, bool)
@@ -180,9 +181,70 @@ def likely_links(t):
     return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
 
-def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text -> doc_id, its sorted shingle hashes as bytes."""
+FILTER_BITS = 1 << 26  # of the Bloom filter at most, whatever the corpus
+
+
+def filter_places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [(mix(ids.view(np.uint64), k) & np.uint64(bits - 1)).astype(np.int64) for k in (41, 43, 47)]
+
+
+def ids_of(b: pa.RecordBatch) -> np.ndarray:
+    return pc.fill_null(b.column("doc_id"), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def fill_filter(bits: int):
+    """A function for mapInArrow: the chunks of a task's Bloom filter of doc_id that are not empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.zeros(bits, bool)
+        for b in batches:
+            for places in filter_places(ids_of(b), bits):
+                mask[places] = True
+        packed = np.packbits(mask)
+        size = 8 * CHUNK
+        for k in range(0, len(packed), size):
+            if packed[k : k + size].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k // size], pa.int32()), pa.array([packed[k : k + size].tobytes()], pa.binary())], ["chunk", "bits"])
+
+    return run
+
+
+def join_filters(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bitwise or of the parts of one chunk."""
+    total, chunk = None, 0
+    for b in parts:
+        for x in b.column("bits"):
+            one = np.frombuffer(x.as_buffer(), np.uint8)
+            total = one.copy() if total is None else total | one
+        chunk = b.column("chunk")[0].as_py()
+    yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["chunk", "bits"])
+
+
+def bloom_filter(ids: DataFrame, scratch: Scratch) -> np.ndarray:
+    """A bit (as bool) for each place of the ids; what is not in it is surely not among them."""
+    n = max(1, ids.count())
+    bits = max(8 * 8 * CHUNK, min(FILTER_BITS, 1 << (16 * n).bit_length()))
+    parts = ids.mapInArrow(fill_filter(bits), "chunk int, bits binary").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
+    some = parts.groupBy("chunk", "salt").applyInArrow(join_filters, "chunk int, bits binary")
+    whole = scratch.table(some.groupBy("chunk").applyInArrow(join_filters, "chunk int, bits binary"), "filter")
+    packed = np.zeros(bits // 8, np.uint8)
+    for r in whole.collect():  # FILTER_BITS / 8 bytes at most
+        part = np.frombuffer(r["bits"], np.uint8)
+        packed[r["chunk"] * 8 * CHUNK : r["chunk"] * 8 * CHUNK + len(part)] = part
+    return packed
+
+
+def shingle_rows(batches: Iterator[pa.RecordBatch], packed: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """doc_id, text -> doc_id, its sorted shingle hashes as bytes; of documents that the filter lets pass."""
+    bits = len(packed) * 8
     for b in slices(batches):
+        ids = ids_of(b)
+        there = np.ones(len(ids), bool)
+        for places in filter_places(ids, bits):
+            there &= (packed[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1 == 1
+        b = b.filter(pa.array(there))
+        if not b.num_rows:
+            continue
         h, _, off = shingle_sets(b.column("text"))
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([h[x:y].tobytes() for x, y in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["doc_id", "shingles"])
 
@@ -228,33 +290,32 @@ def near_dup_classes(spark: SparkSession, docs: DataFrame, *, threshold: float =
         keyed.select("doc_id", F.unhex(F.substring("key", 1, 32)).alias("key"), "text").mapInArrow(lambda it: sketches(it, shared.value), "doc_id bigint, key binary, samples binary, bands array<bigint>"),
         "sketches",
     )
-    texts = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    texts = scratch.table(texts, "texts")
-
-    # one row a distinct text; buckets with more than one of them
-    one = rows.groupBy("key").agg(F.min(F.struct("doc_id", "samples", "bands")).alias("r")).select("r.*")
-    one = scratch.table(one, "distinct")
-    banded = one.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
-    buckets = banded.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1")
-    buckets = scratch.table(buckets.withColumn("parts", F.ceil(F.col("n") / PART)), "buckets")
-    members = one.select("doc_id", "samples", F.posexplode("bands").alias("band", "bucket")).join(buckets, ["band", "bucket"])
-    own = F.pmod(F.xxhash64("doc_id", "band"), F.col("parts"))
+    # one row a distinct text.  Joins of tables that grow with the corpus are merge joins at every size.
+    one = rows.groupBy("key").agg(F.min(F.struct("doc_id", "samples", "bands")).alias("r"), F.count("*").alias("copies"))
+    one = scratch.table(one.select("key", "copies", "r.*"), "distinct")
+    scratch.drop(rows)
+    banded = one.select("doc_id", F.explode("bands").alias("bucket"))
+    buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1")
+    buckets = scratch.table(buckets.select("bucket", "least", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "buckets")
+    members = banded.join(buckets.hint("merge"), "bucket")
+    own = F.pmod(F.xxhash64("doc_id", "bucket"), F.col("parts")).cast("int")
     # the least member goes to every part
-    part = F.when(F.col("doc_id") == F.col("least"), F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).otherwise(F.array(own))
-    members = members.select("band", "bucket", F.explode(part).alias("part"), "doc_id", "samples")
-    pairs = members.groupBy("band", "bucket", "part").applyInArrow(likely_links, "a bigint, b bigint").distinct()
+    part = F.when(F.col("doc_id") == F.col("least"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))
+    members = members.select("bucket", F.explode(part).alias("part"), "doc_id").join(one.select("doc_id", "samples").hint("merge"), "doc_id")
+    pairs = members.groupBy("bucket", "part").applyInArrow(likely_links, "a bigint, b bigint").distinct()
     pairs = scratch.table(pairs, "pairs")
 
-    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = docs.join(ends, "doc_id").mapInArrow(shingle_rows, "doc_id bigint, shingles binary").groupBy("doc_id").agg(F.min("shingles").alias("shingles"))
-    sets = scratch.table(sets, "sets")
-    side = lambda end, name: sets.select(F.col("doc_id").alias(end), F.col("shingles").alias(name))
+    # shingles of the documents in pairs only: a filter of bounded size stands for their ids
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    chosen = spark.sparkContext.broadcast(bloom_filter(ends, scratch))
+    sets = scratch.table(docs.mapInArrow(lambda it: shingle_rows(it, chosen.value), "doc_id bigint, shingles binary"), "sets")
+    side = lambda end, name: sets.select(F.col("doc_id").alias(end), F.col("shingles").alias(name)).hint("merge")
     links = pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y").mapInArrow(lambda it: verify(it, shared.value, threshold), "a bigint, b bigint")
-    links = scratch.table(links, "links")
+    links = scratch.table(links.distinct(), "links")
     scratch.drop(sets)
     classes = connected_components(links, scratch)
     degree = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("links"))
-    texts = texts.join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(degree, "doc_id", "left")
+    texts = one.select("key", "doc_id", "copies").join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(degree, "doc_id", "left")
     texts = scratch.table(texts.select("key", "copies", F.coalesce("component", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")), "classes")
     out = keyed.select("doc_id", F.unhex(F.substring("key", 1, 32)).alias("key")).join(texts, "key", "left")
     return out.select(
