@@ -21,10 +21,10 @@ def inferred_type(stem: Column) -> Column:
 
 
 def _files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    rows = reader.text(path).select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("path"))
+    rows = reader.text(path, wholetext=True).select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("path"))
     name = F.element_at(F.split("path", "/"), -1)
     return rows.withColumn("file", name).withColumn("stem", F.regexp_replace(name, r"\.[^.]*$", ""))
 

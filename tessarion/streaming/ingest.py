@@ -70,7 +70,7 @@ def markdown_stream(spark: SparkSession, folder: str) -> DataFrame:
     from ..functions.ids import content_id
     from ..sources.files import inferred_type
 
-    rows = spark.readStream.schema("value string").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder)
+    rows = spark.readStream.schema("value string").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     rows = rows.select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("source"))
     rows = rows.withColumn("type", inferred_type(F.regexp_replace(F.element_at(F.split("source", "/"), -1), r"\.[^.]*$", "")))
     return rows.select(content_id("artifact", "type", "content").alias("artifact_id"), "type", "source", "content", F.lit("").alias("recorded_at"), F.xxhash64("source").alias("ingest_seq"))
