@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import vocabulary as V
-from .operators import apps, compiler, linker, prose
+from .operators import apps, compiler, linker, prose, reports
 from .operators import belief as B
 from .operators import memory as M
 from .operators.memory import Memory
@@ -60,7 +60,7 @@ def main(argv: list[str] | None = None, out=sys.stdout) -> int:
     verb("pull", "folder", "--checkpoint", checkpoint={"required": True})
     for name in ("ask", "explain", "timeline", "dependents"):
         verb(name, "name")
-    for name in ("health", "brief", "stats", "decisions"):
+    for name in ("health", "brief", "stats", "decisions", "serve"):
         verb(name)
     verb("correct", "fact", "--reason", "--author", "--on", reason={"required": True}, author={"default": "unknown"}, on={"required": True})
     verb("check", "triples", triples={"nargs": "+"})
@@ -103,9 +103,11 @@ def main(argv: list[str] | None = None, out=sys.stdout) -> int:
     elif a.verb == "decisions":
         show(B.decisions(m).orderBy("subject", "object"), out)
     elif a.verb == "brief":
-        for title, rows in apps.brief(m).items():
-            print(title.upper(), file=out)
-            show(rows, out)
+        print(reports.brief_text(apps.brief(m)), file=out)
+    elif a.verb == "serve":
+        from .server import Tools, serve
+
+        serve(Tools(spark, a.memory), out=out)
     elif a.verb == "correct":
         after, artifact = linker.retract(m, a.fact, a.reason, a.author, a.on)
         after.save(a.memory)
@@ -117,25 +119,22 @@ def main(argv: list[str] | None = None, out=sys.stdout) -> int:
             print(e, file=sys.stderr)
             return 2
         bad, unknown = apps.check_compliance(m, spark.createDataFrame(triples, "subject string, predicate string, object string"))
-        rows = bad.collect()
-        print(f"checked {len(triples)} relationship(s): {len(rows)} violation(s), {unknown.count()} with no applicable rule", file=out)
-        for r in rows:
-            print(f"  VIOLATION  {r['subject']} {r['predicate']} {r['object']} is forbidden by {', '.join(x[:16] for x in r['established_by'])} ({r['established_at']})", file=out)
-        return 1 if rows else 0
+        print(reports.compliance_summary(len(triples), bad, unknown), file=out)
+        return 0 if bad.isEmpty() else 1
     elif a.verb == "migrate":
         show(apps.Renames(dict(r.split("=", 1) for r in a.renames)).plan(m.facts), out)
     elif a.verb == "pilot":
         asked = spark.read.json(a.questions, multiLine=True, schema="questions array<struct<ask: string, expect: string>>").select(F.explode("questions").alias("q")).select("q.*")
         done = apps.run_pilot(m, asked)
-        show(done, out)
-        summary = apps.pilot_summary(done).first()
-        print(json.dumps(summary.asDict()), file=out)
+        summary = apps.pilot_summary(done)
+        print(reports.pilot_text(done, summary), file=out)
+        summary = summary.first()
         return 1 if summary["wrong"] else 0
     elif a.verb == "eval":
         triples = "labels array<array<string>>, known_unreachable array<array<string>>"
         given = spark.read.json(a.labels, multiLine=True, schema=triples)
         rows = lambda c: given.select(F.explode(c).alias("t")).select(F.lit("case").alias("case"), *[F.col("t")[k].alias(n) for k, n in enumerate(apps.TRIPLE)])
-        show(apps.score_extraction(apps.predicted_triples(m).withColumn("case", F.lit("case")), rows("labels"), rows("known_unreachable")), out)
+        print(reports.score_text(apps.score_extraction(apps.predicted_triples(m).withColumn("case", F.lit("case")), rows("labels"), rows("known_unreachable"))), file=out)
     return 0
 
 

@@ -368,6 +368,48 @@ def q16_pilot(spark, sf):
     return apps.run_pilot(P.star_memory(spark, sf), a.unionByName(b))
 
 
+_EDGES = """, per AS (
+  SELECT class_id, count(*) FILTER (section = 'current') AS cur, count(*) FILTER (section = 'history') AS hist, count(*) FILTER (section = 'current' AND last_asserted = '') AS undated FROM believed GROUP BY class_id)
+SELECT class_id, cur > 0 AND hist = 0 AS no_history, undated > 0 AS undated, class_id IN (SELECT class_id FROM class) AS merged FROM per"""
+
+
+@query(_BELIEF + _EDGES)
+def q04_diagnostics(spark, sf):
+    m = P.star_memory(spark, sf)
+    classes = B.identity_classes(m)
+    notes = B.diagnostics(m, B.beliefs(m, classes), classes)
+    has = lambda text: F.exists("diagnostics", lambda d: F.contains(d, F.lit(text)))
+    return notes.select("class_id", has("no history").alias("no_history"), has("no timestamped").alias("undated"), has("Resolved across").alias("merged"))
+
+
+@query()
+def q09_prose(spark, sf):
+    from ..operators.prose import told
+
+    return told(P.star_memory(spark, sf))
+
+
+@query()
+def q10_rendered(spark, sf):
+    from ..operators.prose import rendered
+
+    return rendered(P.star_memory(spark, sf))
+
+
+@query("SELECT fact_id, CASE predicate WHEN 'selected' THEN 'uses ' || o.label || ' for ' || s.label WHEN 'uses' THEN s.label || ' uses ' || o.label WHEN 'depends_on' THEN s.label || ' depends on ' || o.label WHEN 'replaced_by' THEN 'replaced ' || s.label || ' with ' || o.label WHEN 'prohibits' THEN s.label || ' must not use ' || o.label WHEN 'allows' THEN s.label || ' may use ' || o.label ELSE s.label || ' same as ' || o.label END AS said FROM fact JOIN lab s ON s.ref = subject_ref JOIN lab o ON o.ref = object_ref")
+def q09_phrases(spark, sf):
+    from ..operators.prose import phrase
+
+    m = P.star_memory(spark, sf)
+    rows = M.with_labels(m.facts, m.entities, "subject_ref", "object_ref")
+    return rows.select("fact_id", phrase(F.col("subject_ref_label"), F.col("predicate"), F.col("object_ref_label")).alias("said"))
+
+
+@query("SELECT count(*) FILTER (NOT starts_with(subject_ref, 'artifact:')) AS domain_facts, count(*) AS facts, count(*) FILTER (NOT starts_with(subject_ref, 'artifact:')) / count(*) AS share FROM fact")
+def q17_domain_share(spark, sf):
+    return apps.domain_share(P.facts_of(P.asserted(spark, sf)))
+
+
 # -- linker ----------------------------------------------------------------------
 
 
@@ -511,6 +553,21 @@ def s02_infer_types(spark, sf):
     return names.union(extra).distinct().select("name", inferred_type(F.col("name")).alias("type"))
 
 
+@query("SELECT doc_id, doc_id % 4 < 2 AS noise FROM documents", base=False)
+def s06_commit_noise(spark, sf):
+    from ..sources.records import is_noise
+
+    head = F.element_at(F.array(F.lit("Merge branch 'x'"), F.lit("BUMP a to 2"), F.lit("Add cache"), F.lit("Mergers")), (F.col("doc_id") % 4 + 1).cast("int"))
+    return P.read(spark, sf, "documents").select("doc_id", is_noise(F.concat(head, F.lit("\n\n"), F.col("text"))).alias("noise"))
+
+
+@query()
+def s14_sampled_documents(spark, sf):
+    from ..sources.sheets import sample_documents
+
+    return sample_documents(P.read(spark, sf, "documents").select("doc_id", "source"), 50, 7, "doc_id")
+
+
 @query("SELECT artifact_id FROM art WHERE artifact_id NOT IN (SELECT artifact_id FROM asserted)")
 def s10_unknown_artifacts(spark, sf):
     return P.order_artifacts(spark, sf).select("artifact_id").join(P.asserted(spark, sf).select("artifact_id"), "artifact_id", "left_anti")

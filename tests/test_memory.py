@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.texts import OAUTH, QUEUE, artifacts
-from tessarion.operators import apps, compiler, linker, prose
+from tessarion.operators import apps, compiler, linker, prose, reports
 from tessarion.operators import belief as B
 from tessarion.operators import memory as M
 from tessarion.operators.memory import Memory
@@ -164,3 +164,15 @@ def test_timeline_dependents_health(corpora):
     assert times == sorted(times)
     h = B.health_notes(B.health(m)).first()
     assert h["total_facts"] == m.facts.count() and h["notes"]
+
+
+def test_reports(corpora):
+    m, _, _ = corpora["queue"]
+    spark = m.facts.sparkSession
+    text = reports.brief_text(apps.brief(m))
+    assert "CURRENT DECISIONS\n" in text and "  order service must not use RabbitMQ" in text
+    proposed = spark.createDataFrame([("order service", "uses", "RabbitMQ"), ("x", "uses", "y")], "subject string, predicate string, object string")
+    said = reports.compliance_summary(2, *apps.check_compliance(m, proposed))
+    assert said.startswith("checked 2 relationship(s): 1 violation(s), 1 with no applicable rule\n  VIOLATION  order service uses RabbitMQ is forbidden") and said.endswith(reports.NO_RULE)
+    done = apps.run_pilot(m, spark.createDataFrame([("asynchronous messaging", "Kafka")], "ask string, expect string"))
+    assert "accuracy answered   100%" in reports.pilot_text(done, apps.pilot_summary(done))
