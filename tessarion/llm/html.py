@@ -63,7 +63,7 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "attrs", "points", "_size", "_links")
+    __slots__ = ("name", "parent", "children", "attrs", "points", "_size", "_links", "_holds")
 
     def __init__(self, name: str, parent: Node | None, attrs: str = ""):
         self.name, self.parent, self.attrs = name, parent, attrs
@@ -129,8 +129,17 @@ def _close(here: Node, names: set[str], until: frozenset[str] | set[str]) -> Nod
     return out
 
 
-def dropped(node: Node) -> bool:
-    """Whether an element is boilerplate by its name, role, class or id."""
+def class_names(node: Node) -> str:
+    a = node.names()
+    return f"{a.get('class', '')} {a.get('id', '')}"
+
+
+def dropped(node: Node, page_size: int) -> bool:
+    """Whether an element is boilerplate by its name, role, class or id.
+
+    A class that sounds like boilerplate does not condemn what holds the headline or the article, nor
+    most of the page if the class speaks for content as well.
+    """
     if node.name in DROPPED:
         # a header within an article that holds the headline is part of the article
         return not (node.name == "header" and any(a.name in ("article", "main") for a in _above(node)))
@@ -141,10 +150,10 @@ def dropped(node: Node) -> bool:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
         return True
-    if node.name in ("article", "main", "body", "html", "a", "p", "h1"):
+    if node.name in ("main", "body", "html", "a", "p", "h1") or node._holds:
         return False
-    named = f"{a.get('class', '')} {a.get('id', '')}"
-    return bool(NOISE.search(named)) and not CONTENT.search(named)
+    named = class_names(node)
+    return bool(NOISE.search(named)) and not (CONTENT.search(named) and 2 * node._size > page_size)
 
 
 def _above(node: Node) -> Iterator[Node]:
@@ -153,28 +162,41 @@ def _above(node: Node) -> Iterator[Node]:
         yield node
 
 
-def clean(root: Node) -> list[Node]:
-    """Take boilerplate out of the tree; the remaining elements in page order."""
+def below(root: Node) -> list[Node]:
+    """The elements of a tree in page order."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
-        node.children = [c for c in node.children if isinstance(c, str) or not dropped(c)]
         order.append(node)
         stack.extend(c for c in reversed(node.children) if not isinstance(c, str))
     return order
 
 
+def clean(root: Node) -> list[Node]:
+    """Take boilerplate out of the tree; the remaining elements in page order, measured."""
+    measure(below(root))
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        node.children = [c for c in node.children if isinstance(c, str) or not dropped(c, root._size)]
+        stack.extend(c for c in node.children if not isinstance(c, str))
+    measure(order := below(root))
+    return order
+
+
 def measure(order: list[Node]) -> None:
-    """Text sizes of elements, and of the links within them."""
+    """Text sizes of elements, of the links within them, and whether they hold a headline or an article."""
     for node in reversed(order):
         size = links = 0
+        holds = node.name in ("h1", "main") or node.name == "article" and not (node.attrs and NOISE.search(class_names(node)))
         for c in node.children:
             if isinstance(c, str):
                 size += len(c.strip())
-            else:
+            elif c.name not in DROPPED:
                 size += c._size
                 links += c._links
-        node._size, node._links = size, size if node.name == "a" else links
+                holds |= c._holds
+        node._size, node._links, node._holds = size, size if node.name == "a" else links, holds
 
 
 def inner_text(node: Node) -> str:
@@ -283,7 +305,6 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     order = clean(parse(html))
-    measure(order)
     return "\n\n".join(blocks(kept_roots(best_container(order))))
 
 

@@ -115,6 +115,13 @@ def test_html():
     assert html.main_text("<article><p>" + "<b>" * 5000 + "deep") == "deep"
 
 
+@pytest.mark.parametrize("noise", ["page-footer", "post-comments", "entry-meta", "site-header", "cookie-notice", "content-sidebar", "share-bar", "comment"])
+def test_html_noise_by_class(noise):
+    text = "A paragraph, with commas, of some length, that belongs to the article itself."
+    page = f'<body class="has-sidebar"><div class="layout with-sidebar"><article class="post"><h1>T</h1><p>{text}</p><div class="{noise}"><p>Words of, well, something else.</p></div></article><div class="{noise}"><p>{text}</p></div></div></body>'
+    assert html.main_text(page) == f"T\n\n{text}"
+
+
 class Sink(io.BytesIO):
     def close(self):
         pass
