@@ -8,6 +8,10 @@ would, in parallel over groups of facts that cannot meet; it is the one to use w
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import groupby
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -183,14 +187,30 @@ def rule_edges(facts: DataFrame, evidence_rows: DataFrame) -> tuple[DataFrame, D
 
 
 def fold(rows: pd.DataFrame) -> list[tuple]:
-    """Ingest assertions in order; (kind, a, b, reason or type, artifact_id, recorded_at, basis) of the edges."""
-    facts: dict[str, tuple] = {}
+    """Ingest assertions in order; (kind, a, b, reason or type, artifact_id, recorded_at, basis) of the edges.
+
+    Active facts are indexed by subject, by object and by both, so an artifact costs what it meets and
+    not what memory holds.  Rules see memory as it was before the artifact.
+    """
+    known: set[str] = set()
     times: dict[str, str] = {}
-    retired: set[str] = set()
     edges: dict[tuple, tuple] = {}
-    for _, batch in rows.sort_values(["ingest_seq", "fact_ord"], kind="stable").groupby("ingest_seq", sort=True):
-        new = [r for r in batch.itertuples() if r.fact_id not in facts]
-        promoted = list({r.fact_id: r for r in reversed(new)}.values())[::-1]
+    held: dict[str, tuple] = {}
+    chosen, by_subject, by_object, allowed = (defaultdict(dict) for _ in range(4))
+
+    def places(s: str, p: str, o: str) -> Iterator[dict]:
+        if p == "selected":
+            yield chosen[s]
+        if p in V.CURRENCY_PREDICATES:
+            yield by_subject[s]
+            yield by_object[o]
+        if p == "allows":
+            yield allowed[s, o]
+
+    ordered = rows.sort_values(["ingest_seq", "fact_ord"], kind="stable").itertuples()
+    for _, group in groupby(ordered, key=lambda r: r.ingest_seq):
+        batch = list(group)
+        promoted = list({r.fact_id: r for r in reversed(batch) if r.fact_id not in known}.values())[::-1]
         found: list[tuple] = []
 
         def against(incoming, stored: str, reason: str, found: list[tuple] = found) -> None:
@@ -202,31 +222,35 @@ def fold(rows: pd.DataFrame) -> list[tuple]:
             else:
                 found.append(("edge", incoming.fact_id, stored, reason, incoming.artifact_id, at, "recorded_at" if at and then else "ingestion_order"))
 
-        active = [(f, *v) for f, v in facts.items() if f not in retired]
         for r in promoted:
             if r.predicate in ("replaced_by", "deprecated"):
-                for held in ("subject", "object"):
-                    for f, s, p, o in active:
-                        if p in V.CURRENCY_PREDICATES and (s if held == "subject" else o) == r.subject_ref and f != r.fact_id:
+                for index in (by_subject, by_object):
+                    for f in index.get(r.subject_ref, ()):
+                        if f != r.fact_id:
                             against(r, f, REASONS["deprecation"].format(predicate=r.predicate))
         for r in promoted:
             if r.predicate == "selected":
-                for f, s, p, o in active:
-                    if p == "selected" and s == r.subject_ref and o != r.object_ref:
+                for f, o in chosen.get(r.subject_ref, {}).items():
+                    if o != r.object_ref:
                         against(r, f, REASONS["occupancy"])
         for r in promoted:
-            for f, s, p, o in active:
-                if {p, r.predicate} == {"allows", "prohibits"} and r.predicate == "prohibits" and (s, o) == (r.subject_ref, r.object_ref):
+            if r.predicate == "prohibits":
+                for f in allowed.get((r.subject_ref, r.object_ref), ()):
                     found.append(("conflict", f, r.fact_id, NEGATION, r.artifact_id, "", ""))
+        for r in promoted:
+            known.add(r.fact_id)
+            held[r.fact_id] = (r.subject_ref, r.predicate, r.object_ref)
+            for index in places(*held[r.fact_id]):
+                index[r.fact_id] = r.object_ref
+        for r in batch:
+            times[r.fact_id] = max(times.get(r.fact_id, ""), r.recorded_at)
         for e in found:
             key = (e[0], e[1], e[2]) if e[0] == "edge" else (e[0], *sorted(e[1:3]), e[3])
             if key not in edges:
                 edges[key] = e
-                if e[0] == "edge":
-                    retired.add(e[2])
-        for r in batch.itertuples():
-            facts.setdefault(r.fact_id, (r.subject_ref, r.predicate, r.object_ref))
-            times[r.fact_id] = max(times.get(r.fact_id, ""), r.recorded_at)
+                if e[0] == "edge" and e[2] in held:
+                    for index in places(*held.pop(e[2])):
+                        index.pop(e[2], None)
     return list(edges.values())
 
 
