@@ -25,6 +25,15 @@ def literal_map(values: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
 
+#: What a clause must hold, in any letter case, for a pattern to match: looked for first, since it is cheap.
+NEEDED = {
+    "replace_with": "replac", "use_for": "us(?:e|ing)", "adopt_for": "adopt", "migrate_to": "migrat", "move_into": "mov", "remove_from": "remov",
+    "depends_on": "depend", "requires": "require", "uses": "us(?:e|ing)", "deprecates": "deprecat", "imports": "import", "implements": "implement",
+    "extends": "extends", "calls": "call", "contains": "contains", "exposes": "exposes", "built_on": "built|sits|runs|backed", "replaces": "replaces",
+    "port_to": "port|switch|move", "aka": r"a\.?k\.?a|also", "also_known_as": "known|called|referred", "same_thing_as": "same", "prefer_over": "over",
+}
+
+
 def with_artifact_ids(artifacts: DataFrame) -> DataFrame:
     """Adds artifact_id, the hash of type and content, to (type, content, …)."""
     return artifacts.withColumn("artifact_id", content_id("artifact", "type", "content"))
@@ -62,6 +71,9 @@ def clause_rows(segments: DataFrame) -> DataFrame:
     return rows.select("artifact_id", "seg_ord", "sent", is_negated(F.col("sentence")).alias("negated"), F.posexplode(clauses(F.col("sentence"))).alias("cl", "clause"))
 
 
+MATCHES = "array<struct<pat:int,nth:int,pattern:string,predicate:string,raw_subject:string,raw_object:string>>"
+
+
 def raw_matches(rows: DataFrame) -> DataFrame:
     """All pattern matches: adds pat, nth, pattern, predicate, raw_subject and raw_object to clause rows."""
 
@@ -71,7 +83,7 @@ def raw_matches(rows: DataFrame) -> DataFrame:
             F.arrays_zip(pick(subject).alias("s"), pick(obj).alias("o")),
             lambda z, i: F.struct(F.lit(k).alias("pat"), i.alias("nth"), F.lit(name).alias("pattern"), F.lit(predicate).alias("predicate"), z["s"].alias("raw_subject"), z["o"].alias("raw_object")),
         )
-        return pairs
+        return F.when(F.rlike(F.col("clause"), F.lit(ANY + NEEDED.get(name, ""))), pairs).otherwise(F.array().cast(MATCHES))
 
     found = F.concat(*[matches(k, *p) for k, p in enumerate(V.RELATIONAL_PATTERNS)])
     return rows.withColumn("m", F.explode(found)).select("*", "m.*").drop("m", "clause")
