@@ -14,7 +14,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +26,10 @@ IDF_SHARE = 0.25
 CELLS = 1 << 17  # of each of the two rows of the count-min sketch
 CHUNK = 1 << 12  # cells that one row of partial counts holds
 ROWS, BANDS = 3, 10
-LEAST_MATCH = 0.5  # share of agreeing samples below which a pair in a bucket is not verified
 PART = 1024  # members of a bucket that one task looks at together
+BLOCK = 512  # members of one side of a block of similarities
+DENSE = 32  # members of a block that hold a shingle, from which on it is a column of a matrix
+ROUNDING = 1e-9  # sums in another order differ by less
 
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,7 +140,7 @@ class Sampler:
 
 
 def sketches(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """doc_id, key, text -> doc_id, key, samples; only of texts that have words."""
+    """doc_id, key, text -> doc_id, key, hashes of the bands; only of texts that have words."""
     sampler = Sampler(ROWS * BANDS)
     for b in slices(batches, limit=1 << 19):
         h, doc, _ = shingle_sets(b.column("text"))
@@ -149,36 +150,107 @@ def sketches(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.
         starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
         s = sampler(h, log_weights(h, tf, idf), starts)
         rows = pa.array(doc[starts])
-        packed = pa.array([x.tobytes() for x in s.astype(np.uint8)], pa.binary())  # a byte of each serves to rank candidates
         bands = mix(np.arange(BANDS, dtype=np.uint64)[None, :], 31)  # a bucket's hash holds its band
         for k in range(ROWS):
             bands = mix(bands ^ s[:, k::ROWS].astype(np.uint64), 37 + k)
         lists = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), bands.ravel().view(np.int64))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), b.column("key").take(rows), packed, lists], ["doc_id", "key", "samples", "bands"])
-
-
-def likely_links(t):
-    """Candidates within one part of a bucket, in number below its members: a maximum spanning forest
-    by agreeing samples, so that what is linked stays connected through its best links."""
-    t = t.sort_by("doc_id")
-    ids = t.column("doc_id").to_numpy()
-    ids, first = np.unique(ids, return_index=True)
-    s = np.frombuffer(b"".join(x.as_py() for x in t.column("samples")), np.uint8).reshape(-1, ROWS * BANDS)[first]
-    n = len(ids)
-    left, right = [], []
-    best, link, inside = np.full(n, -1.0), np.zeros(n, np.int64), np.zeros(n, bool)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), b.column("key").take(rows), lists], ["doc_id", "key", "bands"])
+
+
+def common_weight(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, rows: np.ndarray, cols: np.ndarray, n: int) -> np.ndarray:
+    """Weight that each document of ``rows`` has in common with each of ``cols``; elements are sorted by item.
+
+    Items that many of these documents hold are columns of a matrix product, the others go pair by pair.
+    """
+    place = np.full((2, n), -1)
+    place[0, rows], place[1, cols] = np.arange(len(rows)), np.arange(len(cols))
+    left, right = np.flatnonzero(place[0, doc] >= 0), np.flatnonzero(place[1, doc] >= 0)
+    m = int(item[-1]) + 1
+    nl, nr = np.bincount(item[left], minlength=m), np.bincount(item[right], minlength=m)
+    out = np.zeros((len(rows), len(cols)))
+    many = np.flatnonzero((nl > 0) & (nr > 0) & (nl + nr > DENSE))
+    for at in range(0, len(many), 4096):
+        column = np.full(m, -1)
+        column[many[at : at + 4096]] = np.arange(len(many[at : at + 4096]))
+        sides = []
+        for k, part in enumerate((left, right)):
+            part = part[column[item[part]] >= 0]
+            x = np.zeros((len((rows, cols)[k]), min(4096, len(many) - at)))
+            x[place[k, doc[part]], column[item[part]]] = 1 if k == 0 else weight[part]
+            sides.append(x)
+        out += sides[0] @ sides[1].T
+    left = left[(nr[item[left]] > 0) & (nl[item[left]] + nr[item[left]] <= DENSE)]
+    first = np.cumsum(nr) - nr  # of an item's elements among ``right``
+    times = nr[item[left]]
+    done = np.append(0, np.cumsum(times))
     at = 0
-    for _ in range(n - 1):  # Prim
-        inside[at] = True
-        match = (s == s[at]).mean(axis=1)
-        better = (match > best) & ~inside
-        best[better], link[better] = match[better], at
-        at = int(np.argmax(np.where(inside, -1.0, best)))
-        if best[at] >= LEAST_MATCH:
-            left.append(link[at])
-            right.append(at)
-    a, b = ids[np.array(left, np.int64)], ids[np.array(right, np.int64)]
-    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+    while at < len(left):
+        to = max(at + 1, int(np.searchsorted(done, done[at] + (1 << 20), side="right")) - 1)
+        part, t = left[at:to], times[at:to]
+        other = right[np.repeat(first[item[part]] - (done[at:to] - done[at]), t) + np.arange(t.sum())]
+        out += np.bincount(np.repeat(place[0, doc[part]], t) * len(cols) + place[1, doc[other]], weights=weight[other], minlength=out.size).reshape(out.shape)
+        at = to
+    return out
+
+
+def verified_links(table, threshold: float):
+    """A function for applyInArrow: the links within one part of a bucket, summed up by text.
+
+    All pairs are compared by weighted Jaccard similarity, exactly: (1 + ln tf) * idf is cut into the
+    gains of each repeat, and the sum of least weights is the weight of the elements (shingle, repeat)
+    in common.  A pair counts in the first band in which its samples agree.  Returned rows: a text, how
+    many texts it is linked with here, and one text for all of its linked neighbourhood within the
+    part, which is an edge enough for components.
+    """
+
+    def run(key, t):
+        band = key[0].as_py()
+        keys, n = t.column("key"), t.num_rows
+        bands = t.column("bands").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)[:, :band]
+        blobs = [x.as_buffer() for x in t.column("shingles")]
+        h = np.concatenate([np.frombuffer(x, np.uint32) for x in blobs])
+        doc = np.repeat(np.arange(n), [x.size // 4 for x in blobs])
+        new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))
+        start = np.flatnonzero(new)
+        repeat = np.arange(len(h)) - start[np.cumsum(new) - 1] + 1
+        cell = cells(h)
+        weight = np.maximum(*(table.value[c] for c in cell)).astype(np.float64)
+        more = repeat > 1
+        weight[more] *= np.log(repeat[more] / (repeat[more] - 1))
+        total = np.bincount(doc, weights=weight, minlength=n)
+        packed = (h.astype(np.uint64) << np.uint64(32)) | repeat.astype(np.uint64)
+        order = np.argsort(packed, kind="stable")
+        packed, doc, weight = packed[order], doc[order], weight[order]
+        item = np.cumsum(np.append(False, packed[1:] != packed[:-1]))
+        rows = cols = np.arange(n)
+        count, low, pairs = np.zeros(n, np.int64), np.arange(n), []
+        for at in range(0, len(rows), BLOCK):
+            r = rows[at : at + BLOCK]
+            for to in range(at, len(cols), BLOCK):
+                c = cols[to : to + BLOCK]
+                common = common_weight(doc, item, weight, r, c, n)
+                a, b = np.nonzero(common >= (threshold - ROUNDING) * (total[r][:, None] + total[c][None, :] - common))
+                a, b = r[a], c[b]
+                keep = (a < b) if at == to else np.ones(len(a), bool)
+                keep &= ~(bands[a] == bands[b]).any(axis=1)
+                a, b = a[keep], b[keep]
+                count += np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+                if len(a):
+                    pairs.append((a, b))
+        if pairs:  # least place that each text reaches within the part
+            a, b = (np.concatenate(p) for p in zip(*pairs, strict=True))
+            while True:
+                least = low.copy()
+                np.minimum.at(least, a, low[b])
+                np.minimum.at(least, b, low[a])
+                least = least[least]
+                if (least == low).all():
+                    break
+                low = least
+        got = np.flatnonzero(count)
+        return pa.table({"key": keys.take(pa.array(got)), "links": pa.array(count[got]), "low": keys.take(pa.array(low[got]))})
+
+    return run
 
 
 FILTER_BITS = 1 << 26  # of the Bloom filter at most, whatever the corpus
@@ -189,11 +261,12 @@ def filter_places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def ids_of(b: pa.RecordBatch) -> np.ndarray:
-    return pc.fill_null(b.column("doc_id"), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    """The first half of each key (16 bytes) as a number."""
+    return np.frombuffer(b"".join(b.column("key").to_pylist()), np.int64)[::2]
 
 
 def fill_filter(bits: int):
-    """A function for mapInArrow: the chunks of a task's Bloom filter of doc_id that are not empty."""
+    """A function for mapInArrow: the chunks of a task's Bloom filter of keys that are not empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.zeros(bits, bool)
@@ -235,7 +308,7 @@ def bloom_filter(ids: DataFrame, scratch: Scratch) -> np.ndarray:
 
 
 def shingle_rows(batches: Iterator[pa.RecordBatch], packed: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """doc_id, text -> doc_id, its sorted shingle hashes as bytes; of documents that the filter lets pass."""
+    """key, text -> key, its sorted shingle hashes as bytes; of texts that the filter lets pass."""
     bits = len(packed) * 8
     for b in slices(batches):
         ids = ids_of(b)
@@ -246,7 +319,7 @@ def shingle_rows(batches: Iterator[pa.RecordBatch], packed: np.ndarray) -> Itera
         if not b.num_rows:
             continue
         h, _, off = shingle_sets(b.column("text"))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([h[x:y].tobytes() for x, y in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["doc_id", "shingles"])
+        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([h[x:y].tobytes() for x, y in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["key", "shingles"])
 
 
 def weighted_jaccard(x: bytes, y: bytes, idf: np.ndarray) -> float:
@@ -259,65 +332,54 @@ def weighted_jaccard(x: bytes, y: bytes, idf: np.ndarray) -> float:
     return float(least / (weight(a, na).sum() + weight(b, nb).sum() - least))
 
 
-def verify(batches: Iterator[pa.RecordBatch], idf: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        x, y = b.column("x"), b.column("y")
-        keep = [k for k in range(b.num_rows) if weighted_jaccard(x[k].as_buffer(), y[k].as_buffer(), idf) >= threshold]
-        yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-
 def near_dup_classes(spark: SparkSession, docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     """Per document row: doc_id, key (hash of its text), class_id, n_copies, n_links, kept.
 
     docs (doc_id, text); shingles of five words ``[^\\x20\\x09-\\x0D]+``.  class_id is the least doc_id
     of the documents reachable by links of weighted Jaccard similarity >= ``threshold``; n_copies counts
-    rows with equal text, n_links the verified links to other texts that hold the class together.  Exact
-    copies are one text from the start.  Texts that are null or without words link with nothing.  Repeated
-    rows are copies; with equal ids both are kept rows of one class.  An empty table gives an empty result;
-    other columns are ignored.
-
-    In a bucket (a band of samples) no pairs are listed: each part of at most ``PART`` members, plus the
-    least member of the whole bucket, gives a spanning forest of its likeliest links.  All are verified
-    on the shingles; parts of one bucket are joined through its least member and, as parts are dealt
-    differently in each band, through each other.
+    rows with equal text, n_links the other texts with a verified link to this one.  Exact copies are one
+    text from the start.  Texts that are null or without words link with nothing.  Repeated rows are
+    copies; with equal ids both are kept rows of one class.  An empty table gives an empty result; other
+    columns are ignored.
+
+    All pairs of a part of a bucket (a band of samples) are verified on the shingles, in blocks inside the
+    task; what leaves it are a row for each linked text and no pairs.  Parts have at most ``PART`` members
+    plus the least member of the whole bucket; parts of one bucket are joined through it and, as parts are
+    dealt differently in each band, through each other.
     """
     scratch = Scratch(spark, "neardup")
     docs = docs.select("doc_id", "text")
     idf, _ = idf_table(docs, scratch)
     shared = spark.sparkContext.broadcast(idf)
-    keyed = docs.withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
-    rows = scratch.table(
-        keyed.select("doc_id", F.unhex(F.substring("key", 1, 32)).alias("key"), "text").mapInArrow(lambda it: sketches(it, shared.value), "doc_id bigint, key binary, samples binary, bands array<bigint>"),
-        "sketches",
-    )
+    keyed = docs.withColumn("key", F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)))
+    rows = scratch.table(keyed.mapInArrow(lambda it: sketches(it, shared.value), "doc_id bigint, key binary, bands array<bigint>"), "sketches")
     # one row a distinct text.  Joins of tables that grow with the corpus are merge joins at every size.
-    one = rows.groupBy("key").agg(F.min(F.struct("doc_id", "samples", "bands")).alias("r"), F.count("*").alias("copies"))
+    one = rows.groupBy("key").agg(F.min(F.struct("doc_id", "bands")).alias("r"), F.count("*").alias("copies"))
     one = scratch.table(one.select("key", "copies", "r.*"), "distinct")
     scratch.drop(rows)
-    banded = one.select("doc_id", F.explode("bands").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1")
-    buckets = scratch.table(buckets.select("bucket", "least", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "buckets")
-    members = banded.join(buckets.hint("merge"), "bucket")
-    own = F.pmod(F.xxhash64("doc_id", "bucket"), F.col("parts")).cast("int")
+    banded = one.select("key", F.posexplode("bands").alias("band", "bucket"))
+    buckets = banded.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("key").alias("least")).where("n > 1")
+    buckets = scratch.table(buckets.select("band", "bucket", "least", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "buckets")
+    members = banded.join(buckets.hint("merge"), ["band", "bucket"])
+    own = F.pmod(F.xxhash64("key", "bucket"), F.col("parts")).cast("int")
     # the least member goes to every part
-    part = F.when(F.col("doc_id") == F.col("least"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))
-    members = members.select("bucket", F.explode(part).alias("part"), "doc_id").join(one.select("doc_id", "samples").hint("merge"), "doc_id")
-    pairs = members.groupBy("bucket", "part").applyInArrow(likely_links, "a bigint, b bigint").distinct()
-    pairs = scratch.table(pairs, "pairs")
-
-    # shingles of the documents in pairs only: a filter of bounded size stands for their ids
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    chosen = spark.sparkContext.broadcast(bloom_filter(ends, scratch))
-    sets = scratch.table(docs.mapInArrow(lambda it: shingle_rows(it, chosen.value), "doc_id bigint, shingles binary"), "sets")
-    side = lambda end, name: sets.select(F.col("doc_id").alias(end), F.col("shingles").alias(name)).hint("merge")
-    links = pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y").mapInArrow(lambda it: verify(it, shared.value, threshold), "a bigint, b bigint")
-    links = scratch.table(links.distinct(), "links")
-    scratch.drop(sets)
-    classes = connected_components(links, scratch)
-    degree = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("links"))
-    texts = one.select("key", "doc_id", "copies").join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(degree, "doc_id", "left")
-    texts = scratch.table(texts.select("key", "copies", F.coalesce("component", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")), "classes")
-    out = keyed.select("doc_id", F.unhex(F.substring("key", 1, 32)).alias("key")).join(texts, "key", "left")
+    part = F.when(F.col("key") == F.col("least"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))
+    members = scratch.table(members.select("band", "bucket", F.explode(part).alias("part"), "key"), "members")
+
+    # shingles of the texts in buckets only: a filter of bounded size stands for their keys
+    chosen = spark.sparkContext.broadcast(bloom_filter(members.select("key").distinct(), scratch))
+    sets = keyed.select("key", "text").mapInArrow(lambda it: shingle_rows(it, chosen.value), "key binary, shingles binary").dropDuplicates(["key"])
+    sets = scratch.table(sets.join(one.select("key", "bands").hint("merge"), "key"), "sets")
+    links = members.join(sets.hint("merge"), "key").groupBy("band", "bucket", "part").applyInArrow(verified_links(shared, threshold), "key binary, links bigint, low binary")
+    links = scratch.table(links, "links")
+    scratch.drop(sets, members)
+    classes = connected_components(links, scratch, "key", "low").withColumnRenamed("id", "key")
+    degree = links.groupBy("key").agg(F.sum("links").alias("links"))
+    texts = one.select("key", "doc_id", "copies").join(classes, "key", "left").join(degree, "key", "left")
+    texts = scratch.table(texts.select("key", "doc_id", "copies", F.coalesce("component", "key").alias("component"), F.coalesce("links", F.lit(0)).alias("links")), "texts")
+    least = texts.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    texts = scratch.table(texts.join(least, "component").select("key", "copies", "class_id", "links"), "classes")
+    out = keyed.select("doc_id", "key").join(texts, "key", "left")
     return out.select(
         "doc_id",
         "key",

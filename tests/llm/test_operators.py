@@ -6,10 +6,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessarion.llm import language, substrings
+from tessarion.llm import language, neardup, substrings
 from tessarion.llm.common import Scratch
 from tessarion.llm.components import connected_components
 from tessarion.llm.decontaminate import clean_documents, decontaminate
@@ -179,6 +180,41 @@ def test_near_duplicates(docs):
     assert all(got[k]["class_id"] == k and got[k]["kept"] for k in alone)
 
 
+def brute_classes(spark, texts):
+    """Least place of each text's class, over all pairs."""
+    idf, _ = neardup.idf_table(spark.createDataFrame([(t,) for t in texts], "text string"), Scratch(spark, "t"))
+    h, _, off = neardup.shingle_sets(pa.array(texts))
+    sets = [h[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if root[a] != root[b] and neardup.weighted_jaccard(sets[a], sets[b], idf) >= 0.8:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    return dict(enumerate(root))
+
+
+def variants(rng, groups, size, changes):
+    """Groups of texts that differ from a base in up to ``changes`` words."""
+    texts = []
+    for g in range(groups):
+        base = [f"g{g}w{k}" for k in range(300)]
+        for _ in range(size):
+            t = list(base)
+            for k in rng.sample(range(300), rng.randint(0, changes)):
+                t[k] = f"x{rng.random()}"
+            texts.append(" ".join(t))
+    return texts
+
+
+def test_near_duplicates_around_the_threshold(spark):
+    texts = variants(random.Random(5), 25, 10, 14)
+    want = brute_classes(spark, texts)
+    assert 25 < len(set(want.values())) < 200
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r["doc_id"]: r["class_id"] for r in near_dup_classes(spark, table).collect()} == want
+
+
 def test_languages(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     odd = spark.createDataFrame([(900001, None, "en"), (900002, "12 34 !", "en"), (900003, "", None)], "doc_id bigint, text string, lang string")
