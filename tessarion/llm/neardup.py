@@ -26,7 +26,7 @@ IDF_SHARE = 0.25
 CELLS = 1 << 17  # of each of the two rows of the count-min sketch
 CHUNK = 1 << 12  # cells that one row of partial counts holds
 ROWS, BANDS = 3, 10
-PART = 1024  # members of a bucket that one task looks at together
+PART = 1024  # members of a part of a bucket; a task looks at two parts
 BLOCK = 512  # members of one side of a block of similarities
 DENSE = 32  # members of a block that hold a shingle, from which on it is a column of a matrix
 ROUNDING = 1e-9  # sums in another order differ by less
@@ -194,17 +194,18 @@ def common_weight(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, rows: n
 
 
 def verified_links(table, threshold: float):
-    """A function for applyInArrow: the links within one part of a bucket, summed up by text.
+    """A function for applyInArrow: the links within one pair of parts of a bucket, summed up by text.
 
     All pairs are compared by weighted Jaccard similarity, exactly: (1 + ln tf) * idf is cut into the
     gains of each repeat, and the sum of least weights is the weight of the elements (shingle, repeat)
     in common.  A pair counts in the first band in which its samples agree.  Returned rows: a text, how
     many texts it is linked with here, and one text for all of its linked neighbourhood within the
-    part, which is an edge enough for components.
+    parts, which is an edge enough for components.
     """
 
     def run(key, t):
-        band = key[0].as_py()
+        band, _, i, j = (k.as_py() for k in key)
+        side = t.column("part").to_numpy()
         keys, n = t.column("key"), t.num_rows
         bands = t.column("bands").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)[:, :band]
         blobs = [x.as_buffer() for x in t.column("shingles")]
@@ -222,22 +223,22 @@ def verified_links(table, threshold: float):
         order = np.argsort(packed, kind="stable")
         packed, doc, weight = packed[order], doc[order], weight[order]
         item = np.cumsum(np.append(False, packed[1:] != packed[:-1]))
-        rows = cols = np.arange(n)
+        rows, cols = np.flatnonzero(side == i), np.flatnonzero(side == j)
         count, low, pairs = np.zeros(n, np.int64), np.arange(n), []
         for at in range(0, len(rows), BLOCK):
             r = rows[at : at + BLOCK]
-            for to in range(at, len(cols), BLOCK):
+            for to in range(at if i == j else 0, len(cols), BLOCK):
                 c = cols[to : to + BLOCK]
                 common = common_weight(doc, item, weight, r, c, n)
                 a, b = np.nonzero(common >= (threshold - ROUNDING) * (total[r][:, None] + total[c][None, :] - common))
                 a, b = r[a], c[b]
-                keep = (a < b) if at == to else np.ones(len(a), bool)
+                keep = (a < b) if i == j and at == to else np.ones(len(a), bool)
                 keep &= ~(bands[a] == bands[b]).any(axis=1)
                 a, b = a[keep], b[keep]
                 count += np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
                 if len(a):
                     pairs.append((a, b))
-        if pairs:  # least place that each text reaches within the part
+        if pairs:  # least place that each text reaches within the parts
             a, b = (np.concatenate(p) for p in zip(*pairs, strict=True))
             while True:
                 least = low.copy()
@@ -342,10 +343,9 @@ def near_dup_classes(spark: SparkSession, docs: DataFrame, *, threshold: float =
     copies; with equal ids both are kept rows of one class.  An empty table gives an empty result; other
     columns are ignored.
 
-    All pairs of a part of a bucket (a band of samples) are verified on the shingles, in blocks inside the
-    task; what leaves it are a row for each linked text and no pairs.  Parts have at most ``PART`` members
-    plus the least member of the whole bucket; parts of one bucket are joined through it and, as parts are
-    dealt differently in each band, through each other.
+    All pairs of a bucket (a band of samples) are verified on the shingles, in blocks inside the task; what
+    leaves it are a row for each linked text and no pairs.  A bucket is split into parts of about ``PART``
+    members, and every pair of parts is its own task.
     """
     scratch = Scratch(spark, "neardup")
     docs = docs.select("doc_id", "text")
@@ -358,19 +358,19 @@ def near_dup_classes(spark: SparkSession, docs: DataFrame, *, threshold: float =
     one = scratch.table(one.select("key", "copies", "r.*"), "distinct")
     scratch.drop(rows)
     banded = one.select("key", F.posexplode("bands").alias("band", "bucket"))
-    buckets = banded.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("key").alias("least")).where("n > 1")
-    buckets = scratch.table(buckets.select("band", "bucket", "least", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "buckets")
+    buckets = banded.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = scratch.table(buckets.select("band", "bucket", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "buckets")
     members = banded.join(buckets.hint("merge"), ["band", "bucket"])
-    own = F.pmod(F.xxhash64("key", "bucket"), F.col("parts")).cast("int")
-    # the least member goes to every part
-    part = F.when(F.col("key") == F.col("least"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))
-    members = scratch.table(members.select("band", "bucket", F.explode(part).alias("part"), "key"), "members")
+    part = F.pmod(F.xxhash64("key", "bucket"), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    members = scratch.table(members.select("band", "bucket", "key", part.alias("part"), other.alias("other")), "members")
 
     # shingles of the texts in buckets only: a filter of bounded size stands for their keys
     chosen = spark.sparkContext.broadcast(bloom_filter(members.select("key").distinct(), scratch))
     sets = keyed.select("key", "text").mapInArrow(lambda it: shingle_rows(it, chosen.value), "key binary, shingles binary").dropDuplicates(["key"])
     sets = scratch.table(sets.join(one.select("key", "bands").hint("merge"), "key"), "sets")
-    links = members.join(sets.hint("merge"), "key").groupBy("band", "bucket", "part").applyInArrow(verified_links(shared, threshold), "key binary, links bigint, low binary")
+    sides = members.join(sets.hint("merge"), "key").withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("other")
+    links = sides.groupBy("band", "bucket", "i", "j").applyInArrow(verified_links(shared, threshold), "key binary, links bigint, low binary")
     links = scratch.table(links, "links")
     scratch.drop(sets, members)
     classes = connected_components(links, scratch, "key", "low").withColumnRenamed("id", "key")

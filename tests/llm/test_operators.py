@@ -215,6 +215,27 @@ def test_near_duplicates_around_the_threshold(spark):
     assert {r["doc_id"]: r["class_id"] for r in near_dup_classes(spark, table).collect()} == want
 
 
+def test_near_duplicates_across_parts(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = []
+    for g in range(2):  # texts of a template, below the threshold to each other, and a near copy of some
+        base = [f"g{g}w{k}" for k in range(300)]
+        for n in range(40):
+            t = list(base)
+            for k in rng.sample(range(300), 5):
+                t[k] = f"x{rng.random()}"
+            texts.append(" ".join(t))
+            if n % 4 == 0:
+                t[rng.randrange(300)] = f"x{rng.random()}"
+                texts.append(" ".join(t))
+    want = brute_classes(spark, texts)
+    assert 60 < len(set(want.values())) < 85
+    monkeypatch.setattr(neardup, "PART", 3)
+    monkeypatch.setattr(neardup, "BLOCK", 2)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r["doc_id"]: r["class_id"] for r in near_dup_classes(spark, table).collect()} == want
+
+
 def test_languages(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     odd = spark.createDataFrame([(900001, None, "en"), (900002, "12 34 !", "en"), (900003, "", None)], "doc_id bigint, text string, lang string")
