@@ -2,14 +2,16 @@
 weighted Jaccard similarity, closed by distributed connected components.
 
 Weights: a shingle that a document holds tf times weighs (1 + ln tf) * idf with
-idf = 1 + IDF_SHARE * ln((1 + N) / (1 + df)) / ln(1 + N).  Document frequencies are counted over all
-documents in a count-min sketch of fixed size, so what is broadcast does not grow with the corpus; the
+idf = 1 + IDF_SHARE * ln((1 + N) / (1 + df)) / ln(1 + N).  Document frequencies are counted exactly,
+by 32-bit shingle hash, over all documents: slices of documents send their hashes to ranges of the hash
+space and get back the frequencies of those in more than one document, so nothing is broadcast; the
 share is small because the shingles of a passage with thousands of copies are common *because* of the
 copies, and a full idf would hide exactly those groups.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +25,9 @@ from .words import buffers, mix, runs, slices, word_hashes
 
 SHINGLE = 5
 IDF_SHARE = 0.25
-CELLS = 1 << 17  # of each of the two rows of the count-min sketch
-CHUNK = 1 << 12  # cells that one row of partial counts holds
+SLICE = 1 << 21  # bytes of text of a slice of documents
+SLICES = 8  # slices whose shingles one range of hashes holds about
+CHUNK = 1 << 12  # of 64 bits: what one row of a partial filter holds
 ROWS, BANDS = 3, 10
 PART = 1024  # members of a part of a bucket; a task looks at two parts
 BLOCK = 512  # members of one side of a block of similarities
@@ -55,52 +58,98 @@ def distinct_runs(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return h[first], doc[first], np.diff(np.append(first, len(h)))
 
 
-def cells(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    a = mix(h.astype(np.uint64), 11)
-    return (a & np.uint64(CELLS - 1)).astype(np.int64), ((a >> np.uint64(32)) & np.uint64(CELLS - 1)).astype(np.int64) + CELLS
+def cut_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, key, text -> number of a slice, drawn at random, doc_id, key, sorted shingle hashes with repeats; only of texts that have words."""
+    for b in slices(batches, limit=SLICE):
+        number = int.from_bytes(os.urandom(8)) >> 1
+        h, _, off = shingle_sets(b.column("text"))
+        some = np.flatnonzero(np.diff(off))
+        rows = b.select(["doc_id", "key"]).take(pa.array(some))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), number)), *rows.columns, pa.array([h[off[k] : off[k + 1]].tobytes() for k in some], pa.binary())], ["slice", "doc_id", "key", "shingles"])
 
 
-def count_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial document frequencies of a task: chunk number, counts (int64, as bytes)."""
-    total, seen = np.zeros(2 * CELLS, np.int64), False
-    for b in slices(batches):
-        h, doc, _ = shingle_sets(b.column("text"))
-        h, _, _ = distinct_runs(h, doc)
-        for c in cells(h):
-            total += np.bincount(c, minlength=2 * CELLS)
-        seen = True
-    if seen:
-        for k in range(0, 2 * CELLS, CHUNK):
-            yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK], pa.int32()), pa.array([total[k : k + CHUNK].tobytes()], pa.binary())], ["chunk", "counts"])
+def joined(blobs: pa.Array | pa.ChunkedArray, dtype: type = np.uint32) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all blobs and the offsets between the blobs."""
+    data = [x.as_buffer() for x in blobs]
+    return np.frombuffer(b"".join(data), dtype), np.append(0, np.cumsum([x.size // 4 for x in data])).astype(np.int64)
 
 
-def add_chunks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum of the partial counts of one chunk, batch by batch."""
-    total = np.zeros(CHUNK, np.int64)
-    for b in parts:
-        for x in b.column("counts"):
-            total += np.frombuffer(x.as_buffer(), np.int64)
-        chunk = b.column("chunk")[0].as_py()
-    yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["chunk", "counts"])
+def packed_hashes(h: np.ndarray) -> bytes:
+    """Sorted hashes as the bytes of their differences, low bytes first, which compress."""
+    return np.diff(h, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked_hashes(x: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(x, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel(), dtype=np.uint32)
+
+
+def slice_shingles(ranges: int):
+    """A function for mapInArrow: slice, shingles -> range, slice, its shingles in the range, how many documents of it hold each."""
+    bounds = np.ceil(np.arange(ranges + 1) * (2.0**32 / ranges))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            number = whole.column("slice").to_numpy()
+            ends = np.append(np.flatnonzero(number[1:] != number[:-1]) + 1, len(number)) if len(number) else number
+            for at, to in zip(np.append(0, ends[:-1]), ends, strict=True) if len(ends) else ():
+                h, off = joined(whole.column("shingles").slice(at, to - at))
+                h, n = np.unique(distinct_runs(h, np.repeat(np.arange(to - at), np.diff(off)))[0], return_counts=True)
+                n = n.astype(np.uint32)
+                cuts = np.searchsorted(h, bounds)
+                some = np.flatnonzero(np.diff(cuts))
+                hashes = pa.array([packed_hashes(h[cuts[k] : cuts[k + 1]]) for k in some], pa.binary())
+                counts = pa.array([n[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.full(len(some), number[at])), hashes, counts], ["range", "slice", "h", "n"])
+
+    return run
+
+
+def range_frequencies(t: pa.Table) -> pa.Table:
+    """Of a range: slice, its shingles that more than one document holds, their document frequencies."""
+    n, off = joined(t.column("n"))
+    h = np.concatenate([unpacked_hashes(x.as_buffer()) for x in t.column("h")])
+    _, place = np.unique(h, return_inverse=True)
+    df = np.bincount(place, weights=n)[place].astype(np.uint32)
+    parts = [(h[a:b][df[a:b] > 1], df[a:b][df[a:b] > 1]) for a, b in zip(off[:-1], off[1:], strict=True)]
+    out = pa.table({"slice": t.column("slice"), "h": pa.array([packed_hashes(x) for x, _ in parts], pa.binary()), "df": pa.array([x.tobytes() for _, x in parts], pa.binary())})
+    return out.filter(pa.array([len(x) > 0 for x, _ in parts]))
 
 
-def idf_table(docs: DataFrame, scratch: Scratch) -> tuple[np.ndarray, int]:
-    """idf by cell (float32, 2*CELLS long whatever the corpus) and the number of documents."""
-    parts = docs.select("text").mapInArrow(count_frequencies, "chunk int, counts binary")
-    # two rounds, so that no task adds up the parts of all tasks
-    some = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
-    some = some.groupBy("chunk", "salt").applyInArrow(add_chunks, "chunk int, counts binary")
-    sums = scratch.table(some.groupBy("chunk").applyInArrow(add_chunks, "chunk int, counts binary"), "frequencies")
-    n = docs.count()
-    df = np.zeros(2 * CELLS, np.int64)
-    for r in sums.collect():  # 2*CELLS/CHUNK rows
-        df[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.int64)
-    return (1 + IDF_SHARE * np.log((1 + n) / (1 + np.minimum(df, n))) / np.log(2 + n)).astype(np.float32), n
+def frequencies(sliced: DataFrame) -> DataFrame:
+    """slice, h, df: the shingles of a slice that more than one document holds, with their document frequencies."""
+    ranges = -(-sliced.select("slice").distinct().count() // SLICES)
+    parts = sliced.select("slice", "shingles").mapInArrow(slice_shingles(max(1, ranges)), "range int, slice bigint, h binary, n binary")
+    return parts.groupBy("range").applyInArrow(range_frequencies, "slice bigint, h binary, df binary")
 
 
-def log_weights(h: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    a, b = cells(h)
-    return np.log((1 + np.log(tf)).astype(np.float32) * np.maximum(idf[a], idf[b]))  # least frequency: greatest idf
+class Idf:
+    """idf of shingles, from the frequencies of those that more than one document holds."""
+
+    def __init__(self, h: list[bytes], df: list[bytes], n: int):
+        self.h, first = np.unique(np.concatenate([unpacked_hashes(x) for x in h] or [np.zeros(0, np.uint32)]), return_index=True)
+        self.df, self.n = np.frombuffer(b"".join(df), np.uint32)[first].astype(np.int64), n
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        df = np.ones(len(h), np.int64)
+        if len(self.h):
+            at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+            df = np.where(self.h[at] == h, self.df[at], 1)
+        return (1 + IDF_SHARE * np.log((1 + self.n) / (1 + df)) / np.log(2 + self.n)).astype(np.float32)
+
+
+def with_slices(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    return scratch.table(docs.select("doc_id", "key", "text").mapInArrow(cut_slices, "slice bigint, doc_id bigint, key binary, shingles binary"), "slices")
+
+
+def idf_table(docs: DataFrame, scratch: Scratch) -> tuple[Idf, int]:
+    """The idf of all shingles of a small table, which is gathered for brute force, and the number of documents."""
+    sliced = with_slices(docs.select(F.lit(0).cast("bigint").alias("doc_id"), F.unhex(F.lit("")).alias("key"), "text"), scratch)
+    rows, n = frequencies(sliced).collect(), docs.count()
+    return Idf([r["h"] for r in rows], [r["df"] for r in rows], n), n
+
+
+def log_weights(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    return np.log((1 + np.log(tf)).astype(np.float32) * idf)
 
 
 class Sampler:
@@ -139,22 +188,23 @@ class Sampler:
         return out
 
 
-def sketches(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """doc_id, key, text -> doc_id, key, hashes of the bands; only of texts that have words."""
+def sketches(n: int):
+    """A function for a cogroup of a slice's sets and frequencies: doc_id, key, hashes of the bands, idf of each shingle as bytes."""
     sampler = Sampler(ROWS * BANDS)
-    for b in slices(batches, limit=1 << 19):
-        h, doc, _ = shingle_sets(b.column("text"))
-        if not len(h):
-            continue
-        h, doc, tf = distinct_runs(h, doc)
-        starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-        s = sampler(h, log_weights(h, tf, idf), starts)
-        rows = pa.array(doc[starts])
+
+    def run(t: pa.Table, known: pa.Table) -> pa.Table:
+        repeats, off = joined(t.column("shingles"))
+        h, doc, tf = distinct_runs(repeats, np.repeat(np.arange(t.num_rows), np.diff(off)))
+        idf = Idf(known.column("h").to_pylist(), known.column("df").to_pylist(), n)(h)
+        s = sampler(h, log_weights(tf, idf), np.flatnonzero(np.append(True, doc[1:] != doc[:-1])))
         bands = mix(np.arange(BANDS, dtype=np.uint64)[None, :], 31)  # a bucket's hash holds its band
         for k in range(ROWS):
             bands = mix(bands ^ s[:, k::ROWS].astype(np.uint64), 37 + k)
         lists = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), bands.ravel().view(np.int64))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), b.column("key").take(rows), lists], ["doc_id", "key", "bands"])
+        each = np.repeat(idf, tf)
+        return pa.table([t.column("doc_id"), t.column("key"), lists, pa.array([each[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["doc_id", "key", "bands", "idf"])
+
+    return run
 
 
 def common_weight(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, rows: np.ndarray, cols: np.ndarray, n: int) -> np.ndarray:
@@ -193,7 +243,7 @@ def common_weight(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, rows: n
     return out
 
 
-def verified_links(table, threshold: float):
+def verified_links(threshold: float):
     """A function for applyInArrow: the links within one pair of parts of a bucket, summed up by text.
 
     All pairs are compared by weighted Jaccard similarity, exactly: (1 + ln tf) * idf is cut into the
@@ -208,14 +258,12 @@ def verified_links(table, threshold: float):
         side = t.column("part").to_numpy()
         keys, n = t.column("key"), t.num_rows
         bands = t.column("bands").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)[:, :band]
-        blobs = [x.as_buffer() for x in t.column("shingles")]
-        h = np.concatenate([np.frombuffer(x, np.uint32) for x in blobs])
-        doc = np.repeat(np.arange(n), [x.size // 4 for x in blobs])
+        h, off = joined(t.column("shingles"))
+        doc = np.repeat(np.arange(n), np.diff(off))
         new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))
         start = np.flatnonzero(new)
         repeat = np.arange(len(h)) - start[np.cumsum(new) - 1] + 1
-        cell = cells(h)
-        weight = np.maximum(*(table.value[c] for c in cell)).astype(np.float64)
+        weight = joined(t.column("idf"), np.float32)[0].astype(np.float64)
         more = repeat > 1
         weight[more] *= np.log(repeat[more] / (repeat[more] - 1))
         total = np.bincount(doc, weights=weight, minlength=n)
@@ -308,27 +356,23 @@ def bloom_filter(ids: DataFrame, scratch: Scratch) -> np.ndarray:
     return packed
 
 
-def shingle_rows(batches: Iterator[pa.RecordBatch], packed: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """key, text -> key, its sorted shingle hashes as bytes; of texts that the filter lets pass."""
+def chosen_rows(batches: Iterator[pa.RecordBatch], packed: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows whose key the filter lets pass."""
     bits = len(packed) * 8
-    for b in slices(batches):
+    for b in batches:
         ids = ids_of(b)
         there = np.ones(len(ids), bool)
         for places in filter_places(ids, bits):
             there &= (packed[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1 == 1
-        b = b.filter(pa.array(there))
-        if not b.num_rows:
-            continue
-        h, _, off = shingle_sets(b.column("text"))
-        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([h[x:y].tobytes() for x, y in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["key", "shingles"])
+        yield b.filter(pa.array(there))
 
 
-def weighted_jaccard(x: bytes, y: bytes, idf: np.ndarray) -> float:
+def weighted_jaccard(x: bytes, y: bytes, idf: Idf) -> float:
     """Sum of least weights over sum of greatest weights."""
     a, na = np.unique(np.frombuffer(x, np.uint32), return_counts=True)
     b, nb = np.unique(np.frombuffer(y, np.uint32), return_counts=True)
     both, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    weight = lambda h, tf: (1 + np.log(tf)) * np.maximum(*(idf[c] for c in cells(h)))
+    weight = lambda h, tf: (1 + np.log(tf)) * idf(h)
     least = weight(both, np.minimum(na[ia], nb[ib])).sum()
     return float(least / (weight(a, na).sum() + weight(b, nb).sum() - least))
 
@@ -349,14 +393,14 @@ def near_dup_classes(spark: SparkSession, docs: DataFrame, *, threshold: float =
     """
     scratch = Scratch(spark, "neardup")
     docs = docs.select("doc_id", "text")
-    idf, _ = idf_table(docs, scratch)
-    shared = spark.sparkContext.broadcast(idf)
     keyed = docs.withColumn("key", F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)))
-    rows = scratch.table(keyed.mapInArrow(lambda it: sketches(it, shared.value), "doc_id bigint, key binary, bands array<bigint>"), "sketches")
+    sliced = with_slices(keyed, scratch)
+    known = frequencies(sliced)
+    rows = sliced.groupBy("slice").cogroup(known.groupBy("slice")).applyInArrow(sketches(docs.count()), "doc_id bigint, key binary, bands array<bigint>, idf binary")
+    rows = scratch.table(rows, "sketches")
     # one row a distinct text.  Joins of tables that grow with the corpus are merge joins at every size.
     one = rows.groupBy("key").agg(F.min(F.struct("doc_id", "bands")).alias("r"), F.count("*").alias("copies"))
     one = scratch.table(one.select("key", "copies", "r.*"), "distinct")
-    scratch.drop(rows)
     banded = one.select("key", F.posexplode("bands").alias("band", "bucket"))
     buckets = banded.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
     buckets = scratch.table(buckets.select("band", "bucket", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "buckets")
@@ -365,12 +409,14 @@ def near_dup_classes(spark: SparkSession, docs: DataFrame, *, threshold: float =
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     members = scratch.table(members.select("band", "bucket", "key", part.alias("part"), other.alias("other")), "members")
 
-    # shingles of the texts in buckets only: a filter of bounded size stands for their keys
+    # the sets of the texts in buckets only: a filter of bounded size stands for their keys
     chosen = spark.sparkContext.broadcast(bloom_filter(members.select("key").distinct(), scratch))
-    sets = keyed.select("key", "text").mapInArrow(lambda it: shingle_rows(it, chosen.value), "key binary, shingles binary").dropDuplicates(["key"])
-    sets = scratch.table(sets.join(one.select("key", "bands").hint("merge"), "key"), "sets")
+    pick = lambda t, schema: t.mapInArrow(lambda it: chosen_rows(it, chosen.value), schema).dropDuplicates(["key"])
+    sets = pick(sliced.select("key", "shingles"), "key binary, shingles binary")
+    sets = scratch.table(sets.join(pick(rows.select("key", "bands", "idf"), "key binary, bands array<bigint>, idf binary").hint("merge"), "key"), "sets")
+    scratch.drop(sliced, rows)
     sides = members.join(sets.hint("merge"), "key").withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("other")
-    links = sides.groupBy("band", "bucket", "i", "j").applyInArrow(verified_links(shared, threshold), "key binary, links bigint, low binary")
+    links = sides.groupBy("band", "bucket", "i", "j").applyInArrow(verified_links(threshold), "key binary, links bigint, low binary")
     links = scratch.table(links, "links")
     scratch.drop(sets, members)
     classes = connected_components(links, scratch, "key", "low").withColumnRenamed("id", "key")

@@ -236,6 +236,23 @@ def test_near_duplicates_across_parts(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in near_dup_classes(spark, table).collect()} == want
 
 
+def test_document_frequencies_are_exact(spark):
+    rng = random.Random(8)
+    common = [f"c{k}" for k in range(60)]
+    texts = [" ".join(common + [f"{k}a{j}" for j in range(40)]) for k in range(30)]
+    texts += [" ".join(str(rng.random()) for _ in range(3000)) for _ in range(150)] + [None, ""]
+    table = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    idf, n = neardup.idf_table(table, Scratch(spark, "t"))
+    assert n == len(texts)
+    sets = [Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in map(words, texts)]
+    df = Counter(g for x in sets for g in x)
+    weight = lambda g: 1 + neardup.IDF_SHARE * np.log((1 + n) / (1 + df[g])) / np.log(2 + n)
+    for a, b in ((0, 1), (7, 20)):
+        want = sum(map(weight, sets[a].keys() & sets[b].keys())) / sum(map(weight, sets[a].keys() | sets[b].keys()))
+        h, _, off = neardup.shingle_sets(pa.array([texts[a], texts[b]]))
+        assert abs(neardup.weighted_jaccard(h[: off[1]].tobytes(), h[off[1] :].tobytes(), idf) - want) < 1e-5
+
+
 def test_languages(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     odd = spark.createDataFrame([(900001, None, "en"), (900002, "12 34 !", "en"), (900003, "", None)], "doc_id bigint, text string, lang string")
