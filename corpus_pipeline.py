@@ -29,14 +29,15 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: its representative, the one with the least id."""
+    """One document of each class of near copies: its representative, the one with the least id.
+
+    A text stays under its own key, so ids that are null or repeat with different texts lose nothing.
+    """
     scratch = Scratch(spark, "near-dup-stage")
-    classes = near_dup_classes(spark, docs)
-    keep = scratch.table(classes.where("kept").groupBy("doc_id", "class_id").agg(F.min("key").alias("key")), "keep")
-    # rows that repeat an id are copies of one class, so the id alone decides between them
+    stay = scratch.table(near_dup_classes(spark, docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("key").alias("__kept")).distinct(), "keep")
     keyed = docs.withColumn("__key", F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)))
-    stay = keep.select("doc_id", F.col("key").alias("__key"))
-    return keyed.join(stay, ["doc_id", "__key"], "left_semi").dropDuplicates(["doc_id", "__key"]).select(*docs.columns)
+    kept = keyed.join(stay, (F.col("__key") == F.col("__kept")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__key"]).select(*docs.columns)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

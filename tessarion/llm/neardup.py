@@ -384,7 +384,8 @@ def near_dup_classes(spark: SparkSession, docs: DataFrame, *, threshold: float =
     of the documents reachable by links of weighted Jaccard similarity >= ``threshold``; n_copies counts
     rows with equal text, n_links the other texts with a verified link to this one.  Exact copies are one
     text from the start.  Texts that are null or without words link with nothing.  Repeated rows are
-    copies; with equal ids both are kept rows of one class.  An empty table gives an empty result; other
+    copies, all kept if one is.  Kept is the text with the least doc_id of its class (null after all others),
+    or the one with the least key among these.  An empty table gives an empty result; other
     columns are ignored.
 
     All pairs of a bucket (a band of samples) are verified on the shingles, in blocks inside the task; what
@@ -399,8 +400,8 @@ def near_dup_classes(spark: SparkSession, docs: DataFrame, *, threshold: float =
     rows = sliced.groupBy("slice").cogroup(known.groupBy("slice")).applyInArrow(sketches(docs.count()), "doc_id bigint, key binary, bands array<bigint>, idf binary")
     rows = scratch.table(rows, "sketches")
     # one row a distinct text.  Joins of tables that grow with the corpus are merge joins at every size.
-    one = rows.groupBy("key").agg(F.min(F.struct("doc_id", "bands")).alias("r"), F.count("*").alias("copies"))
-    one = scratch.table(one.select("key", "copies", "r.*"), "distinct")
+    one = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"), F.count("*").alias("copies"))
+    one = scratch.table(one.select("key", "copies", "doc_id", "bands"), "distinct")
     banded = one.select("key", F.posexplode("bands").alias("band", "bucket"))
     buckets = banded.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
     buckets = scratch.table(buckets.select("band", "bucket", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "buckets")
@@ -423,8 +424,10 @@ def near_dup_classes(spark: SparkSession, docs: DataFrame, *, threshold: float =
     degree = links.groupBy("key").agg(F.sum("links").alias("links"))
     texts = one.select("key", "doc_id", "copies").join(classes, "key", "left").join(degree, "key", "left")
     texts = scratch.table(texts.select("key", "doc_id", "copies", F.coalesce("component", "key").alias("component"), F.coalesce("links", F.lit(0)).alias("links")), "texts")
-    least = texts.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    texts = scratch.table(texts.join(least, "component").select("key", "copies", "class_id", "links"), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
+    least = texts.groupBy("component").agg(first.alias("first"))
+    texts = texts.join(least, "component").select("key", "copies", F.col("first.doc_id").alias("class_id"), "links", (F.col("key") == F.col("first.key")).alias("stands"))
+    texts = scratch.table(texts, "classes")
     out = keyed.select("doc_id", "key").join(texts, "key", "left")
     return out.select(
         "doc_id",
@@ -432,5 +435,5 @@ def near_dup_classes(spark: SparkSession, docs: DataFrame, *, threshold: float =
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("copies", F.lit(1)).cast("bigint").alias("n_copies"),
         F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"),
-        (F.col("doc_id") == F.coalesce("class_id", "doc_id")).alias("kept"),
+        (F.coalesce("stands", F.lit(True)) & F.col("doc_id").eqNullSafe(F.coalesce("class_id", "doc_id"))).alias("kept"),
     )

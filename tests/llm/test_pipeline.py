@@ -86,3 +86,12 @@ def test_run(corpus, spark):
         assert abs(r["target"] - target[r["source"]]) < 1e-6 and 0 <= r["taken"] <= 2 * r["size"]
         taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
     assert np.allclose([taken[s] for s in total], [target[s] for s in total], atol=1)
+
+
+def test_near_dup_stage_with_odd_ids(spark):
+    text = lambda name: " ".join(f"{name}{k}" for k in range(60))
+    rows = [(1, text("a")), (1, text("b")), (None, text("c")), (None, text("d")), (None, text("d")), (None, text("a") + " more"), (2, text("b")), (3, text("e")), (3, text("e"))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = corpus_pipeline.near_dup_stage(spark, docs, SF).collect()
+    want = [(1, text("a")), (1, text("b")), (None, text("c")), (None, text("d")), (3, text("e"))]
+    assert sorted(map(str, got)) == sorted(str(r) for r in spark.createDataFrame(want, docs.schema).collect())
