@@ -211,8 +211,8 @@ def training_rows(docs: DataFrame, scratch: Scratch, per_label: int, chars: int)
 def detect_languages(spark: SparkSession, docs: DataFrame, *, per_label: int = 500, chars: int = 1024, carry: bool = False) -> DataFrame:
     """Per document row: doc_id, held_out, lang_pred, score.
 
-    docs (doc_id, text, lang).  Learns from at most ``per_label`` rows a language, none of them held out;
-    predicts from the text alone.  Texts that are null or have no letter are ``und`` with score 0, and so
+    docs (doc_id, text, lang).  Learns from at most ``per_label`` rows a language, none of them held out, and
+    of each from at most ``chars`` characters at one drawn place; predicts from the whole text alone.  Texts that are null or have no letter are ``und`` with score 0, and so
     are all texts if there is nothing to learn from.  Rows without lang are predicted but not learnt from;
     repeated rows are predicted alike; an empty table gives an empty result; other columns are ignored.
     With ``carry`` the whole input row comes along as the struct column ``doc``.
