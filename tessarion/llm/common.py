@@ -1,65 +1,18 @@
-"""Shared folder, written tables and small expressions used by several operators."""
+"""Small expressions used by several operators; written tables are the library's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ship import ship_package
+from ..functions.scratch import Scratch, shared_root
+
+__all__ = ["WORD", "Scratch", "ascii_words", "doc_crc_mod", "read", "shared_root", "unit_draw"]
 
 #: Words as the contracts of mixing, substring and near-dedup take them: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` as the session has it.
-
-    Where it is unset (tests, one machine) a temporary folder is set; on a cluster that is an error,
-    because a machine-local folder would lose the data of other machines.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if named is None and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessarion-"))
-    return sc.getCheckpointDir()
-
-
-class Scratch:
-    """Tables written to the shared folder: they cut lineage, survive lost executors and carry their size.
-
-    The written size lets Catalyst decide on broadcasts by ``autoBroadcastJoinThreshold``.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-        self.n = 0
-        ship_package(spark)
-
-    def path(self, tag: str) -> str:
-        self.n += 1
-        return f"{self.root}/{self.n:03d}-{tag}"
-
-    def table(self, df: DataFrame, tag: str) -> DataFrame:
-        path = self.path(tag)
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Remove tables that no later step reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            path.getFileSystem(conf).delete(path, True)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
