@@ -16,6 +16,7 @@ DECISION_PREDICATES = "selected replaced_by deprecated rejected uses depends_on
 DEPENDENCY_PREDICATES = "uses depends_on requires imports calls contains".split()
 USE_PREDICATES = "uses depends_on requires imports calls selected".split()
 CURRENCY_PREDICATES = "selected uses depends_on".split()
+DECLARED_PREDICATES = "replaced_by deprecated".split()
 NEGATABLE = "uses imports calls depends_on requires contains".split()
 FACT_TYPES = {
     "decision": "selected rejected replaced_by deprecated".split(),
@@ -39,6 +40,14 @@ CONFIDENCE_FLOOR = 0.7
 HEDGED, PLAIN = 0.4, 1.0
 HEDGES = "should might may could probably likely appears seems possibly perhaps".split()
 
+# -- fixed values: reasons and kinds of edges ------------------------------------
+DECLARATION = "Explicit {predicate} declaration"
+OCCUPANCY = "Single-occupancy decision supersession"
+PREDATES = " (incoming assertion pre-dates stored assertion)"
+SIMULTANEOUS = "simultaneous_incompatible_assertions"
+NEGATION_CONFLICT = "prohibits_allows_contradiction"
+BY_TIME, BY_INGESTION, BY_PERSON = "recorded_at", "ingestion_order", "human_correction"
+
 # -- fixed values: phrases ----------------------------------------------------
 #: A phrase ends before these, tried one after the other.
 TAIL_MARKERS = (

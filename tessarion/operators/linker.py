@@ -1,18 +1,16 @@
 """Linker: compiled facts to memory, and the rules that retire or contradict facts.
 
-Two modes.  ``rule_edges`` answers the rules as one set-based query over all facts, in any order of
-ingestion.  ``replay`` folds artifacts in order, exactly as an engine that ingests one artifact at a time
-would, in parallel over groups of facts that cannot meet; it is the one to use where the order matters
-(a re-assertion does not bring a retired fact back, a declaration retires only what is stored by then).
+Rules follow the order of ingestion: an artifact meets what memory holds by then, a retired fact that is
+asserted again stays retired, and a declaration retires only what is stored already.  ``replay`` folds any
+number of artifacts, onto stored memory or onto none, to the edges that one artifact at a time would give.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
-from itertools import groupby
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import chain, groupby, islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -20,14 +18,15 @@ from pyspark.sql.window import Window as W
 from ..functions import vocabulary as V
 from ..functions.ids import artifact_ref, content_id, entity_id
 from ..functions.scratch import Scratch
+from . import memory as M
 from .compiler import Compiled, literal_map
-from .components import connected_components
 from .memory import Memory
+from .store import missing
 
-REASONS = {"deprecation": "Explicit {predicate} declaration", "occupancy": "Single-occupancy: newer selection", "earlier": " (incoming assertion pre-dates stored assertion)"}
-SIMULTANEOUS = "simultaneous_incompatible_assertions"
-NEGATION = "direct_negation"
 EDGE = "superseding string, superseded string, reason string, artifact_id string, recorded_at string, basis string"
+CONFLICT = "fact_a string, fact_b string, conflict_type string, artifact_id string"
+#: What a rule is: (session, assertions, memory before them or None) to (supersessions, conflicts).
+Rule = Callable[[SparkSession, DataFrame, Memory | None], tuple[DataFrame, DataFrame]]
 
 
 def authority(artifact_type: Column) -> Column:
@@ -87,7 +86,7 @@ def assertions(artifacts: DataFrame, compiled: Compiled, known: DataFrame | None
 def promote(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """The distinct facts of assertions that memory does not hold."""
     new = rows.select("fact_id", "subject_ref", "predicate", "object_ref", "fact_type").dropDuplicates(["fact_id"])
-    return new if known is None else new.join(known, "fact_id", "left_anti")
+    return new if known is None else missing(new, known, ["fact_id"])
 
 
 def evidence(rows: DataFrame) -> DataFrame:
@@ -110,184 +109,232 @@ def entity_table(artifacts: DataFrame, entity_rows: DataFrame) -> DataFrame:
     return first.select("entity_id", "f.name", "f.type", "aliases")
 
 
-# -- rules, set-based ----------------------------------------------------------
-
-
-def latest_times(facts: DataFrame, evidence_rows: DataFrame) -> DataFrame:
-    """Adds at, the last date of a fact's evidence ('' if none is dated)."""
-    at = evidence_rows.groupBy("fact_id").agg(F.max(F.nullif("recorded_at", F.lit(""))).alias("at"))
-    return facts.join(at, "fact_id", "left").withColumn("at", F.coalesce("at", F.lit("")))
+# -- rules, in order of ingestion ------------------------------------------------
 
 
-def single_occupancy(timed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of the selections of one subject the latest stands: (edges, conflicts).
+def sightings(rows: DataFrame, memory: Memory | None) -> DataFrame:
+    """Facts that a rule may ask about: a row a fact and date, at the place of its first artifact.
 
-    Undated ones give way to dated ones.  Selections of the same latest date all stand and conflict with
-    the least of them.  One shuffle by subject; no selections are paired with each other.
+    ``place`` is (ingest_seq, artifact_id); ``new`` marks where memory takes the fact in.  Copies of an
+    assertion are aggregated before the shuffle, so a fact that all artifacts repeat is as many rows as dates.
     """
-    chosen = timed.where("predicate = 'selected'")
-    of_subject = W.partitionBy("subject_ref")
-    ranked = chosen.withColumn("top", F.max("at").over(of_subject)).withColumn("first", F.min(F.when(F.col("at") == F.col("top"), F.col("fact_id"))).over(of_subject))
-    lost = ranked.where("at < top")
-    basis = F.when(F.col("at") == "", "ingestion_order").otherwise("recorded_at")
-    edges = lost.select(F.col("first").alias("superseding"), F.col("fact_id").alias("superseded"), F.lit(REASONS["occupancy"]).alias("reason"), F.lit("").alias("artifact_id"), F.col("top").alias("recorded_at"), basis.alias("basis"))
-    ties = ranked.where("at = top AND fact_id > first")
-    return edges, ties.select(F.col("first").alias("fact_a"), F.col("fact_id").alias("fact_b"), F.lit(SIMULTANEOUS).alias("conflict_type"))
+    meeting = [*V.CURRENCY_PREDICATES, *V.DECLARED_PREDICATES, "prohibits", "allows"]
+    fact = ["fact_id", "subject_ref", "predicate", "object_ref"]
+    seen = rows.where(F.col("predicate").isin(meeting)).groupBy(*fact, "recorded_at").agg(F.min(F.struct("ingest_seq", "artifact_id")).alias("place"))
+    seen = seen.withColumn("new", F.col("place") == F.min("place").over(W.partitionBy("fact_id")))
+    if memory is None:
+        return seen
+    known = memory.facts.join(seen.select("fact_id"), "fact_id", "left_semi").select("fact_id", F.lit(True).alias("known"))
+    return seen.join(known, "fact_id", "left").withColumn("new", F.col("new") & F.col("known").isNull()).drop("known")
 
 
-def explicit_deprecation(timed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``X replaced_by Y`` retires what names X as the current choice, as subject or as object: (edges, conflicts).
+def standing(memory: Memory, predicates: list[str], refs: DataFrame, side: str) -> DataFrame:
+    """Active stored facts whose ``side`` is among ``refs`` (ref): fact_id, refs, predicate, at (their last date).
 
-    Two equi-joins, since one join on either side would become a nested loop.
+    Stored tables are only scanned: the refs of a batch and the facts found are small, so joins broadcast them.
     """
-    said = timed.where(F.col("predicate").isin("replaced_by", "deprecated")).select(F.col("fact_id").alias("r"), F.col("subject_ref").alias("ref"), F.col("predicate").alias("said"), F.col("at").alias("r_at"))
-    held = timed.where(F.col("predicate").isin(V.CURRENCY_PREDICATES)).select(F.col("fact_id").alias("c"), "subject_ref", "object_ref", F.col("at").alias("c_at"))
-    on = lambda side: said.join(held.withColumnRenamed(side, "ref"), "ref").select("r", "said", "r_at", "c", "c_at")
-    pairs = on("subject_ref").unionByName(on("object_ref")).where("r <> c").dropDuplicates(["r", "c"]).withColumn("order", time_order(F.col("r_at"), F.col("c_at")))
-    loses = F.col("order") == "earlier"
-    edges = pairs.where("order <> 'simultaneous'").select(
-        F.when(loses, F.col("c")).otherwise(F.col("r")).alias("superseding"),
-        F.when(loses, F.col("r")).otherwise(F.col("c")).alias("superseded"),
-        F.concat(F.lit("Explicit "), F.col("said"), F.lit(" declaration"), F.when(loses, REASONS["earlier"]).otherwise("")).alias("reason"),
-        F.lit("").alias("artifact_id"),
-        F.col("r_at").alias("recorded_at"),
-        F.when(F.col("order") == "unknown", "ingestion_order").otherwise("recorded_at").alias("basis"),
-    )
-    ties = pairs.where("order = 'simultaneous'").select(F.least("r", "c").alias("fact_a"), F.greatest("r", "c").alias("fact_b"), F.lit(SIMULTANEOUS).alias("conflict_type"))
-    return edges, ties
+    found = memory.facts.where(F.col("predicate").isin(predicates)).join(refs.select(F.col("ref").alias(side)).distinct(), side, "left_semi")
+    gone = memory.supersessions.select(F.col("superseded").alias("fact_id"))
+    live = found.join(gone.join(found.select("fact_id"), "fact_id", "left_semi"), "fact_id", "left_anti")
+    return live.select("fact_id", "subject_ref", "predicate", "object_ref")
 
 
-def negation_conflicts(facts: DataFrame) -> DataFrame:
-    """``prohibits`` against ``allows`` of the same subject and object."""
-    side = lambda p, c: facts.where(F.col("predicate") == p).select("subject_ref", "object_ref", F.col("fact_id").alias(c))
-    both = side("prohibits", "a").join(side("allows", "b"), ["subject_ref", "object_ref"])
-    return both.select(F.least("a", "b").alias("fact_a"), F.greatest("a", "b").alias("fact_b"), F.lit(NEGATION).alias("conflict_type"))
+def last_dates(memory: Memory, facts: DataFrame) -> DataFrame:
+    """Adds at, the last date of a stored fact's evidence ('' if none is dated)."""
+    at = memory.evidence.join(facts.select("fact_id"), "fact_id", "left_semi").groupBy("fact_id").agg(F.max("recorded_at").alias("at"))
+    return facts.join(at, "fact_id", "left").withColumn("at", F.coalesce("at", F.lit("")))
 
 
-def distinct_edges(edges: DataFrame) -> DataFrame:
-    """The first edge of each pair; edges without an order go by their reason."""
-    first = edges.groupBy("superseding", "superseded").agg(F.min(F.struct("reason", "artifact_id", "recorded_at", "basis")).alias("e"))
-    return first.select("superseding", "superseded", "e.*")
+def verdict_columns(found: DataFrame) -> DataFrame:
+    """Edges and conflicts of meetings: incoming, at, stored, stored_at, reason, artifact_id -> kind and an edge's columns."""
+    order = time_order(F.col("at"), F.col("stored_at"))
+    loses = order == "earlier"
+    return found.select(
+        F.when(order == "simultaneous", "conflict").otherwise("edge").alias("kind"),
+        F.when(loses, F.col("stored")).otherwise(F.col("incoming")).alias("a"),
+        F.when(loses, F.col("incoming")).otherwise(F.col("stored")).alias("b"),
+        F.when(order == "simultaneous", V.SIMULTANEOUS).when(loses, F.concat("reason", F.lit(V.PREDATES))).otherwise(F.col("reason")).alias("reason"),
+        "artifact_id",
+        F.col("at").alias("recorded_at"),
+        F.when(order == "unknown", V.BY_INGESTION).otherwise(V.BY_TIME).alias("basis"),
+    )
 
 
-def distinct_conflicts(conflicts: DataFrame) -> DataFrame:
-    """A conflict is between two facts, in no direction."""
-    return conflicts.select(F.least("fact_a", "fact_b").alias("fact_a"), F.greatest("fact_a", "fact_b").alias("fact_b"), "conflict_type").distinct()
+FOUND = "kind string, a string, b string, reason string, artifact_id string, recorded_at string, basis string"
 
 
-def rule_edges(facts: DataFrame, evidence_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(supersessions, conflicts) of all rules over all facts."""
-    timed = latest_times(facts, evidence_rows)
-    a, x = single_occupancy(timed)
-    b, y = explicit_deprecation(timed)
-    return distinct_edges(a.unionByName(b)), distinct_conflicts(x.unionByName(y).unionByName(negation_conflicts(facts)))
+def usage_meetings(seen: DataFrame, declared: DataFrame, memory: Memory | None) -> DataFrame:
+    """Declarations against facts of use: each such fact is on its own, so this is joins and one window a fact.
 
+    A fact meets the declarations about its subject or its object after its first assertion, up to the first
+    artifact that retires it.
+    """
+    uses = [p for p in V.CURRENCY_PREDICATES if p != "selected"]
+    held = seen.where(F.col("new") & F.col("predicate").isin(uses)).select("fact_id", "subject_ref", "object_ref")
+    dates = seen.where(F.col("predicate").isin(uses)).select("fact_id", "place", "recorded_at")
+    if memory is not None:
+        refs = declared.select("ref")
+        stored = standing(memory, uses, refs, "subject_ref").unionByName(standing(memory, uses, refs, "object_ref")).distinct()
+        stored = last_dates(memory, stored)
+        held = held.unionByName(stored.select("fact_id", "subject_ref", "object_ref"))
+        dates = dates.unionByName(stored.select("fact_id", F.lit(None).cast(seen.schema["place"].dataType).alias("place"), F.col("at").alias("recorded_at")))
+    on = lambda side: declared.join(held.select("fact_id", F.col(side).alias("ref")), "ref")
+    pairs = on("subject_ref").unionByName(on("object_ref")).dropDuplicates(["r", "fact_id"])
+    met = pairs.join(dates.withColumnRenamed("place", "then").withColumnRenamed("recorded_at", "date"), "fact_id").where(F.col("then").isNull() | (F.col("then") < F.col("place")))
+    met = met.groupBy("r", "said", "place", "at", "fact_id").agg(F.max("date").alias("stored_at"))
+    retires = time_order(F.col("at"), F.col("stored_at")).isin("later", "unknown")
+    end = F.min(F.when(retires, F.col("place"))).over(W.partitionBy("fact_id"))
+    met = met.withColumn("end", end).where(F.col("end").isNull() | (F.col("place") <= F.col("end")))
+    return met.select(F.col("r").alias("incoming"), "at", F.col("fact_id").alias("stored"), "stored_at", declaration(F.col("said")).alias("reason"), F.col("place.artifact_id").alias("artifact_id"))
+
+
+def declaration(predicate: Column) -> Column:
+    before, _, after = V.DECLARATION.partition("{predicate}")
+    return F.concat(F.lit(before), predicate, F.lit(after))
+
+
+def fold(events: Iterable[tuple]) -> Iterator[tuple]:
+    """Selections of subjects against each other and against declarations, in order; meetings as they come.
+
+    Events (subject, artifact_id, declared, fact, ref, at, new, said) are sorted by subject and place, what
+    memory holds first (artifact_id null).  Kept is what stands on one subject, however long its history.
+    """
+    for subject, of_subject in groupby(events, key=lambda e: e[0]):
+        at: dict[str, str] = {}  # the last date of each standing selection
+        chosen: dict[str, str] = {}  # object -> the standing selection of it; there is one
+        objects: dict[str, str] = {}
+        for artifact, batch in groupby(of_subject, key=lambda e: e[1]):
+            if artifact is None:
+                for _, _, _, fact, ref, date, _, _ in batch:
+                    at[fact], chosen[ref], objects[fact] = date, fact, ref
+                continue
+            batch = list(batch)
+            gone = set()
+            for _, _, declared, fact, ref, date, new, said in sorted(batch, key=lambda e: not e[2]):
+                if not new:
+                    continue
+                reason = V.DECLARATION.format(predicate=said) if declared else V.OCCUPANCY
+                against = list(at) if not declared or ref == subject else [chosen[ref]] if ref in chosen else []
+                for stored in against:
+                    then = at[stored]
+                    if date and then and date < then:
+                        gone.add(fact)
+                    elif not (date and date == then):
+                        gone.add(stored)
+                    yield fact, date, stored, then, reason, artifact
+            for _, _, declared, fact, ref, date, new, _ in batch:
+                if not declared and (new or fact in at):
+                    at[fact] = max(at.get(fact, ""), date)
+                    chosen[ref], objects[fact] = fact, ref
+            for fact in gone:
+                if at.pop(fact, None) is not None:
+                    del chosen[objects.pop(fact)]
+
+
+MEETING = "incoming string, at string, stored string, stored_at string, reason string, artifact_id string"
+
+
+def fold_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = MEETING.replace(" string", "").split(", ")
+    found = fold(chain.from_iterable(zip(*(c.to_pylist() for c in b.columns), strict=True) for b in batches))
+    while True:
+        rows = list(islice(found, 8192))
+        if not rows:
+            return
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names)
+
+
+def selection_meetings(seen: DataFrame, declared: DataFrame, memory: Memory | None) -> DataFrame:
+    """Selections of one subject depend on each other's fate, so each subject's history streams through ``fold``.
+
+    A subject is one task's stream, which holds no more than the standing selections of it.
+    """
+    chosen = seen.where("predicate = 'selected'")
+    place = seen.schema["place"].dataType
+    none = F.lit(None).cast(place)
+    facts = chosen.select("subject_ref", "place", F.lit(False).alias("declared"), F.col("fact_id").alias("fact"), F.col("object_ref").alias("ref"), F.col("recorded_at").alias("at"), "new", F.lit("").alias("said"))
+    pairs = chosen.select("subject_ref", "object_ref")
+    if memory is not None:
+        refs = declared.select("ref")
+        own = facts.select(F.col("subject_ref").alias("ref")).unionByName(refs).unionByName(standing(memory, ["selected"], refs, "object_ref").select(F.col("subject_ref").alias("ref")))
+        stored = last_dates(memory, standing(memory, ["selected"], own, "subject_ref"))
+        pairs = pairs.unionByName(stored.select("subject_ref", "object_ref"))
+        facts = facts.unionByName(stored.select("subject_ref", none.alias("place"), F.lit(False).alias("declared"), F.col("fact_id").alias("fact"), F.col("object_ref").alias("ref"), "at", F.lit(False).alias("new"), F.lit("").alias("said")))
+    about = pairs.select("subject_ref", F.explode(F.array("subject_ref", "object_ref")).alias("ref")).distinct()
+    said = about.join(declared, "ref").dropDuplicates(["subject_ref", "r"])
+    events = facts.unionByName(said.select("subject_ref", "place", F.lit(True).alias("declared"), F.col("r").alias("fact"), "ref", "at", F.lit(True).alias("new"), "said"))
+    ordered = events.repartition("subject_ref").sortWithinPartitions("subject_ref", F.col("place").asc_nulls_first(), "declared", "fact")
+    return ordered.select("subject_ref", F.col("place.artifact_id").alias("artifact_id"), "declared", "fact", "ref", "at", "new", "said").mapInArrow(fold_stream, MEETING)
+
+
+def negations(seen: DataFrame, memory: Memory | None) -> DataFrame:
+    """``prohibits`` against ``allows`` of the same subject and object, of different artifacts, in either order: kind and columns as of edges."""
+    both = ["prohibits", "allows"]
+    rows = seen.where(F.col("new") & F.col("predicate").isin(both)).select("subject_ref", "object_ref", "predicate", "fact_id", "place")
+    if memory is not None:
+        refs = rows.select(F.col("subject_ref").alias("ref"))
+        stored = standing(memory, both, refs, "subject_ref")
+        rows = rows.unionByName(stored.select("subject_ref", "object_ref", "predicate", "fact_id", F.lit(None).cast(seen.schema["place"].dataType).alias("place")))
+    side = lambda p, c: rows.where(F.col("predicate") == p).select("subject_ref", "object_ref", F.col("fact_id").alias(c), F.col("place").alias(f"{c}_place"))
+    met = side("prohibits", "a").join(side("allows", "b"), ["subject_ref", "object_ref"])
+    met = met.where(~F.col("a_place").eqNullSafe(F.col("b_place")))
+    later = F.greatest("a_place", "b_place")  # of two, one of which may be null
+    empty = F.lit("")
+    return met.select(F.lit("conflict").alias("kind"), "a", "b", F.lit(V.NEGATION_CONFLICT).alias("reason"), later["artifact_id"].alias("artifact_id"), empty.alias("recorded_at"), empty.alias("basis"))
+
+
+def replay(spark: SparkSession, rows: DataFrame, memory: Memory | None = None) -> tuple[DataFrame, DataFrame]:
+    """(supersessions, conflicts) of ``assertions`` folded in order of (ingest_seq, artifact_id) onto ``memory``.
+
+    Two artifacts that come in one batch or in two, in the same order, give the same edges.  Every edge
+    carries the artifact that caused it.
+    """
+    scratch = Scratch(spark, "replay")
+    seen = scratch.table(sightings(rows, memory), "sightings")
+    declared = seen.where(F.col("new") & F.col("predicate").isin(V.DECLARED_PREDICATES))
+    declared = scratch.table(declared.select(F.col("fact_id").alias("r"), F.col("subject_ref").alias("ref"), F.col("predicate").alias("said"), "place", F.col("recorded_at").alias("at")), "declared")
+    met = usage_meetings(seen, declared, memory).unionByName(selection_meetings(seen, declared, memory))
+    found = scratch.table(verdict_columns(met).unionByName(negations(seen, memory)), "edges")
+    scratch.drop(seen, declared)
+    edges = found.where("kind = 'edge'").select(F.col("a").alias("superseding"), F.col("b").alias("superseded"), "reason", "artifact_id", "recorded_at", "basis")
+    conflicts = found.where("kind = 'conflict'").select(F.least("a", "b").alias("fact_a"), F.greatest("a", "b").alias("fact_b"), F.col("reason").alias("conflict_type"), "artifact_id")
+    return edges, conflicts
 
-# -- rules, in order of ingestion ------------------------------------------------
 
+#: The rules of a linker; further ones see the same assertions and the same memory.
+DEFAULT_RULES: tuple[Rule, ...] = (replay,)
 
-def fold(rows: pd.DataFrame) -> list[tuple]:
-    """Ingest assertions in order; (kind, a, b, reason or type, artifact_id, recorded_at, basis) of the edges.
 
-    Active facts are indexed by subject, by object and by both, so an artifact costs what it meets and
-    not what memory holds.  Rules see memory as it was before the artifact.
-    """
-    known: set[str] = set()
-    times: dict[str, str] = {}
-    edges: dict[tuple, tuple] = {}
-    held: dict[str, tuple] = {}
-    chosen, by_subject, by_object, allowed = (defaultdict(dict) for _ in range(4))
-
-    def places(s: str, p: str, o: str) -> Iterator[dict]:
-        if p == "selected":
-            yield chosen[s]
-        if p in V.CURRENCY_PREDICATES:
-            yield by_subject[s]
-            yield by_object[o]
-        if p == "allows":
-            yield allowed[s, o]
-
-    ordered = rows.sort_values(["ingest_seq", "fact_ord"], kind="stable").itertuples()
-    for _, group in groupby(ordered, key=lambda r: r.ingest_seq):
-        batch = list(group)
-        promoted = list({r.fact_id: r for r in reversed(batch) if r.fact_id not in known}.values())[::-1]
-        found: list[tuple] = []
-
-        def against(incoming, stored: str, reason: str, found: list[tuple] = found) -> None:
-            at, then = incoming.recorded_at, times.get(stored, "")
-            if at and then and at == then:
-                found.append(("conflict", stored, incoming.fact_id, SIMULTANEOUS, incoming.artifact_id, "", ""))
-            elif at and then and at < then:
-                found.append(("edge", stored, incoming.fact_id, reason + REASONS["earlier"], incoming.artifact_id, at, "recorded_at"))
-            else:
-                found.append(("edge", incoming.fact_id, stored, reason, incoming.artifact_id, at, "recorded_at" if at and then else "ingestion_order"))
-
-        for r in promoted:
-            if r.predicate in ("replaced_by", "deprecated"):
-                for index in (by_subject, by_object):
-                    for f in index.get(r.subject_ref, ()):
-                        if f != r.fact_id:
-                            against(r, f, REASONS["deprecation"].format(predicate=r.predicate))
-        for r in promoted:
-            if r.predicate == "selected":
-                for f, o in chosen.get(r.subject_ref, {}).items():
-                    if o != r.object_ref:
-                        against(r, f, REASONS["occupancy"])
-        for r in promoted:
-            if r.predicate == "prohibits":
-                for f in allowed.get((r.subject_ref, r.object_ref), ()):
-                    found.append(("conflict", f, r.fact_id, NEGATION, r.artifact_id, "", ""))
-        for r in promoted:
-            known.add(r.fact_id)
-            held[r.fact_id] = (r.subject_ref, r.predicate, r.object_ref)
-            for index in places(*held[r.fact_id]):
-                index[r.fact_id] = r.object_ref
-        for r in batch:
-            times[r.fact_id] = max(times.get(r.fact_id, ""), r.recorded_at)
-        for e in found:
-            key = (e[0], e[1], e[2]) if e[0] == "edge" else (e[0], *sorted(e[1:3]), e[3])
-            if key not in edges:
-                edges[key] = e
-                if e[0] == "edge" and e[2] in held:
-                    for index in places(*held.pop(e[2])):
-                        index.pop(e[2], None)
-    return list(edges.values())
-
-
-def replay(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(supersessions, conflicts) of ``assertions`` folded in order of ``ingest_seq``.
-
-    Facts meet in a rule only through a common subject or object, so each connected group of refs is
-    folded by itself.
-    """
-    scratch = Scratch(spark, "replay")
-    meeting = ["selected", "uses", "depends_on", "replaced_by", "deprecated", "prohibits", "allows"]
-    rows = scratch.table(rows.where(F.col("predicate").isin(meeting)).select("fact_id", "subject_ref", "predicate", "object_ref", "artifact_id", "fact_ord", "recorded_at", "ingest_seq"), "assertions")
-    groups = connected_components(rows.select("subject_ref", "object_ref"), scratch, "subject_ref", "object_ref")
-    grouped = rows.join(groups.select(F.col("id").alias("subject_ref"), "component"), "subject_ref", "left").withColumn("component", F.coalesce("component", "subject_ref"))
+def distinct_edges(edges: DataFrame) -> DataFrame:
+    """The edge of the first rule (``rule``) that found each pair."""
+    first = edges.groupBy("superseding", "superseded").agg(F.min(F.struct("rule", "reason", "artifact_id", "recorded_at", "basis")).alias("e"))
+    return first.select("superseding", "superseded", "e.reason", "e.artifact_id", "e.recorded_at", "e.basis")
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(fold(part), columns=["kind", "a", "b", "reason", "artifact_id", "recorded_at", "basis"]).astype(str)
 
-    found = scratch.table(grouped.groupBy("component").applyInPandas(run, "kind string, a string, b string, reason string, artifact_id string, recorded_at string, basis string"), "edges")
-    edges = found.where("kind = 'edge'").select(F.col("a").alias("superseding"), F.col("b").alias("superseded"), "reason", "artifact_id", "recorded_at", "basis")
-    conflicts = found.where("kind = 'conflict'").select(F.least("a", "b").alias("fact_a"), F.greatest("a", "b").alias("fact_b"), F.col("reason").alias("conflict_type"))
-    return edges, conflicts
+def distinct_conflicts(conflicts: DataFrame) -> DataFrame:
+    """A conflict is between two facts, in no direction."""
+    pair = [F.least("fact_a", "fact_b").alias("fact_a"), F.greatest("fact_a", "fact_b").alias("fact_b"), "conflict_type"]
+    return conflicts.groupBy(*pair).agg(F.min(F.struct("rule", "artifact_id")).alias("e")).select("fact_a", "fact_b", "conflict_type", "e.artifact_id")
+
+
+def apply_rules(spark: SparkSession, rows: DataFrame, memory: Memory | None = None, rules: Sequence[Rule] = DEFAULT_RULES) -> tuple[DataFrame, DataFrame]:
+    """(supersessions, conflicts) of all rules, each pair once."""
+    edges, conflicts = spark.createDataFrame([], f"{EDGE}, rule int"), spark.createDataFrame([], f"{CONFLICT}, rule int")
+    for k, rule in enumerate(rules):
+        e, c = rule(spark, rows, memory)
+        edges, conflicts = edges.unionByName(e.withColumn("rule", F.lit(k))), conflicts.unionByName(c.withColumn("rule", F.lit(k)))
+    return distinct_edges(edges), distinct_conflicts(conflicts)
 
 
-def link(spark: SparkSession, artifacts: DataFrame, compiled: Compiled, *, in_order: bool = False, rules=()) -> Memory:
-    """Memory of compiled artifacts (artifact_id, type, recorded_at, ingest_seq).
+def link(spark: SparkSession, artifacts: DataFrame, compiled: Compiled, *, memory: Memory | None = None, rules: Sequence[Rule] = DEFAULT_RULES) -> Memory:
+    """What compiled artifacts (artifact_id, type, recorded_at, ingest_seq) add to ``memory``, or a memory of them alone.
 
-    ``in_order`` replays the rules artifact by artifact; ``rules`` are further functions of
-    (facts, evidence) that return supersession edges.
+    ``ingest_seq`` orders the artifacts and may be of any type that has an order; equals go by artifact_id.
     """
     keep = Scratch(spark, "linked").table
-    rows = keep(assertions(artifacts, compiled), "assertions")
-    facts, proof = promote(rows), evidence(rows)
-    edges, conflicts = replay(spark, rows) if in_order else rule_edges(facts, proof)
-    for rule in rules:
-        edges = distinct_edges(edges.unionByName(rule(facts, proof)))
-    return Memory(entity_table(artifacts, compiled.entities), facts, proof, keep(edges, "edges"), keep(conflicts, "conflicts"))
+    rows = keep(assertions(artifacts, compiled, None if memory is None else M.aliases(memory.entities)), "assertions")
+    edges, conflicts = apply_rules(spark, rows, memory, rules)
+    return Memory(entity_table(artifacts, compiled.entities), promote(rows, None if memory is None else memory.facts), evidence(rows), keep(edges, "edges"), keep(conflicts, "conflicts"))
 
 
 def retract(memory: Memory, fact_id: str, reason: str, author: str, on: str) -> tuple[Memory, str]:
@@ -310,9 +357,9 @@ def retract(memory: Memory, fact_id: str, reason: str, author: str, on: str) ->
         content_id("evidence", F.col("artifact_id"), F.lit("fact:0")).alias("evidence_id"), "fact_id", "artifact_id", F.lit("correction").alias("artifact_type"), F.lit(on).alias("recorded_at"),
         F.lit(1.0).alias("confidence"), F.lit(V.AUTHORITY["correction"]).alias("authority"), F.array(F.lit(reason)).alias("supporting"),
     )
-    edge = marker.select(F.col("fact_id").alias("superseding"), F.lit(fact_id).alias("superseded"), F.lit(reason).alias("reason"), "artifact_id", F.lit(on).alias("recorded_at"), F.lit("human_correction").alias("basis"))
+    edge = marker.select(F.col("fact_id").alias("superseding"), F.lit(fact_id).alias("superseded"), F.lit(reason).alias("reason"), "artifact_id", F.lit(on).alias("recorded_at"), F.lit(V.BY_PERSON).alias("basis"))
     after = Memory(memory.entities, memory.facts.unionByName(fact), memory.evidence.unionByName(proof), memory.supersessions.unionByName(edge), memory.conflicts)
     return after, marker.first()["artifact_id"]
 
 
-__all__ = ["assertions", "authority", "bind", "link", "literal_map", "replay", "retract", "rule_edges", "time_order", "weight"]
+__all__ = ["DEFAULT_RULES", "apply_rules", "assertions", "authority", "bind", "link", "literal_map", "replay", "retract", "time_order", "weight"]

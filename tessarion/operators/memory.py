@@ -14,7 +14,7 @@ SCHEMAS = {
     "facts": "fact_id string, subject_ref string, predicate string, object_ref string, fact_type string",
     "evidence": "evidence_id string, fact_id string, artifact_id string, artifact_type string, recorded_at string, confidence double, authority double, supporting array<string>",
     "supersessions": "superseding string, superseded string, reason string, artifact_id string, recorded_at string, basis string",
-    "conflicts": "fact_a string, fact_b string, conflict_type string",
+    "conflicts": "fact_a string, fact_b string, conflict_type string, artifact_id string",
 }
 KEYS = {"entities": ["entity_id"], "facts": ["fact_id"], "evidence": ["evidence_id"], "supersessions": ["superseding", "superseded"], "conflicts": ["fact_a", "fact_b", "conflict_type"]}
 
@@ -35,22 +35,15 @@ class Memory:
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> Memory:
-        return cls(*[spark.read.schema(SCHEMAS[f.name]).parquet(f"{folder}/{f.name}") for f in fields(cls)])
+        from .store import FolderStore
+
+        return FolderStore(spark, folder).load()
 
     def save(self, folder: str) -> None:
-        for f in fields(self):
-            append_new(getattr(self, f.name), folder, f.name)
-
-
-def append_new(rows: DataFrame, folder: str, table: str) -> None:
-    """Append the rows whose key the stored table lacks, so that a repeated batch adds nothing."""
-    spark, key = rows.sparkSession, KEYS[table]
-    path = f"{folder}/{table}"
-    shaped = spark.createDataFrame([], SCHEMAS[table]).unionByName(rows.select(*spark.createDataFrame([], SCHEMAS[table]).columns)).dropDuplicates(key)
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
-        shaped = shaped.join(spark.read.schema(SCHEMAS[table]).parquet(path).select(*key), key, "left_anti")
-    shaped.write.mode("append").parquet(path)
+        """Add what the folder's memory lacks, as one commit; saving again adds nothing."""
+        from .store import FolderStore, as_tables
+
+        FolderStore(self.facts.sparkSession, folder).commit(as_tables(self))
 
 
 # -- lookups --------------------------------------------------------------------

@@ -133,9 +133,9 @@ def k08_evidence_in_order(spark, sf):
     return proof.groupBy("fact_id").agg(F.array_join(F.transform(listed, lambda x: x["evidence_id"]), ",").alias("proof"))
 
 
-@query("SELECT superseding, superseded, reason, recorded_at, basis FROM supersession")
+@query("SELECT superseding, superseded, reason, artifact_id, recorded_at, basis FROM supersession")
 def k09_supersessions(spark, sf):
-    return P.star_memory(spark, sf).supersessions.drop("artifact_id")
+    return P.star_memory(spark, sf).supersessions
 
 
 @query("SELECT fact_id, fact_id IN (SELECT fact_id FROM gone) AS is_superseded FROM fact")
@@ -312,7 +312,7 @@ def q03_decisions_of_classes(spark, sf):
     return B.decisions_of(B.beliefs(P.star_memory(spark, sf))).select("class_id", "fact_id", "support", "last_asserted")
 
 
-@query(_CLASS + """, tl AS (SELECT DISTINCT recorded_at AS w, fact_id, 'asserted' AS event, artifact_id, artifact_type FROM ev UNION SELECT DISTINCT recorded_at, superseded, 'retired', '', '' FROM supersession)
+@query(_CLASS + """, tl AS (SELECT DISTINCT recorded_at AS w, fact_id, 'asserted' AS event, artifact_id, artifact_type FROM ev UNION SELECT DISTINCT recorded_at, superseded, 'retired', artifact_id, '' FROM supersession)
 SELECT class_id, w AS "when", fact_id, event, artifact_id, artifact_type, CAST(row_number() OVER (PARTITION BY class_id ORDER BY w = '', w, fact_id, event, artifact_id) AS INTEGER) AS place FROM men JOIN tl USING (fact_id)""")
 def q05_timelines(spark, sf):
     return B.timeline(P.star_memory(spark, sf)).drop("statement")
@@ -438,16 +438,14 @@ def l05_time_order(spark, sf):
     return arts.join(b, "ingest_seq").select(F.col("artifact_id").alias("a"), "b", linker.time_order(F.col("recorded_at"), F.col("bt")).alias("time_order"))
 
 
-@query("SELECT fact_a, fact_b, conflict_type FROM conflict")
+@query("SELECT fact_a, fact_b, conflict_type, artifact_id FROM conflict")
 def l10_conflicts(spark, sf):
     return P.star_memory(spark, sf).conflicts
 
 
-@query()
+@query("SELECT superseding, superseded, reason, artifact_id, recorded_at, basis FROM supersession")
 def l12_replay_in_order(spark, sf):
-    rows = P.asserted(spark, sf).join(P.order_artifacts(spark, sf).select("artifact_id", "ingest_seq"), "artifact_id", "left")
-    rows = rows.withColumn("ingest_seq", F.coalesce("ingest_seq", F.lit(-1).cast("bigint"))).withColumn("fact_ord", F.xxhash64("fact_id"))
-    return linker.replay(spark, rows)[0]
+    return linker.replay(spark, P.asserted(spark, sf))[0]
 
 
 # -- compiler ----------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import content_id, entity_id
 from ..functions.scratch import Scratch
-from ..operators.linker import authority, rule_edges
+from ..operators.linker import authority, replay
 from ..operators.memory import Memory
 
 
@@ -46,7 +46,7 @@ def line_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = read(spark, sf_dir, "nation").select("n_nationkey", entity_id(F.col("n_name")).alias("subject_ref"))
     parts = read(spark, sf_dir, "part").select("p_partkey", entity_id(part_name()).alias("object_ref"))
     rows = lines.join(arts, lines["l_orderkey"] == arts["ingest_seq"]).join(customers, F.col("custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    return rows.select("subject_ref", F.element_at(predicate, F.col("l_returnflag")).alias("predicate"), "object_ref", "artifact_id", F.col("type").alias("artifact_type"), "recorded_at", F.when(F.col("l_discount") > 0.05, 0.4).otherwise(1.0).alias("confidence"))
+    return rows.select("subject_ref", F.element_at(predicate, F.col("l_returnflag")).alias("predicate"), "object_ref", "artifact_id", "ingest_seq", F.col("type").alias("artifact_type"), "recorded_at", F.when(F.col("l_discount") > 0.05, 0.4).otherwise(1.0).alias("confidence"))
 
 
 def part_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,10 +56,10 @@ def part_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = parts.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("part").alias("next"))
     replaced = parts.where("p_size = 50").join(after, "p_partkey").select("p_partkey", F.col("part").alias("s"), F.lit("replaced_by").alias("predicate"), F.col("next").alias("o"))
     of_nation = parts.join(nations, F.col("p_partkey") % 25 == F.col("n_nationkey"))
-    rule = lambda cond, p: of_nation.where(cond).select("p_partkey", F.col("n_name").alias("s"), F.lit(p).alias("predicate"), F.col("part").alias("o"))
+    rule = lambda cond, p: of_nation.where(cond).select((F.col("p_partkey") + (1 if p == "allows" else 0)).alias("p_partkey"), F.col("n_name").alias("s"), F.lit(p).alias("predicate"), F.col("part").alias("o"))
     rows = replaced.unionByName(rule("p_size IN (1, 2)", "prohibits")).unionByName(rule("p_size = 2", "allows"))
     return rows.select(
-        entity_id(F.col("s")).alias("subject_ref"), "predicate", entity_id(F.col("o")).alias("object_ref"), content_id("artifact", F.lit("part"), F.col("p_partkey").cast("string")).alias("artifact_id"),
+        entity_id(F.col("s")).alias("subject_ref"), "predicate", entity_id(F.col("o")).alias("object_ref"), content_id("artifact", F.lit("part"), F.col("p_partkey").cast("string")).alias("artifact_id"), (F.col("p_partkey") * 7).alias("ingest_seq"),
         F.lit("adr").alias("artifact_type"), F.lit("1998-01-01").alias("recorded_at"), F.lit(1.0).alias("confidence"),
     )
 
@@ -69,7 +69,7 @@ def identity_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations, regions = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
     rows = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
     return rows.select(
-        entity_id(F.col("n_name")).alias("subject_ref"), F.lit("same_as").alias("predicate"), entity_id(F.col("r_name")).alias("object_ref"), content_id("artifact", F.lit("nation"), F.col("n_nationkey").cast("string")).alias("artifact_id"),
+        entity_id(F.col("n_name")).alias("subject_ref"), F.lit("same_as").alias("predicate"), entity_id(F.col("r_name")).alias("object_ref"), content_id("artifact", F.lit("nation"), F.col("n_nationkey").cast("string")).alias("artifact_id"), F.col("n_nationkey").cast("bigint").alias("ingest_seq"),
         F.lit("document").alias("artifact_type"), F.lit("").alias("recorded_at"), F.lit(1.0).alias("confidence"),
     )
 
@@ -99,7 +99,7 @@ def build_star_memory(spark: SparkSession, sf_dir: str) -> Memory:
     scratch = Scratch(spark, "star")
     rows = scratch.table(asserted(spark, sf_dir), "asserted")
     facts, proof = scratch.table(facts_of(rows), "facts"), scratch.table(evidence_of(rows), "evidence")
-    edges, conflicts = rule_edges(facts, proof)
+    edges, conflicts = replay(spark, rows)
     return Memory(scratch.table(entity_rows(spark, sf_dir), "entities"), facts, proof, scratch.table(edges, "supersessions"), scratch.table(conflicts, "conflicts"))
 
 
@@ -152,15 +152,15 @@ ent AS (
 np AS (SELECT p_partkey, p_size, {_PART} AS part, n_name FROM part JOIN nation ON p_partkey % 25 = n_nationkey),
 said AS (
   SELECT {sql_entity("n_name")} AS subject_ref, CASE l_returnflag WHEN 'A' THEN 'uses' WHEN 'N' THEN 'selected' ELSE 'depends_on' END AS predicate,
-    {sql_entity(_PART)} AS object_ref, artifact_id, art.type AS artifact_type, recorded_at, CASE WHEN l_discount > 0.05 THEN CAST(0.4 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END AS confidence
+    {sql_entity(_PART)} AS object_ref, artifact_id, ingest_seq, art.type AS artifact_type, recorded_at, CASE WHEN l_discount > 0.05 THEN CAST(0.4 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END AS confidence
   FROM lineitem JOIN art ON l_orderkey = ingest_seq JOIN customer ON custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey
   UNION ALL
-  SELECT {sql_entity("s")}, p, {sql_entity("o")}, {sql_id("artifact", "'part'", "CAST(k AS VARCHAR)")}, 'adr', '1998-01-01', CAST(1.0 AS DOUBLE) FROM (
+  SELECT {sql_entity("s")}, p, {sql_entity("o")}, {sql_id("artifact", "'part'", "CAST(k AS VARCHAR)")}, k * 7, 'adr', '1998-01-01', CAST(1.0 AS DOUBLE) FROM (
     SELECT a.p_partkey AS k, a.part AS s, 'replaced_by' AS p, b.part AS o FROM np a JOIN np b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_size = 50
     UNION ALL SELECT p_partkey, n_name, 'prohibits', part FROM np WHERE p_size IN (1, 2)
-    UNION ALL SELECT p_partkey, n_name, 'allows', part FROM np WHERE p_size = 2)
+    UNION ALL SELECT p_partkey + 1, n_name, 'allows', part FROM np WHERE p_size = 2)
   UNION ALL
-  SELECT {sql_entity("n_name")}, 'same_as', {sql_entity("r_name")}, {sql_id("artifact", "'nation'", "CAST(n_nationkey AS VARCHAR)")}, 'document', '', CAST(1.0 AS DOUBLE) FROM nation JOIN region ON n_regionkey = r_regionkey),
+  SELECT {sql_entity("n_name")}, 'same_as', {sql_entity("r_name")}, {sql_id("artifact", "'nation'", "CAST(n_nationkey AS VARCHAR)")}, n_nationkey, 'document', '', CAST(1.0 AS DOUBLE) FROM nation JOIN region ON n_regionkey = r_regionkey),
 asserted AS (SELECT *, {sql_id("fact", "subject_ref", "predicate", "object_ref")} AS fact_id FROM said),
 fact AS (SELECT DISTINCT fact_id, subject_ref, predicate, object_ref FROM asserted),
 ev AS (
@@ -168,26 +168,48 @@ ev AS (
     SELECT DISTINCT {sql_id("evidence", "artifact_id", "fact_id", "CASE WHEN confidence < 1 THEN '0.4' ELSE '1.0' END")} AS evidence_id, fact_id, artifact_id, artifact_type, recorded_at, confidence FROM asserted)),
 sup AS (
   SELECT fact_id, round(sum(round(confidence * authority, 6)), 6) AS support, count(*) AS evidence_count, coalesce(max(nullif(recorded_at, '')), '') AS last_asserted FROM ev GROUP BY fact_id),
-timed AS (SELECT fact.*, coalesce(last_asserted, '') AS seen FROM fact LEFT JOIN sup USING (fact_id)),
-sel AS (SELECT *, max(seen) OVER (PARTITION BY subject_ref) AS top FROM timed WHERE predicate = 'selected'),
-win AS (SELECT subject_ref, min(fact_id) AS first FROM sel WHERE seen = top GROUP BY subject_ref),
+sight AS (
+  SELECT fact_id, subject_ref, predicate, object_ref, recorded_at, min(row(ingest_seq, artifact_id)) AS place FROM asserted
+  WHERE predicate IN ('selected', 'uses', 'depends_on', 'replaced_by', 'deprecated', 'prohibits', 'allows') GROUP BY ALL),
+seen AS MATERIALIZED (SELECT *, place = min(place) OVER (PARTITION BY fact_id) AS new FROM sight),
+declared AS (SELECT fact_id AS r, subject_ref AS ref, predicate AS said, place, recorded_at AS r_at FROM seen WHERE new AND predicate IN ('replaced_by', 'deprecated')),
 pair AS (
-  SELECT DISTINCT r.fact_id AS r, r.seen AS r_at, c.fact_id AS c, c.seen AS c_at FROM timed r JOIN timed c
-    ON (c.subject_ref = r.subject_ref OR c.object_ref = r.subject_ref) AND c.predicate IN ('selected', 'uses', 'depends_on') WHERE r.predicate IN ('replaced_by', 'deprecated')),
-edge AS (
-  SELECT superseding, superseded, min(row(reason, recorded_at, basis)) AS e FROM (
-    SELECT first AS superseding, fact_id AS superseded, 'Single-occupancy: newer selection' AS reason, top AS recorded_at, CASE WHEN seen = '' THEN 'ingestion_order' ELSE 'recorded_at' END AS basis FROM sel JOIN win USING (subject_ref) WHERE seen < top
-    UNION ALL
-    SELECT CASE WHEN c_at <> '' AND r_at <> '' AND r_at < c_at THEN c ELSE r END, CASE WHEN c_at <> '' AND r_at <> '' AND r_at < c_at THEN r ELSE c END,
-      'Explicit replaced_by declaration' || CASE WHEN c_at <> '' AND r_at <> '' AND r_at < c_at THEN ' (incoming assertion pre-dates stored assertion)' ELSE '' END, r_at,
-      CASE WHEN c_at = '' OR r_at = '' THEN 'ingestion_order' ELSE 'recorded_at' END FROM pair WHERE c_at = '' OR r_at = '' OR c_at <> r_at)
-  GROUP BY superseding, superseded),
-supersession AS (SELECT superseding, superseded, e[1] AS reason, e[2] AS recorded_at, e[3] AS basis FROM edge),
+  SELECT r, said, d.place, r_at, c.fact_id AS c, max(c.recorded_at) AS c_at FROM declared d JOIN seen c ON (c.subject_ref = d.ref OR c.object_ref = d.ref) AND c.predicate IN ('uses', 'depends_on') AND c.place < d.place
+  GROUP BY ALL),
+ended AS (SELECT *, min(CASE WHEN r_at = '' OR c_at = '' OR r_at > c_at THEN place END) OVER (PARTITION BY c) AS until FROM pair),
+chosen AS (SELECT * FROM seen WHERE predicate = 'selected'),
+about AS (SELECT DISTINCT subject_ref, declared.* FROM declared JOIN (SELECT subject_ref, subject_ref AS ref FROM chosen UNION SELECT subject_ref, object_ref FROM chosen) USING (ref)),
+event AS MATERIALIZED (
+  SELECT subject_ref, place, max(t) AS t, row_number() OVER (PARTITION BY subject_ref ORDER BY place) AS n,
+    coalesce(list({{f: fact_id, o: object_ref, t: t, new: new}}) FILTER (fact_id IS NOT NULL), []) AS facts, coalesce(list({{r: r, ref: ref, said: said}}) FILTER (r IS NOT NULL), []) AS decls
+  FROM (SELECT subject_ref, place, recorded_at AS t, fact_id, object_ref, new, NULL AS r, NULL AS ref, NULL AS said FROM chosen UNION ALL SELECT subject_ref, place, r_at, NULL, NULL, NULL, r, ref, said FROM about)
+  GROUP BY subject_ref, place),
+step AS (
+  SELECT DISTINCT subject_ref, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(f VARCHAR, o VARCHAR, t VARCHAR)[]) AS held, CAST([] AS STRUCT(i VARCHAR, f VARCHAR, o VARCHAR, reason VARCHAR)[]) AS met, CAST('' AS VARCHAR) AS artifact_id, CAST('' AS VARCHAR) AS t FROM event
+  UNION ALL
+  SELECT subject_ref, n,
+    list_concat(
+      list_transform(list_filter(held, lambda h: NOT list_contains(list_transform(list_filter(met, lambda m: m.o IN ('later', 'unknown')), lambda m: m.f), h.f)),
+        lambda h: {{f: h.f, o: h.o, t: greatest(h.t, coalesce(list_max(list_transform(list_filter(facts, lambda x: x.f = h.f), lambda x: x.t)), ''))}}),
+      list_transform(list_filter(facts, lambda x: x.new AND NOT list_contains(list_transform(list_filter(met, lambda m: m.o = 'earlier'), lambda m: m.i), x.f)), lambda x: {{f: x.f, o: x.o, t: x.t}})),
+    met, artifact_id, t
+  FROM (
+    SELECT step.subject_ref, event.n, held, facts, place[2] AS artifact_id, event.t, list_transform(list_concat(
+        flatten(list_transform(decls, lambda d: list_transform(list_filter(held, lambda h: d.ref = step.subject_ref OR h.o = d.ref), lambda h: {{i: d.r, f: h.f, t: h.t, reason: 'Explicit ' || d.said || ' declaration'}}))),
+        flatten(list_transform(list_filter(facts, lambda x: x.new), lambda x: list_transform(held, lambda h: {{i: x.f, f: h.f, t: h.t, reason: 'Single-occupancy decision supersession'}})))),
+      lambda m: {{i: m.i, f: m.f, o: CASE WHEN m.t = '' OR event.t = '' THEN 'unknown' WHEN event.t > m.t THEN 'later' WHEN event.t < m.t THEN 'earlier' ELSE 'simultaneous' END, reason: m.reason}}) AS met
+    FROM step JOIN event ON event.subject_ref = step.subject_ref AND event.n = step.n + 1)),
+meeting AS MATERIALIZED (
+  SELECT m.i, m.f, m.o, m.reason, artifact_id, t FROM (SELECT unnest(met) AS m, artifact_id, t FROM step)
+  UNION ALL
+  SELECT r, c, CASE WHEN r_at = '' OR c_at = '' THEN 'unknown' WHEN r_at > c_at THEN 'later' WHEN r_at < c_at THEN 'earlier' ELSE 'simultaneous' END, 'Explicit ' || said || ' declaration', place[2], r_at FROM ended WHERE until IS NULL OR place <= until),
+supersession AS (
+  SELECT CASE WHEN o = 'earlier' THEN f ELSE i END AS superseding, CASE WHEN o = 'earlier' THEN i ELSE f END AS superseded, reason || CASE WHEN o = 'earlier' THEN ' (incoming assertion pre-dates stored assertion)' ELSE '' END AS reason,
+    artifact_id, t AS recorded_at, CASE WHEN o = 'unknown' THEN 'ingestion_order' ELSE 'recorded_at' END AS basis FROM meeting WHERE o <> 'simultaneous'),
 conflict AS (
-  SELECT DISTINCT least(a, b) AS fact_a, greatest(a, b) AS fact_b, t AS conflict_type FROM (
-    SELECT first AS a, fact_id AS b, 'simultaneous_incompatible_assertions' AS t FROM sel JOIN win USING (subject_ref) WHERE seen = top AND fact_id > first
-    UNION ALL SELECT r, c, 'simultaneous_incompatible_assertions' FROM pair WHERE c_at <> '' AND c_at = r_at
-    UNION ALL SELECT p.fact_id, a.fact_id, 'direct_negation' FROM fact p JOIN fact a USING (subject_ref, object_ref) WHERE p.predicate = 'prohibits' AND a.predicate = 'allows')),
+  SELECT least(i, f) AS fact_a, greatest(i, f) AS fact_b, 'simultaneous_incompatible_assertions' AS conflict_type, artifact_id FROM meeting WHERE o = 'simultaneous'
+  UNION ALL SELECT least(p.fact_id, a.fact_id), greatest(p.fact_id, a.fact_id), 'prohibits_allows_contradiction', greatest(p.place, a.place)[2]
+  FROM seen p JOIN seen a USING (subject_ref, object_ref) WHERE p.new AND a.new AND p.predicate = 'prohibits' AND a.predicate = 'allows' AND p.place <> a.place),
 gone AS (SELECT DISTINCT superseded AS fact_id FROM supersession),
 lab AS (SELECT entity_id AS ref, name AS label FROM ent)
 """

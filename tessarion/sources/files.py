@@ -56,11 +56,21 @@ def load_scenario(spark: SparkSession, folder: str) -> DataFrame:
     return _artifacts(rows)
 
 
-def scan_folder(spark: SparkSession, folder: str, dates: DataFrame | None = None) -> DataFrame:
-    """All Markdown files below a folder, by path; ``dates`` (path, recorded_at) dates them."""
-    rows = _files(spark, folder, "*.md").withColumn("type", inferred_type(F.col("stem")))
-    rows = rows.withColumn("recorded_at", F.lit("")) if dates is None else rows.join(dates, "path", "left").withColumn("recorded_at", F.coalesce("recorded_at", F.lit("")))
-    return _artifacts(rows.withColumn("ingest_seq", F.xxhash64("path")))
+def scan_folder(spark: SparkSession, folder: str, dates: DataFrame | None = None, since: str = "", pattern: str = "*.md") -> DataFrame:
+    """All Markdown files below a folder, in order of their paths.
+
+    ``dates`` (path, recorded_at) dates them, paths as they are below the folder or in full; what is dated
+    ``since`` or before is left out, what is undated never is.
+    """
+    rows = _files(spark, folder, pattern).withColumn("type", inferred_type(F.col("stem"))).withColumn("recorded_at", F.lit(""))
+    if dates is not None:
+        inside = folder.rstrip("/").split(":", 1)[-1].lstrip("/") + "/"
+        below = lambda c: F.element_at(F.split(F.col(c), r"\Q" + inside + r"\E", 2), -1)
+        known = dates.groupBy(below("path").alias("__path")).agg(F.min("recorded_at").alias("__date"))
+        rows = rows.join(known, below("path") == F.col("__path"), "left").withColumn("recorded_at", F.coalesce("__date", F.lit("")))
+    if since:
+        rows = rows.where((F.col("recorded_at") == "") | (F.col("recorded_at") > since))
+    return _artifacts(rows.withColumn("ingest_seq", F.col("path")))
 
 
 def unknown(artifacts: DataFrame, applied: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 import itertools
+import random
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +9,7 @@ from tessarion.operators import apps, compiler, linker, prose, reports
 from tessarion.operators import belief as B
 from tessarion.operators import memory as M
 from tessarion.operators.memory import Memory
+from tessarion.operators.store import FolderStore, SessionStore
 
 
 @pytest.fixture(scope="module")
@@ -53,41 +54,149 @@ def test_saving_again_adds_nothing(corpora, spark):
     assert M.stats(Memory.load(spark, folder)).first() == before
 
 
-def test_all_orders_agree():
-    """The fold over one subject comes to one belief in any order of four dated artifacts."""
-    facts = [("jwt", "2023", 0), ("oauth", "2024-05-02", 1), ("oauth", "2024-05-20", 2), ("oauth", "2024-06-03", 3)]
-    for order in itertools.permutations(range(4)):
-        rows = [(facts[k][0], "s", "selected", facts[k][0], f"a{k}", 0, facts[k][1], at) for at, k in enumerate(order)]
-        edges = linker.fold(pd.DataFrame(rows, columns=["fact_id", "subject_ref", "predicate", "object_ref", "artifact_id", "fact_ord", "recorded_at", "ingest_seq"]))
-        assert [(e[1], e[2]) for e in edges] == [("oauth", "jwt")]
-
-
-def fold(*facts):
-    rows = [(f"{s}-{p}-{o}", s, p, o, f"a{k}", 0, at, k) for k, (s, p, o, at) in enumerate(facts)]
-    return linker.fold(pd.DataFrame(rows, columns=["fact_id", "subject_ref", "predicate", "object_ref", "artifact_id", "fact_ord", "recorded_at", "ingest_seq"]))
-
-
-def test_order_matters():
-    """A retired fact stays retired when it is asserted again; a declaration retires what is stored by then."""
-    assert [(e[1], e[2]) for e in fold(("s", "selected", "a", "2023"), ("s", "selected", "b", "2024"), ("s", "selected", "a", "2025"))] == [("s-selected-b", "s-selected-a")]
-    assert [(e[1], e[2]) for e in fold(("s", "selected", "a", "2025"), ("s", "selected", "b", "2024"), ("s", "selected", "a", "2023"))] == [("s-selected-a", "s-selected-b")]
-    assert fold(("a", "replaced_by", "b", "2024"), ("s", "selected", "a", "2023")) == []
-    assert len(fold(("s", "selected", "a", "2023"), ("a", "replaced_by", "b", "2024"))) == 1
-
-
-def test_ties_and_unknown_times():
-    assert [e[0] for e in fold(("s", "selected", "a", "2023"), ("s", "selected", "b", "2023"))] == ["conflict"]
-    (edge,) = fold(("s", "selected", "a", ""), ("s", "selected", "b", "2023"))
-    assert edge[1:3] == ("s-selected-b", "s-selected-a") and edge[6] == "ingestion_order"
-    (conflict,) = fold(("s", "allows", "a", "2023"), ("s", "prohibits", "a", "2024"))
-    assert conflict[0] == "conflict" and conflict[3] == linker.NEGATION
-
-
-def test_modes_agree_on_fixtures(corpora, spark):
-    for m, arts, _ in corpora.values():
-        edges, _ = linker.replay(spark, linker.assertions(arts, compiler.compile_artifacts(arts)))
-        kept = lambda df: {r[0] for r in m.facts.select("fact_id").subtract(df.select("superseded")).collect()}
-        assert kept(edges) == kept(m.supersessions)
+ROWS = "fact_id string, subject_ref string, predicate string, object_ref string, fact_type string, artifact_id string, recorded_at string, ingest_seq bigint"
+
+
+def one_at_a_time(rows):
+    """The rules as a store that takes one artifact after the other would apply them, by plain loops."""
+    facts, dates, gone, edges, conflicts = {}, {}, set(), {}, {}
+    for artifact in sorted({(r[7], r[5]) for r in rows}):
+        batch = [r for r in rows if (r[7], r[5]) == artifact]
+        at = batch[0][6]
+        found = []
+        promoted = {r[0]: r for r in batch if r[0] not in facts}
+        for r in promoted.values():
+            for f, (s, p, o) in facts.items():
+                if f in gone:
+                    continue
+                if r[2] in ("replaced_by", "deprecated") and p in ("selected", "uses", "depends_on") and r[1] in (s, o):
+                    found.append((r[0], f, f"Explicit {r[2]} declaration"))
+                if r[2] == p == "selected" and s == r[1] and o != r[3]:
+                    found.append((r[0], f, "Single-occupancy decision supersession"))
+                if {r[2], p} == {"prohibits", "allows"} and (s, o) == (r[1], r[3]):
+                    conflicts[min(f, r[0]), max(f, r[0]), "prohibits_allows_contradiction"] = artifact[1]
+        retired = set()
+        for incoming, f, reason in found:
+            then = max(dates[f])
+            if at and then and at == then:
+                conflicts[min(f, incoming), max(f, incoming), "simultaneous_incompatible_assertions"] = artifact[1]
+            elif at and then and at < then:
+                edges[f, incoming] = (reason + " (incoming assertion pre-dates stored assertion)", artifact[1], at, "recorded_at")
+                retired.add(incoming)
+            else:
+                edges[incoming, f] = (reason, artifact[1], at, "recorded_at" if at and then else "ingestion_order")
+                retired.add(f)
+        gone |= retired
+        for r in batch:
+            facts.setdefault(r[0], r[1:4])
+            dates.setdefault(r[0], []).append(at)
+    return edges, conflicts, gone
+
+
+def corpus(seed, artifacts=60):
+    """Random assertions over few names, with undated artifacts, equal dates, repeats and every rule's predicates."""
+    rng = random.Random(seed)
+    rows = []
+    for k in range(artifacts):
+        at = rng.choice(["", *(f"20{y}-01-01" for y in range(10, 16))])
+        for _ in range(rng.randint(1, 4)):
+            s, o = rng.sample("abcdef", 2)
+            p = rng.choice(["selected", "selected", "selected", "uses", "depends_on", "replaced_by", "deprecated", "prohibits", "allows", "requires"])
+            rows.append((f"{s}-{p}-{o}", s, p, o, "relationship", f"a{k:03d}", at, k // 2))
+    return rows
+
+
+def as_evidence(spark, rows):
+    data = [(f"{r[5]}-{r[0]}", r[0], r[5], "adr", r[6], 1.0, 1.0, []) for r in {(r[5], r[0]): r for r in rows}.values()]
+    return spark.createDataFrame(data, M.SCHEMAS["evidence"])
+
+
+def ingest_in(spark, rows, sizes):
+    """Memory after the artifacts came in batches of these sizes."""
+    store = SessionStore(spark)
+    order = sorted({(r[7], r[5]) for r in rows})
+    at = 0
+    for size in sizes:
+        names = {a for _, a in order[at : at + size]}
+        at += size
+        batch = [r for r in rows if r[5] in names]
+        frame = spark.createDataFrame(batch, ROWS)
+        edges, conflicts = linker.apply_rules(spark, frame, store.load())
+        store.commit({"facts": linker.promote(frame), "evidence": as_evidence(spark, batch), "supersessions": edges, "conflicts": conflicts})
+    return store.load()
+
+
+def edges_of(m):
+    edges = {(r["superseding"], r["superseded"]): (r["reason"], r["artifact_id"], r["recorded_at"], r["basis"]) for r in m.supersessions.collect()}
+    return edges, {(r["fact_a"], r["fact_b"], r["conflict_type"]): r["artifact_id"] for r in m.conflicts.collect()}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_replay_is_one_artifact_at_a_time(spark, seed):
+    rows = corpus(seed)
+    edges, conflicts, gone = one_at_a_time(rows)
+    assert len(edges) > 20 and len(conflicts) > 3
+    m = ingest_in(spark, rows, [60])
+    assert edges_of(m) == (edges, conflicts)
+    assert {r[0] for r in M.active_facts(m).select("fact_id").collect()} == {r[0] for r in rows} - gone
+
+
+def test_batches_end_as_one(spark):
+    rows = corpus(9)
+    edges, conflicts, _ = one_at_a_time(rows)
+    for sizes in ([30, 30], [7, 33, 20]):
+        assert edges_of(ingest_in(spark, rows, sizes)) == (edges, conflicts)
+
+
+def selections(*choices):
+    return [(f"cache-selected-{o}", "cache", "selected", o, "decision", f"a{k}", at, k) for k, (o, at) in enumerate(choices)]
+
+
+@pytest.mark.parametrize("sizes", [[3], [2, 1], [1, 1, 1]])
+def test_retired_stays_retired(spark, sizes):
+    """Redis, Kafka, Redis again: asserting a retired choice again does not bring it back, in however many batches."""
+    m = ingest_in(spark, selections(("Redis", "2020"), ("Kafka", "2021"), ("Redis", "2022")), sizes)
+    assert [r["object_ref"] for r in M.active_facts(m).collect()] == ["Kafka"]
+    (edge,) = m.supersessions.collect()
+    assert (edge["superseded"], edge["artifact_id"], edge["basis"]) == ("cache-selected-Redis", "a1", "recorded_at")
+
+
+def test_all_orders_agree(spark):
+    """Four dated artifacts come to one belief in any order."""
+    facts = [("jwt", "2023"), ("oauth", "2024-05-02"), ("oauth", "2024-05-20"), ("oauth", "2024-06-03")]
+    rows = []
+    for n, order in enumerate(itertools.permutations(facts)):
+        rows += [(f"{n}-{o}", f"s{n}", "selected", o, "decision", f"a{n}-{k}", at, k) for k, (o, at) in enumerate(order)]
+    edges, _ = linker.replay(spark, spark.createDataFrame(rows, ROWS))
+    assert sorted((r["superseding"], r["superseded"]) for r in edges.collect()) == sorted((f"{n}-oauth", f"{n}-jwt") for n in range(24))
+
+
+def test_further_rules(spark):
+    """A rule of one's own sees assertions and memory, and may return edges and conflicts."""
+
+    def rejected(spark, rows, memory):
+        no, yes = (rows.where(F.col("predicate") == p).select("subject_ref", "object_ref", "artifact_id", F.col("fact_id").alias(p)) for p in ("rejected", "selected"))
+        both = no.join(yes.drop("artifact_id"), ["subject_ref", "object_ref"])
+        edges = both.select(F.col("rejected").alias("superseding"), F.col("selected").alias("superseded"), F.lit("no").alias("reason"), "artifact_id", F.lit("").alias("recorded_at"), F.lit("x").alias("basis"))
+        return edges, both.select(F.col("rejected").alias("fact_a"), F.col("selected").alias("fact_b"), F.lit("t").alias("conflict_type"), "artifact_id")
+
+    rows = [*selections(("Redis", "2020")), ("n", "cache", "rejected", "Redis", "decision", "a7", "2021", 7)]
+    edges, conflicts = linker.apply_rules(spark, spark.createDataFrame(rows, ROWS), None, (*linker.DEFAULT_RULES, rejected))
+    assert [r["superseded"] for r in edges.collect()] == ["cache-selected-Redis"] and [tuple(r) for r in conflicts.collect()] == [("cache-selected-Redis", "n", "t", "a7")]
+
+
+def test_folder_store(spark, tmp_path):
+    """A delta without its marker is not there; compaction changes no table."""
+    rows = corpus(3, 20)
+    store = FolderStore(spark, f"{tmp_path}/m")
+    assert store.load().facts.isEmpty()
+    for part in (rows[:20], rows[20:]):
+        store.commit({"facts": linker.promote(spark.createDataFrame(part, ROWS)), "evidence": as_evidence(spark, part)})
+    before = {n: sorted(map(str, store.table(n).collect())) for n in ("facts", "evidence")}
+    assert len(before["facts"]) == len({r[0] for r in rows})
+    store._write("lost", {"facts": spark.createDataFrame([("x", "s", "uses", "o", "relationship")], M.SCHEMAS["facts"])})
+    store.compact()
+    assert len(store.tokens()) == 1 and {n: sorted(map(str, store.table(n).collect())) for n in before} == before
 
 
 def test_identity_chain_and_cycle(spark):
