@@ -128,21 +128,27 @@ def sightings(rows: DataFrame, memory: Memory | None) -> DataFrame:
     return seen.join(known, "fact_id", "left").withColumn("new", F.col("new") & F.col("known").isNull()).drop("known")
 
 
-def standing(memory: Memory, predicates: list[str], refs: DataFrame, side: str) -> DataFrame:
-    """Active stored facts whose ``side`` is among ``refs`` (ref): fact_id, refs, predicate, at (their last date).
+def standing(memory: Memory, seen: DataFrame, declared: DataFrame, scratch: Scratch) -> DataFrame:
+    """Active stored facts that the batch may meet: fact_id, refs, predicate, at (the last date, '' if none).
 
-    Stored tables are only scanned: the refs of a batch and the facts found are small, so joins broadcast them.
+    Stored tables are only scanned, for the refs and then for the facts of the batch: both are small, so
+    joins broadcast them.
     """
-    found = memory.facts.where(F.col("predicate").isin(predicates)).join(refs.select(F.col("ref").alias(side)).distinct(), side, "left_semi")
-    gone = memory.supersessions.select(F.col("superseded").alias("fact_id"))
-    live = found.join(gone.join(found.select("fact_id"), "fact_id", "left_semi"), "fact_id", "left_anti")
-    return live.select("fact_id", "subject_ref", "predicate", "object_ref")
-
-
-def last_dates(memory: Memory, facts: DataFrame) -> DataFrame:
-    """Adds at, the last date of a stored fact's evidence ('' if none is dated)."""
-    at = memory.evidence.join(facts.select("fact_id"), "fact_id", "left_semi").groupBy("fact_id").agg(F.max("recorded_at").alias("at"))
-    return facts.join(at, "fact_id", "left").withColumn("at", F.coalesce("at", F.lit("")))
+    facts = memory.facts
+    refs = scratch.table(seen.select(F.col("subject_ref").alias("ref")).unionByName(declared.select("ref")).distinct(), "refs")
+    meeting = [*V.CURRENCY_PREDICATES, "prohibits", "allows"]
+    near = facts.where(F.col("predicate").isin(meeting)).join(refs.withColumnRenamed("ref", "subject_ref"), "subject_ref", "left_semi")
+    if not declared.isEmpty():
+        named = declared.select(F.col("ref").alias("object_ref")).distinct()
+        near = near.unionByName(facts.where(F.col("predicate").isin(V.CURRENCY_PREDICATES)).join(named, "object_ref", "left_semi").select(*near.columns))
+        near = scratch.table(near, "near")
+        subjects = near.where("predicate = 'selected'").select("subject_ref").distinct()
+        near = near.unionByName(facts.where("predicate = 'selected'").join(subjects, "subject_ref", "left_semi").select(*near.columns))
+    near = scratch.table(near.select("fact_id", "subject_ref", "predicate", "object_ref").distinct(), "near")
+    gone = memory.supersessions.select(F.col("superseded").alias("fact_id")).join(near.select("fact_id"), "fact_id", "left_semi")
+    live = scratch.table(near.join(gone, "fact_id", "left_anti"), "live")
+    at = memory.evidence.join(live.select("fact_id"), "fact_id", "left_semi").groupBy("fact_id").agg(F.max("recorded_at").alias("at"))
+    return scratch.table(live.join(at, "fact_id", "left").withColumn("at", F.coalesce("at", F.lit(""))), "standing")
 
 
 def verdict_columns(found: DataFrame) -> DataFrame:
@@ -163,21 +169,18 @@ def verdict_columns(found: DataFrame) -> DataFrame:
 FOUND = "kind string, a string, b string, reason string, artifact_id string, recorded_at string, basis string"
 
 
-def usage_meetings(seen: DataFrame, declared: DataFrame, memory: Memory | None) -> DataFrame:
+def usage_meetings(seen: DataFrame, declared: DataFrame, stored: DataFrame | None) -> DataFrame:
     """Declarations against facts of use: each such fact is on its own, so this is joins and one window a fact.
 
     A fact meets the declarations about its subject or its object after its first assertion, up to the first
     artifact that retires it.
     """
-    uses = [p for p in V.CURRENCY_PREDICATES if p != "selected"]
-    held = seen.where(F.col("new") & F.col("predicate").isin(uses)).select("fact_id", "subject_ref", "object_ref")
-    dates = seen.where(F.col("predicate").isin(uses)).select("fact_id", "place", "recorded_at")
-    if memory is not None:
-        refs = declared.select("ref")
-        stored = standing(memory, uses, refs, "subject_ref").unionByName(standing(memory, uses, refs, "object_ref")).distinct()
-        stored = last_dates(memory, stored)
-        held = held.unionByName(stored.select("fact_id", "subject_ref", "object_ref"))
-        dates = dates.unionByName(stored.select("fact_id", F.lit(None).cast(seen.schema["place"].dataType).alias("place"), F.col("at").alias("recorded_at")))
+    uses = F.col("predicate").isin([p for p in V.CURRENCY_PREDICATES if p != "selected"])
+    held = seen.where(F.col("new") & uses).select("fact_id", "subject_ref", "object_ref")
+    dates = seen.where(uses).select("fact_id", "place", "recorded_at")
+    if stored is not None:
+        held = held.unionByName(stored.where(uses).select("fact_id", "subject_ref", "object_ref"))
+        dates = dates.unionByName(stored.where(uses).select("fact_id", F.lit(None).cast(seen.schema["place"].dataType).alias("place"), F.col("at").alias("recorded_at")))
     on = lambda side: declared.join(held.select("fact_id", F.col(side).alias("ref")), "ref")
     pairs = on("subject_ref").unionByName(on("object_ref")).dropDuplicates(["r", "fact_id"])
     met = pairs.join(dates.withColumnRenamed("place", "then").withColumnRenamed("recorded_at", "date"), "fact_id").where(F.col("then").isNull() | (F.col("then") < F.col("place")))
@@ -244,22 +247,19 @@ def fold_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names)
 
 
-def selection_meetings(seen: DataFrame, declared: DataFrame, memory: Memory | None) -> DataFrame:
+def selection_meetings(seen: DataFrame, declared: DataFrame, stored: DataFrame | None) -> DataFrame:
     """Selections of one subject depend on each other's fate, so each subject's history streams through ``fold``.
 
     A subject is one task's stream, which holds no more than the standing selections of it.
     """
     chosen = seen.where("predicate = 'selected'")
-    place = seen.schema["place"].dataType
-    none = F.lit(None).cast(place)
     facts = chosen.select("subject_ref", "place", F.lit(False).alias("declared"), F.col("fact_id").alias("fact"), F.col("object_ref").alias("ref"), F.col("recorded_at").alias("at"), "new", F.lit("").alias("said"))
     pairs = chosen.select("subject_ref", "object_ref")
-    if memory is not None:
-        refs = declared.select("ref")
-        own = facts.select(F.col("subject_ref").alias("ref")).unionByName(refs).unionByName(standing(memory, ["selected"], refs, "object_ref").select(F.col("subject_ref").alias("ref")))
-        stored = last_dates(memory, standing(memory, ["selected"], own, "subject_ref"))
-        pairs = pairs.unionByName(stored.select("subject_ref", "object_ref"))
-        facts = facts.unionByName(stored.select("subject_ref", none.alias("place"), F.lit(False).alias("declared"), F.col("fact_id").alias("fact"), F.col("object_ref").alias("ref"), "at", F.lit(False).alias("new"), F.lit("").alias("said")))
+    if stored is not None:
+        held = stored.where("predicate = 'selected'")
+        pairs = pairs.unionByName(held.select("subject_ref", "object_ref"))
+        none = F.lit(None).cast(seen.schema["place"].dataType)
+        facts = facts.unionByName(held.select("subject_ref", none.alias("place"), F.lit(False).alias("declared"), F.col("fact_id").alias("fact"), F.col("object_ref").alias("ref"), "at", F.lit(False).alias("new"), F.lit("").alias("said")))
     about = pairs.select("subject_ref", F.explode(F.array("subject_ref", "object_ref")).alias("ref")).distinct()
     said = about.join(declared, "ref").dropDuplicates(["subject_ref", "r"])
     events = facts.unionByName(said.select("subject_ref", "place", F.lit(True).alias("declared"), F.col("r").alias("fact"), "ref", "at", F.lit(True).alias("new"), "said"))
@@ -267,14 +267,13 @@ def selection_meetings(seen: DataFrame, declared: DataFrame, memory: Memory | No
     return ordered.select("subject_ref", F.col("place.artifact_id").alias("artifact_id"), "declared", "fact", "ref", "at", "new", "said").mapInArrow(fold_stream, MEETING)
 
 
-def negations(seen: DataFrame, memory: Memory | None) -> DataFrame:
+def negations(seen: DataFrame, stored: DataFrame | None) -> DataFrame:
     """``prohibits`` against ``allows`` of the same subject and object, of different artifacts, in either order: kind and columns as of edges."""
-    both = ["prohibits", "allows"]
-    rows = seen.where(F.col("new") & F.col("predicate").isin(both)).select("subject_ref", "object_ref", "predicate", "fact_id", "place")
-    if memory is not None:
-        refs = rows.select(F.col("subject_ref").alias("ref"))
-        stored = standing(memory, both, refs, "subject_ref")
-        rows = rows.unionByName(stored.select("subject_ref", "object_ref", "predicate", "fact_id", F.lit(None).cast(seen.schema["place"].dataType).alias("place")))
+    both = F.col("predicate").isin("prohibits", "allows")
+    columns = ["subject_ref", "object_ref", "predicate", "fact_id", "place"]
+    rows = seen.where(F.col("new") & both).select(*columns)
+    if stored is not None:
+        rows = rows.unionByName(stored.where(both).withColumn("place", F.lit(None).cast(seen.schema["place"].dataType)).select(*columns))
     side = lambda p, c: rows.where(F.col("predicate") == p).select("subject_ref", "object_ref", F.col("fact_id").alias(c), F.col("place").alias(f"{c}_place"))
     met = side("prohibits", "a").join(side("allows", "b"), ["subject_ref", "object_ref"])
     met = met.where(~F.col("a_place").eqNullSafe(F.col("b_place")))
@@ -293,8 +292,11 @@ def replay(spark: SparkSession, rows: DataFrame, memory: Memory | None = None) -
     seen = scratch.table(sightings(rows, memory), "sightings")
     declared = seen.where(F.col("new") & F.col("predicate").isin(V.DECLARED_PREDICATES))
     declared = scratch.table(declared.select(F.col("fact_id").alias("r"), F.col("subject_ref").alias("ref"), F.col("predicate").alias("said"), "place", F.col("recorded_at").alias("at")), "declared")
-    met = usage_meetings(seen, declared, memory).unionByName(selection_meetings(seen, declared, memory))
-    found = scratch.table(verdict_columns(met).unionByName(negations(seen, memory)), "edges")
+    stored = None if memory is None else standing(memory, seen, declared, scratch)
+    met = scratch.table(selection_meetings(seen, declared, stored), "selections")
+    if not declared.isEmpty():
+        met = met.unionByName(scratch.table(usage_meetings(seen, declared, stored), "usages"))
+    found = scratch.table(verdict_columns(met).unionByName(negations(seen, stored)), "edges")
     scratch.drop(seen, declared)
     edges = found.where("kind = 'edge'").select(F.col("a").alias("superseding"), F.col("b").alias("superseded"), "reason", "artifact_id", "recorded_at", "basis")
     conflicts = found.where("kind = 'conflict'").select(F.least("a", "b").alias("fact_a"), F.greatest("a", "b").alias("fact_b"), F.col("reason").alias("conflict_type"), "artifact_id")

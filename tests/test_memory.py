@@ -131,7 +131,7 @@ def edges_of(m):
     return edges, {(r["fact_a"], r["fact_b"], r["conflict_type"]): r["artifact_id"] for r in m.conflicts.collect()}
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_replay_is_one_artifact_at_a_time(spark, seed):
     rows = corpus(seed)
     edges, conflicts, gone = one_at_a_time(rows)
@@ -144,15 +144,14 @@ def test_replay_is_one_artifact_at_a_time(spark, seed):
 def test_batches_end_as_one(spark):
     rows = corpus(9)
     edges, conflicts, _ = one_at_a_time(rows)
-    for sizes in ([30, 30], [7, 33, 20]):
-        assert edges_of(ingest_in(spark, rows, sizes)) == (edges, conflicts)
+    assert edges_of(ingest_in(spark, rows, [7, 33, 20])) == (edges, conflicts)
 
 
 def selections(*choices):
     return [(f"cache-selected-{o}", "cache", "selected", o, "decision", f"a{k}", at, k) for k, (o, at) in enumerate(choices)]
 
 
-@pytest.mark.parametrize("sizes", [[3], [2, 1], [1, 1, 1]])
+@pytest.mark.parametrize("sizes", [[3], [2, 1]])
 def test_retired_stays_retired(spark, sizes):
     """Redis, Kafka, Redis again: asserting a retired choice again does not bring it back, in however many batches."""
     m = ingest_in(spark, selections(("Redis", "2020"), ("Kafka", "2021"), ("Redis", "2022")), sizes)

@@ -72,7 +72,7 @@ def test_stream_and_replay(spark, tmp_path):
     whole, parts = f"{tmp_path}/whole", f"{tmp_path}/parts"
     arts = artifacts(spark, QUEUE)
     assert ingest.apply_batch(arts, whole) == 4 and ingest.apply_batch(arts, whole) == 0
-    ingest.apply_batch(arts.where("ingest_seq >= 2"), parts, 1)
+    ingest.apply_batch(arts.where("ingest_seq < 2"), parts, 1)
     ingest.apply_batch(arts, parts, 2)
     a, b = Memory.load(spark, whole), Memory.load(spark, parts)
     assert stats(a).first() == stats(b).first()
