@@ -8,6 +8,7 @@ container with the most points and its like siblings are kept, without boilerpla
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -19,11 +20,13 @@ from .words import slices
 
 # Element names as HTML defines them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes template noscript svg math".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes template noscript svg".split())
 DROPPED = frozenset(
-    "script style template noscript iframe noembed noframes xmp svg math head title nav header footer aside menu dialog "
-    "form button input select option optgroup textarea label fieldset legend datalist output object embed applet canvas audio video map".split()
+    "script style template noscript iframe noembed noframes xmp svg annotation annotation-xml head title nav header footer aside menu dialog "
+    "button input select option optgroup textarea label legend datalist output object embed applet canvas audio video map".split()
 )
+#: Dropped as well, unless the article is inside: some pages are one form.
+FORMS = frozenset(("form", "fieldset"))
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table caption colgroup thead tbody tfoot tr td th ul".split()
@@ -46,20 +49,31 @@ CLOSES = {
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
 }
+SCOPES = frozenset(("table", "td", "th", "button", "object"))
+ENDS = {name: re.compile(rf"</{name}[\s/>]", re.I) for name in sorted(RAW)}
 PARAGRAPH = frozenset("p pre td blockquote li dd".split())
 #: Words of class and id that name boilerplate, and those that speak for content.
 NOISE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|nav\w*|menu\w*|"
-    r"breadcrumbs?|sidebar|side|widget\w*|rail|footer|foot|header|masthead|topbar|toolbar|share\w*|sharing|social|related|recommend\w*|more|"
+    r"breadcrumbs?|sidebar|side|widget\w*|rail|footer|foot|header|masthead|topbar|toolbar|share\w*|sharing|social|related|recommend\w*|"
     r"newsletter|subscri\w*|signup|login|comments?|comment-?list|disqus|replies|reply|respond|pagination|pager|tags?|meta|byline|copyright|legal|skip\w*|search\w*|hidden)(?:$|[\s_-])",
     re.I,
 )
+#: Words that name a link to more as well as the part of an article that is folded away.
+MORE = re.compile(r"(?:^|[\s_-])more(?:$|[\s_-])", re.I)
+#: Words that name what belongs to an article beside its body.
+LEAD = re.compile(r"(?:^|[\s_-])(?:lead|lede|intro\w*|standfirst|dek|deck|teaser|abstract|summary|excerpt|subtitle|subhead\w*|section|part|chapter|epilogue|conclusion)(?:$|[\s_-])", re.I)
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main|body|text|blog|page)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>?", re.S)
-ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
+#: A quote opens a value after "=" only, and closes it only before white space, a slash or the end of the tag;
+#: else the value is what stands there up to white space.
+VALUE = r"""(?:"[^"]*"(?=[\s/>]|\Z)|'[^']*'(?=[\s/>]|\Z)|[^\s>]*)"""
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|[^\s>/][^\s>/=]*+(?:\s*=\s*" + VALUE + r")?)*+)>?", re.S)
+ATTRIBUTE = re.compile(r"([^\s>/][^\s>/=]*)(?:\s*=\s*(" + VALUE + "))?", re.S)
+DEEPEST = 512  # open elements; what opens below them is their sibling, so no page costs more than its length
 SPACE = re.compile(r"\s+")
+SENTENCE = re.compile(r"[.!?…](?:[\s\"'”’)]|$)")
 
 
 class Node:
@@ -73,62 +87,92 @@ class Node:
     def names(self) -> dict[str, str]:
         if not self.attrs:
             return {}
-        return {k.lower(): unescape(a or b or c or "") for k, a, b, c in ATTRIBUTE.findall(self.attrs)}
+        bare = lambda v: v[1:-1] if len(v) > 1 and v[0] == v[-1] and v[0] in "\"'" else v.lstrip("\"'")
+        return {k.lower(): unescape(bare(v)) for k, v in ATTRIBUTE.findall(self.attrs)}
+
+
+class OpenElements:
+    """Where the next node goes, and how many elements of each name are open above it."""
+
+    def __init__(self, root: Node):
+        self.root = self.here = root
+        self.n, self.names, self.flat = 0, Counter(), Counter()
+
+    def push(self, node: Node) -> None:
+        if self.n < DEEPEST:
+            self.here, self.n = node, self.n + 1
+            self.names[node.name] += 1
+        else:
+            self.flat[node.name] += 1
+
+    def pop_to(self, parent: Node) -> None:
+        while self.here is not parent:
+            self.names[self.here.name] -= 1
+            self.here, self.n = self.here.parent, self.n - 1
+
+    def end(self, name: str) -> None:
+        """Close the nearest element of that name, if one is open."""
+        if self.flat[name]:
+            self.flat[name] -= 1
+        elif self.names[name]:
+            at = self.here
+            while at.name != name:
+                at = at.parent
+            self.pop_to(at.parent)
+
+    def close(self, names: frozenset[str] | set[str], until: frozenset[str] | set[str], nearest: bool = False) -> None:
+        """Close open elements of these names that stand within the nearest one of ``until``: the outermost, or the nearest."""
+        left = sum(self.names[n] for n in names)
+        at, found = self.here, None
+        while left and at is not self.root and at.name not in until:
+            if at.name in names:
+                left, found = left - 1, at
+                if nearest:
+                    break
+            at = at.parent
+        if found is not None:
+            self.pop_to(found.parent)
 
 
 def parse(html: str) -> Node:
     """The tree of a page.  Comments are left out; forgotten end tags are supplied; end tags without a
     start are skipped; an end tag closes what is open within its element."""
     root = Node("#root", None)
-    here, at, n = root, 0, len(html)
+    open_, at, n = OpenElements(root), 0, len(html)
     while at < n:
         m = TOKEN.search(html, at)
         if m is None:
-            here.children.append(unescape(html[at:]))
+            open_.here.children.append(unescape(html[at:]))
             break
         if m.start() > at:
-            here.children.append(unescape(html[at : m.start()]))
+            open_.here.children.append(unescape(html[at : m.start()]))
         at = m.end()
         if m[2] is None:
             if m[0].startswith("<![CDATA["):
-                here.children.append(m[0][9:].removesuffix("]]>"))
+                open_.here.children.append(m[0][9:].removesuffix("]]>"))
             continue
         name = m[2].lower()
         if m[1]:
-            open_ = here
-            while open_ is not root and open_.name != name:
-                open_ = open_.parent
-            if open_ is not root:
-                here = open_.parent
+            open_.end(name)
             continue
         if name in CLOSES_P:
-            here = _close(here, {"p"}, frozenset(("table", "td", "th", "button", "object")))
+            open_.close({"p"}, SCOPES, nearest=True)
         if name in CLOSES:
-            here = _close(here, *CLOSES[name])
-        node = Node(name, here, m[3] or "")
-        here.children.append(node)
-        if name in RAW and not (m[3] or "").endswith("/"):
-            end = re.compile(rf"</{name}[\s/>]", re.I).search(html, at)
+            open_.close(*CLOSES[name])
+        node = Node(name, open_.here, m[3] or "")
+        open_.here.children.append(node)
+        closed = (m[3] or "").endswith("/")
+        if name in RAW and not closed:
+            end = ENDS[name].search(html, at)
             stop = end.start() if end else n
             if name not in DROPPED:
                 node.children.append(html[at:stop])
             at = n if end is None else (html.find(">", stop) + 1 or n)
-        elif name not in VOID and not (m[3] or "").endswith("/"):
-            here = node
+        elif name not in VOID and not closed:
+            open_.push(node)
     return root
 
 
-def _close(here: Node, names: set[str], until: frozenset[str] | set[str]) -> Node:
-    at, out = here, here
-    while at.parent is not None and at.name not in until:
-        if at.name in names:
-            out = at.parent
-            if names == {"p"}:
-                break
-        at = at.parent
-    return out
-
-
 def class_names(node: Node) -> str:
     a = node.names()
     return f"{a.get('class', '')} {a.get('id', '')}"
@@ -143,6 +187,8 @@ def dropped(node: Node, page_size: int) -> bool:
     if node.name in DROPPED:
         # a header within an article that holds the headline is part of the article
         return not (node.name == "header" and any(a.name in ("article", "main") for a in _above(node)))
+    if node.name in FORMS and not (node._holds or 2 * node._size > page_size):
+        return True
     if not node.attrs:
         return False
     a = node.names()
@@ -153,6 +199,8 @@ def dropped(node: Node, page_size: int) -> bool:
     if node.name in ("main", "body", "html", "a", "p", "h1") or node._holds:
         return False
     named = class_names(node)
+    if MORE.search(named) and node._size and node._links > 0.3 * node._size:
+        return True
     return bool(NOISE.search(named)) and not (CONTENT.search(named) and 2 * node._size > page_size)
 
 
@@ -258,6 +306,7 @@ def kept_roots(best: Node) -> list[Node]:
     if best.parent is None or best.name in ("body", "html", "#root"):
         return [best]
     least = max(10.0, best.points * 0.2)
+    named = class_names(best).strip()
     out = []
     for c in best.parent.children:
         if c is best:
@@ -265,8 +314,13 @@ def kept_roots(best: Node) -> list[Node]:
         elif not isinstance(c, str) and c._size:
             density = c._links / c._size
             like = c.points * (1 - density) >= least and c.name == best.name
-            prose = c.name == "p" and (c._size > 80 and density < 0.25 or density == 0 and re.search(r"[.!?](?:\s|$)", inner_text(c)))
-            if like or prose or c.name in ("h1", "h2", "h3") and density < 0.5:
+            text = inner_text(c) if c.name in ("p", "div", "section") and density < 0.25 else ""
+            says = bool(SENTENCE.search(text))
+            prose = c.name == "p" and (len(text) > 80 or density == 0 and says)
+            # a lead, or a further part of the same make, however short
+            kin = c.name == best.name and class_names(c).strip() == named and (named or c.name == "section")
+            part = says and (kin or bool(LEAD.search(class_names(c))))
+            if like or prose or part or c.name in ("h1", "h2", "h3") and density < 0.5:
                 out.append(c)
     return out
 

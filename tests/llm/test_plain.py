@@ -3,6 +3,7 @@
 import hashlib
 import io
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -122,6 +123,38 @@ def test_html_noise_by_class(noise):
     assert html.main_text(page) == f"T\n\n{text}"
 
 
+LONG = "A paragraph, with commas, of some length, that belongs to the article itself, and says so."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<body><form id="aspnetForm"><input name="v"><div><h1>T</h1><p>{LONG}</p><p>Short end.</p><button>Go</button></div></form></body>', f"T\n\n{LONG}\n\nShort end."),
+        (f"<body><article><h1>T</h1><p data-t=it's>One.</p><p>Two isn't.</p><p class='x'>{LONG}</p></article></body>", f"T\n\nOne.\n\nTwo isn't.\n\n{LONG}"),
+        (f'<body><article><h1>T</h1><p class="x>One.</p><p>{LONG}</p><a href="u">link</a></article></body>', f"T\n\nOne.\n\n{LONG}\n\nlink"),
+        (f"<body><article><p>{LONG} Then <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p></article></body>", f"{LONG} Then x=2 holds."),
+        (f'<body><article><p>{LONG}</p><div class="read-more"><p>The folded rest.</p></div><div class="read-more"><a href="/a">Read more</a></div></article></body>', f"{LONG}\n\nThe folded rest."),
+        (f'<body><div class="wrap"><div class="lead"><p>What it says.</p></div><div class="body"><p>{LONG}</p><p>{LONG}</p></div><div class="legal"><p>All rights.</p></div></div></body>', f"What it says.\n\n{LONG}\n\n{LONG}"),
+        (f"<body><section><p>{LONG}</p><p>{LONG}</p></section><section><p>It ends here.</p></section></body>", f"{LONG}\n\n{LONG}\n\nIt ends here."),
+        (f'<body><article><p title="a <b>bold</b> claim">{LONG}</p></article></body>', LONG),
+        ("<p =odd>Text &lt;3 &amp; more.<!-->Seen.<!-- not --!>Again.", "Text <3 & more.Seen.Again."),
+    ],
+)
+def test_html_keeps_the_article(page, text):
+    assert html.main_text(page) == text
+
+
+def test_html_costs_follow_length():
+    """Forgotten and unmatched tags, and a page of several megabytes."""
+    began = time.process_time()
+    for page in ("<article><p>" + "<b>" * 60000 + "deep", "<article><p>deep" + "</i>" * 60000, "<article>" + "<b><i>" * 20000 + "<p>deep" + "</u><li>" * 20000, "<article><p a='" + "<p b='" * 40000 + ">deep"):
+        assert "deep" in html.main_text(page)
+    parts = [f"{LONG} {k}" for k in range(43000)]
+    page = "<html><body><article>" + "".join(f"<p>{t}</p>" for t in parts) + "</article></body></html>"
+    assert len(page) > 4 << 20 and html.main_text(page) == "\n\n".join(parts)
+    assert time.process_time() - began < 90
+
+
 class Sink(io.BytesIO):
     def close(self):
         pass
