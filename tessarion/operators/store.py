@@ -7,7 +7,6 @@ reader sees, and doing the batch again commits it as a whole.  There is one writ
 
 from __future__ import annotations
 
-import json
 import uuid
 from dataclasses import fields
 from typing import Protocol
@@ -15,6 +14,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.commits import Commits
 from .memory import KEYS, SCHEMAS, Memory
 
 LEDGER = "artifact_id string, recorded_at string, batch bigint"
@@ -50,28 +50,11 @@ class FolderStore:
     """Memory in a folder of Parquet."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._io = jvm.org.apache.commons.io.IOUtils
-
-    def _mark(self, token: str, replaces: list[str]) -> None:
-        out = self._fs.create(self._path(f"{self.folder}/_commits/{token}"), False)
-        out.write(bytearray(json.dumps(replaces).encode()))
-        out.close()
+        self.spark, self.folder, self.commits = spark, folder, Commits(spark, folder)
 
     def tokens(self) -> list[str]:
         """The committed deltas: as many as batches since the last compaction."""
-        markers = self._path(f"{self.folder}/_commits")
-        found = [s.getPath() for s in self._fs.listStatus(markers)] if self._fs.exists(markers) else []
-        names, gone = {p.getName() for p in found}, set()
-        for p in found:
-            if p.getName().startswith("compact-"):
-                source = self._fs.open(p)
-                gone |= set(json.loads(self._io.toString(source, "UTF-8")))
-                source.close()
-        return sorted(names - gone)
+        return list(self.commits.all())
 
     def table(self, name: str) -> DataFrame:
         tokens = self.tokens()
@@ -94,19 +77,19 @@ class FolderStore:
         """Add the rows of each table whose keys memory lacks; all of them, or none."""
         token = uuid.uuid4().hex
         self._write(token, {name: missing(rows, self.table(name), ALL_KEYS[name]) for name, rows in delta.items()})
-        self._mark(token, [])
+        self.commits.mark(token, {"rows": "delta"})
 
     def compact(self) -> None:
         """Rewrite all deltas as one, which takes their place by its marker; then remove them."""
         old = self.tokens()
         if len(old) < 2:
             return
-        token = f"compact-{uuid.uuid4().hex}"
+        token = uuid.uuid4().hex
         self._write(token, {name: self.table(name) for name in TABLES})
-        self._mark(token, old)
+        self.commits.mark(token, {"replaces": old})
         for name in TABLES:
             for gone in old:
-                self._fs.delete(self._path(f"{self.folder}/{name}/delta={gone}"), True)
+                self.commits.delete(f"{self.folder}/{name}/delta={gone}")
 
 
 class SessionStore:
