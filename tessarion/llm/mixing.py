@@ -38,6 +38,32 @@ def permuted(x: Column, n: Column, key: Column, inverse: bool = False) -> Column
     return F.aggregate(order, x.cast("bigint"), one_round)
 
 
+def prefix_sums(totals: DataFrame, group: str, at: str, total: str, wide: int, name: str) -> DataFrame:
+    """(group, at, name): the sum of ``total`` over all smaller ``at`` of the group.
+
+    By bands of ``wide`` neighbours: sums within each band and over the bands before it are windows of a
+    square root of the rows, joined by band.
+    """
+    banded = totals.withColumn("band", F.floor(F.col(at) / wide))
+    before = lambda keys, order, of: F.sum(of).over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)) - F.col(of)
+    bands = banded.groupBy(group, "band").agg(F.sum(total).alias("band_total"))
+    bands = bands.select(group, "band", before([group], "band", "band_total").alias("band_from"))
+    inner = banded.withColumn("inner", before([group, "band"], at, total))
+    return inner.join(bands, [group, "band"]).select(group, at, (F.col("band_from") + F.col("inner")).cast("bigint").alias(name))
+
+
+def first_above(sorted_: Column, field: str, x: Column, n: int) -> Column:
+    """The first struct of a sorted array whose ``field`` is above ``x``, by binary search; null if none is. ``n`` bounds the array."""
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        small = (s["lo"] < s["hi"]) & (F.get(sorted_, middle)[field] <= x)
+        return F.struct(F.when(small, middle + 1).otherwise(s["lo"]).alias("lo"), F.when(small, s["hi"]).otherwise(middle).alias("hi"))
+
+    found = F.aggregate(F.sequence(F.lit(0), F.lit(n.bit_length())), F.struct(F.lit(0).alias("lo"), F.size(sorted_).alias("hi")), halve)
+    return F.get(sorted_, found["lo"])
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
     """(source, source_size) -> + sid, weight, target.
 
@@ -109,21 +135,11 @@ def mix_sources(
     keyed = (
         sized.join(sources.select("source", "sid"), sized["source"].eqNullSafe(sources["source"]))
         .select("doc_id", "size", "tie", "sid", F.pmod(F.xxhash64("doc_id"), F.lit(wide * wide)).alias("chunk"))
-        .withColumn("band", F.floor(F.col("chunk") / wide))
     )
-    in_chunk = W.partitionBy("sid", "band", "chunk").orderBy("doc_id", "size", "tie")
+    in_chunk = W.partitionBy("sid", "chunk").orderBy("doc_id", "size", "tie")
     ranked = keyed.withColumn("nth", F.row_number().over(in_chunk)).withColumn("inner", F.sum("size").over(in_chunk.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
-    totals = keyed.groupBy("sid", "band", "chunk").agg(F.sum("size").alias("total"))
-    # offsets of chunks in their band and of bands in their source, by arrays of at most ``wide`` totals
-    before = lambda a, x: F.aggregate(F.filter(a, lambda y: y["at"] < x["at"]), F.lit(0).cast("bigint"), lambda s, y: s + y["total"])
-    by_band = totals.groupBy("sid", "band").agg(F.collect_list(F.struct(F.col("chunk").alias("at"), "total")).alias("parts"), F.sum("total").alias("band_total"))
-    by_source = by_band.groupBy("sid").agg(F.collect_list(F.struct(F.col("band").alias("at"), F.col("band_total").alias("total"), "parts")).alias("bands"))
-    offsets = (
-        by_source.select("sid", "bands", F.explode("bands").alias("b"))
-        .select("sid", before(F.col("bands"), F.col("b")).alias("band_from"), F.col("b.parts").alias("parts"))
-        .select("sid", "band_from", "parts", F.explode("parts").alias("c"))
-        .select("sid", F.col("c.at").alias("chunk"), (F.col("band_from") + before(F.col("parts"), F.col("c"))).alias("chunk_from"))
-    )
+    totals = keyed.groupBy("sid", "chunk").agg(F.sum("size").alias("total"))
+    offsets = prefix_sums(totals, "sid", "chunk", "total", wide, "chunk_from")
     offsets = scratch.table(offsets, "offsets")
     placed = ranked.join(offsets, ["sid", "chunk"]).withColumn("start", F.col("chunk_from") + F.col("inner"))
     placed = scratch.table(placed.select("doc_id", "size", "sid", "chunk", "nth", "start"), "placed")
@@ -161,23 +177,13 @@ def mix_sources(
     ) if total else spark.range(0).select(F.col("id").alias("shard"), F.col("id").alias("slot"))
     edges = plan.agg(F.sort_array(F.collect_list(F.struct("upto", "sid"))).alias("edges"))
     ticket = F.floor(unit_draw(F.lit(seed), F.col("shard"), F.col("slot")) * F.lit(float(total)))
-    # the first source whose running sum is above the ticket
+    n_sources = plan.count()
     drawn = shards.withColumn("ticket", ticket).withColumn("edges", edges.scalar())
-    drawn = drawn.select("shard", "slot", F.element_at(F.filter("edges", lambda e: e["upto"] > F.col("ticket")), 1)["sid"].alias("sid"))
+    drawn = drawn.select("shard", "slot", first_above(F.col("edges"), "upto", F.col("ticket"), n_sources)["sid"].alias("sid"))
     drawn = scratch.table(drawn, "drawn")
     counts = drawn.groupBy("shard", "sid").agg(F.count("*").alias("c"))
     counts = scratch.table(counts, "counts")
-    # numbers before each shard, by bands of shards as for documents
-    step = max(1, math.ceil(math.sqrt(n_shards)))
-    grouped = counts.withColumn("band", F.floor(F.col("shard") / step)).groupBy("sid", "band").agg(F.collect_list(F.struct(F.col("shard").alias("at"), F.col("c").cast("bigint").alias("total"))).alias("parts"), F.sum("c").alias("band_total"))
-    numbered = (
-        grouped.groupBy("sid")
-        .agg(F.collect_list(F.struct(F.col("band").alias("at"), F.col("band_total").alias("total"), "parts")).alias("bands"))
-        .select("sid", "bands", F.explode("bands").alias("b"))
-        .select("sid", before(F.col("bands"), F.col("b")).alias("band_from"), F.col("b.parts").alias("parts"))
-        .select("sid", "band_from", "parts", F.explode("parts").alias("c"))
-        .select("sid", F.col("c.at").alias("shard"), (F.col("band_from") + before(F.col("parts"), F.col("c"))).alias("shard_from"))
-    )
+    numbered = prefix_sums(counts, "sid", "shard", "c", max(1, math.ceil(math.sqrt(n_shards))), "shard_from")
     in_shard = W.partitionBy("shard", "sid").orderBy("slot")
     slots = drawn.withColumn("nth", F.row_number().over(in_shard) - 1).join(numbered, ["shard", "sid"]).withColumn("i", F.col("shard_from") + F.col("nth"))
 
@@ -193,10 +199,11 @@ def mix_sources(
         .withColumn("under_from", F.sum("under").over(W.orderBy("sid").rowsBetween(W.unboundedPreceding, 0)) - F.col("under"))
     )
     gaps = scratch.table(gaps, "gaps")
-    wanting = gaps.agg(F.sort_array(F.collect_list(F.struct("under_from", "under", "sid", "drawn"))).alias("wanting"))
+    short = gaps.where("under > 0").withColumn("under_upto", F.col("under_from") + F.col("under"))
+    wanting = short.agg(F.sort_array(F.collect_list(F.struct("under_upto", "under_from", "sid", "drawn"))).alias("wanting"))
     slots = slots.join(gaps.select("sid", "slots", "over_from"), "sid").withColumn("wanting", wanting.scalar())
     excess = F.col("over_from") + F.col("i") - F.col("slots")
-    giver = F.element_at(F.filter("wanting", lambda w: (w["under_from"] <= excess) & (excess < w["under_from"] + w["under"])), 1)
+    giver = first_above(F.col("wanting"), "under_upto", excess, n_sources)
     slots = slots.withColumn("to", F.when(F.col("i") >= F.col("slots"), giver)).select(
         "shard",
         "slot",
