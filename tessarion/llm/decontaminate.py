@@ -37,7 +37,7 @@ def shingle_hash(words: Column, at: Column, n: int) -> Column:
 
 def item_windows(items: DataFrame, window: int) -> DataFrame:
     """(item_id, win, len): the distinct windows of each item."""
-    words = items.select("item_id", lower_words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    words = items.where("item_id IS NOT NULL").select("item_id", lower_words(F.col("text")).alias("words")).where(F.size("words") > 0)
     n = F.size("words")
     first = F.explode(F.sequence(F.lit(0), F.greatest(n - window, F.lit(0))))
     wins = words.select("item_id", "words", first.alias("at")).select("item_id", F.slice("words", F.col("at") + 1, window).alias("win"))
@@ -56,7 +56,8 @@ def decontaminate(
 
     docs (doc_id, text), items (item_id, text).  A document word inside any occurrence of a window is
     hit.  Null or wordless documents have no words and no hits; null or wordless items have no windows;
-    either table may be empty; repeated rows each give a row; other columns are ignored.
+    either table may be empty; repeated rows each give a row; rows under a null id, or under one id with
+    several texts, are told apart by their text; a null item_id is no item; other columns are ignored.
 
     The windows are broadcast in blocks of at most ``broadcast_bytes`` (measured before), and each
     block meets all documents; only hits are shuffled, one group a distinct document.
@@ -134,7 +135,13 @@ def decontaminate(
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """Rows of ``docs`` without a hit, all columns as they are."""
+    """Rows of ``docs`` without a hit, all columns as they are, whatever their names.
+
+    A row is known by its id and its text, so rows under a null id, or under one id with several texts,
+    are each judged by their own text.  A null text has no hit and stays.
+    """
     found = decontaminate(spark, docs, items, **options)
-    hit = Scratch(spark, "clean").table(found.where("n_hit > 0").select("doc_id", F.col("text_key").alias("__text_key")).distinct(), "hit")
-    return docs.withColumn("__text_key", F.xxhash64("text")).join(hit, ["doc_id", "__text_key"], "left_anti").select(*docs.columns)
+    hit = Scratch(spark, "clean").table(found.where("n_hit > 0").select("doc_id", "text_key").distinct(), "hit")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"))
+    kept = rows.join(hit, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left_anti")
+    return kept.select("row.*")
