@@ -215,10 +215,11 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged; a null text has none and stays empty; texts of fewer than
     ``WINDOW`` words lose nothing; windows of one document, or of rows with the same id, do not remove each
-    other; an empty table gives an empty result.
+    other; a null id is before and after none, so its rows lose nothing and take nothing from others; an
+    empty table gives an empty result.
     """
     scratch = Scratch(spark, "substrings")
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    keyed = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     seg = scratch.table(keyed.select("doc_id", "text_key", "text").mapInArrow(segments, "doc_id bigint, text_key bigint, start int, len int, anchor bigint, content bigint"), "segments")
     shared = seg.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), (F.min("content") != F.max("content")).alias("differ"))
     shared = scratch.table(shared.where("least < most").select("anchor", "differ"), "anchors")
