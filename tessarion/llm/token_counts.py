@@ -16,13 +16,15 @@ from urllib.parse import quote
 
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.commits import Commits
 from .common import Scratch
 from .words import slices
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+NEWER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: how byte-level BPE vocabularies of this kind split a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MEASURES = ("docs", "chars", "tokens")
@@ -46,8 +48,7 @@ class TokenLedger:
         self.spark, self.folder = spark, folder
         self.version = version or Path(tokenizer).stem
         self.ranks = spark.sparkContext.broadcast(Path(tokenizer).read_bytes())  # a vocabulary file, whatever the corpus
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.commits = Commits(spark, folder)
 
     def deltas(self, changes: DataFrame) -> DataFrame:
         """source, lang, tokenizer and signed docs, chars and tokens of changes (sign, text, source, lang)."""
@@ -64,36 +65,49 @@ class TokenLedger:
         sums = {"docs": F.col("sign"), "chars": F.col("sign") * F.col("chars"), "tokens": F.col("sign") * F.col("tokens")}
         return rows.groupBy("source", "lang").agg(*[F.sum(e).alias(m) for m, e in sums.items()]).withColumn("tokenizer", F.lit(version))
 
-    def _target(self, batch_id: str) -> str:
-        return f"{self.folder}/batch={quote(f'{self.version}~{batch_id}', safe='')}"
+    def _name(self, batch_id: str) -> str:
+        return quote(f"{self.version}~{batch_id}", safe="")
 
     def committed(self, batch_id: str) -> bool:
-        return self._fs.exists(self._path(f"{self._target(batch_id)}/_SUCCESS"))
+        return self.commits.there(self._name(batch_id))
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Commit a batch; False, and no work, if its id is committed already.
 
-        The sums are written aside and renamed, so a batch is there as a whole or not at all; of two
-        writers of one batch the second rename fails and its sums are dropped.
+        The sums are written under a name of their own and count once the batch's marker is made, so a batch
+        is there as a whole or not at all; of two writers of one batch the second finds the marker taken and
+        drops its sums.
         """
         if self.committed(batch_id):
             return False
-        aside = f"{self.folder}/_aside/{uuid.uuid4().hex}"
-        self.deltas(changes).write.parquet(aside)
-        self._fs.mkdirs(self._path(self.folder))
-        target = self._path(self._target(batch_id))
-        done = not self._fs.exists(target) and self._fs.rename(self._path(aside), target)
+        data = uuid.uuid4().hex
+        self.deltas(changes).write.parquet(f"{self.folder}/sums={data}")
+        done = self.commits.mark(self._name(batch_id), {"data": data})
         if not done:
-            self._fs.delete(self._path(aside), True)
+            self.commits.delete(f"{self.folder}/sums={data}")
         return done
 
+    def _sums(self, data: list[str]) -> DataFrame:
+        schema = "source string, lang string, docs bigint, chars bigint, tokens bigint, tokenizer string"
+        if not data:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(f"{schema}, sums string").parquet(self.folder)
+        return rows.where(F.col("sums").isin(data)).groupBy("source", "lang", "tokenizer").agg(*[F.sum(m).alias(m) for m in MEASURES])
+
+    def compact(self) -> None:
+        """Write the sums of all batches as one; their ids stay committed."""
+        old = self.commits.all()
+        if len(old) < 2:
+            return
+        data = uuid.uuid4().hex
+        self._sums([w["data"] for w in old.values()]).write.parquet(f"{self.folder}/sums={data}")
+        self.commits.mark(f"compact-{data}", {"data": data, "replaces": list(old)})
+        for what in old.values():
+            self.commits.delete(f"{self.folder}/sums={what['data']}")
+
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, docs, chars, tokens; groups whose documents are all gone are left out."""
-        schema = "source string, lang string, docs bigint, chars bigint, tokens bigint, tokenizer string"
-        found = self._fs.globStatus(self._path(f"{self.folder}/batch=*"))
-        paths = [str(s.getPath()) for s in found or []]
-        rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-        sums = rows.groupBy("source", "lang", "tokenizer").agg(*[F.sum(m).alias(m) for m in MEASURES])
+        sums = self._sums([what["data"] for what in self.commits.all().values()])
         return sums.where(" OR ".join(f"{m} <> 0" for m in MEASURES))
 
 
@@ -108,14 +122,40 @@ def rollups(totals: DataFrame) -> DataFrame:
     )
 
 
-def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Rollups of ``docs`` (text, source, lang), through a ledger: one batch, committed twice over.
+def inserts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.lit(1).alias("sign"), "text", "source", "lang")
+
+
+def deletes(docs: DataFrame) -> DataFrame:
+    return docs.select(F.lit(-1).alias("sign"), "text", "source", "lang")
+
+
+def revisions(docs: DataFrame, text: Column) -> DataFrame:
+    """Both sides of documents whose text becomes another one."""
+    changed = docs.withColumn("text", F.explode(F.array(F.struct(F.lit(-1).alias("sign"), "text"), F.struct(F.lit(1).alias("sign"), text.alias("text")))))
+    return changed.select("text.sign", "text.text", "source", "lang")
+
+
+def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str = TOKENIZER, newer: str = NEWER) -> DataFrame:
+    """Rollups of ``docs`` (text, source, lang) after a life of changes, by two versions of the tokenizer.
 
-    Null texts count as documents without tokens; null sources and languages are groups of their own;
-    repeated rows count each; an empty table gives an empty result; other columns are ignored.
+    The first ledger takes all documents in, then revises those whose white space is not single spaces
+    between words, then deletes those without a word; every batch is committed again, as a driver that
+    starts anew would, and changes nothing.  The newer tokenizer takes in what is left.  Null texts are documents
+    without tokens, until they are deleted; null sources and languages are groups of their own; repeated rows
+    count each; an empty table gives an empty result; other columns are ignored.
     """
-    ledger = TokenLedger(spark, Scratch(spark, "tokens").path("ledger"), tokenizer)
-    changes = docs.select(F.lit(1).alias("sign"), "text", "source", "lang")
-    ledger.commit("load", changes)
-    ledger.commit("load", changes)  # a driver that starts again does this; nothing is read
+    folder = Scratch(spark, "tokens").path("ledger")
+    docs = docs.select("text", "source", "lang")
+    tidy = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+    loose, blank = F.coalesce(tidy != F.col("text"), F.lit(False)), F.coalesce(tidy, F.lit("")) == ""
+    now = docs.withColumn("text", tidy)
+    batches = {"load": inserts(docs), "tidy": revisions(docs.where(loose), tidy), "drop blank": deletes(now.where(blank))}
+    ledger = TokenLedger(spark, folder, tokenizer)
+    for batch_id, changes in batches.items():
+        ledger.commit(batch_id, changes)
+        ledger.commit(batch_id, changes)
+    later = TokenLedger(spark, folder, newer)
+    later.commit("load", inserts(now.where(~blank)))
+    ledger.compact()
     return rollups(ledger.totals())

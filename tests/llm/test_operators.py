@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessarion.llm import language, neardup, substrings
+from tessarion.llm import language, neardup, substrings, token_counts
 from tessarion.llm.common import Scratch
 from tessarion.llm.components import connected_components
 from tessarion.llm.decontaminate import clean_documents, decontaminate
@@ -312,6 +312,59 @@ def test_ledger(spark, tmp_path):
     assert (top["docs"], top["tokens"]) == (3, 4)
 
 
+def test_ledger_commits(spark, tmp_path):
+    """Of two writers of one batch one counts; a marker without content is none; compaction changes no total."""
+    load = spark.createDataFrame([(1, "some text here", "a", "en"), (1, "more", "b", None)], "sign int, text string, source string, lang string")
+    ledger = TokenLedger(spark, f"file://{tmp_path}/ledger")
+    twin = TokenLedger(spark, f"file://{tmp_path}/ledger")
+    twin.committed = lambda batch_id: False  # it looked before the other one was done
+    assert ledger.commit("1", load) and not twin.commit("1", load)
+    (tmp_path / "ledger" / "_commits" / ledger._name("2")).touch()
+    assert not ledger.committed("2") and ledger.commit("2", load)
+    before = sorted(map(str, ledger.totals().collect()))
+    assert sum(r["docs"] for r in ledger.totals().collect()) == 4
+    ledger.compact()
+    assert len(ledger.commits.all()) == 1 and sorted(map(str, ledger.totals().collect())) == before
+    assert ledger.committed("1") and not ledger.commit("1", load)
+
+
+def test_token_counts(docs):
+    """Every level against plain counts of the texts as they are in the end."""
+    want = Counter()
+    for path in (token_counts.TOKENIZER, token_counts.NEWER):
+        name, enc = path.split("/")[-1].split(".")[0], token_counts.encoding(path, open(path, "rb").read())
+        for r in docs.collect():
+            text = " ".join(words(r["text"]))
+            if text:
+                for key in ((3, name, r["source"], r["lang"]), (2, name, r["source"], None), (1, name, None, None)):
+                    for k, n in enumerate((1, len(text), len(enc.encode_ordinary(text)))):
+                        want[key, k] += n
+    got = {((r["level"], r["tokenizer"], r["source"], r["lang"]), k): r[m] for r in count_tokens(docs.sparkSession, docs).collect() for k, m in enumerate(token_counts.MEASURES)}
+    assert got == want
+
+
+def test_clashing_labels(spark):
+    """A document that is labelled both ways teaches nothing, in whatever order its labels come."""
+    d = spark.createDataFrame([(k, f"text number {k} " * (3 if k % 2 else 30)) for k in range(40)], "doc_id bigint, text string")
+    y = [(k, k % 2) for k in range(40)]
+    want = {r["doc_id"]: r["score"] for r in score_quality(spark, d, spark.createDataFrame([r for r in y if r[0] != 4], "doc_id bigint, quality int")).collect()}
+    got = {r["doc_id"]: r["score"] for r in score_quality(spark, d, spark.createDataFrame([(4, 1), *y, (4, 0), (7, None)], "doc_id bigint, quality int")).collect()}
+    assert got == want
+
+
+def test_odd_ids(spark):
+    """Rows under a null id, or under one id with several texts, are judged by their own text."""
+    item = " ".join(f"q{k}" for k in range(12))
+    rows = [(None, "a " + item, "x"), (None, "clean", "x"), (1, "clean too", "y"), (1, item, "y"), (2, None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, text_key string").withColumn("key", F.lit(1)).withColumn("row", F.lit(2)).withColumn("id", F.lit(3))
+    kept = clean_documents(spark, docs, spark.createDataFrame([(1, item), (None, "clean")], "item_id bigint, text string"))
+    assert kept.columns == docs.columns and {(r["doc_id"], r["text"]) for r in kept.collect()} == {(None, "clean"), (1, "clean too"), (2, None)}
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(5, long), (None, long), (None, long), (6, "x " + long), (6, "other"), (4, None)]
+    got = {(r["doc_id"], r["n_words"]): r["n_removed"] for r in dedup_substrings(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {(5, 60): 0, (None, 60): 0, (6, 61): 60, (6, 1): 0, (4, 0): 0}
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     items = spark.createDataFrame([], "item_id bigint, text string")
