@@ -166,3 +166,21 @@ ARTIFACT_NOUNS = {
     "slack": ("a Slack message", "Slack messages"),
     "code": ("code", "codes"),
 }
+
+# -- fixed values: texts of answers ---------------------------------------------
+QUESTION = "Q: what does the project believe about '{name}'?"
+UNANSWERABLE = "UNANSWERABLE FROM MEMORY"
+UNBOUND = "No entity is registered under the name '{name}'. Memory cannot answer a question about a concept it never bound."
+NO_FACTS = "'{name}' is bound (id={ref}) but appears in no persisted fact: recognized as a name, never became knowledge."
+NO_DECISION = "'{name}' appears only under predicates {seen}, none of which express a decision or rationale."
+NO_HISTORY = "No supersession edge touches this entity: memory holds a current position but no recorded history of what it replaced."
+INGESTION_ORDERED = " supersession(s) here were ordered by ingestion order, not by artifact timestamps. Re-importing these artifacts in a different order could invert this answer."
+MERGED = "'{name}' resolved across {n} names asserted to be the same concept: {labels}."
+TRUNCATED = "The identity class hit the traversal bound; some equivalent names were not followed."
+UNDATED = " current fact(s) carry no timestamped evidence."
+#: Folders that hold decision records by custom, and files in them that are none.
+DECISION_FOLDERS = (
+    "docs/adr", "docs/adrs", "docs/architecture-decisions", "docs/decisions", "adr", "adrs", "architecture/decisions", "doc/adr",
+    "rfcs", "docs/rfcs", "text", "keps", "designs", "docs/design", "proposals", "docs/proposals",
+)
+NO_DECISIONS = ("readme", "index", "template")

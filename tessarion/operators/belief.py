@@ -94,9 +94,15 @@ def ask(m: Memory, names: DataFrame, predicates: list[str] | None = None) -> Dat
 
 
 def decisions_of(belief: DataFrame) -> DataFrame:
-    """The decision of each class: its first current selection by (predicate, object_ref, fact_id)."""
-    order = W.partitionBy("class_id").orderBy("predicate_rank", "object_ref", "fact_id")
-    return belief.where("section = 'current' AND predicate = 'selected'").withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
+    """The decision of each class: its first current selection by (object_ref, fact_id).
+
+    A minimum of rows as structs, which is aggregated before the shuffle: a concept in many facts is no
+    large group.
+    """
+    chosen = belief.where("section = 'current' AND predicate = 'selected'")
+    rest = [c for c in belief.columns if c not in ("class_id", "predicate_rank", "object_ref", "fact_id")]
+    first = chosen.groupBy("class_id").agg(F.min_by(F.struct(*rest), F.struct("predicate_rank", "object_ref", "fact_id")).alias("r"), F.min(F.struct("predicate_rank", "object_ref", "fact_id")).alias("f"))
+    return first.select("class_id", "f.*", "r.*").select(*belief.columns)
 
 
 def conflicts_of(m: Memory, belief: DataFrame) -> DataFrame:
@@ -108,6 +114,18 @@ def conflicts_of(m: Memory, belief: DataFrame) -> DataFrame:
     return belief.select("class_id", "fact_id").join(ends, "fact_id").groupBy("class_id").agg(F.count("*").alias("n_conflicts"))
 
 
+def filled(template: str, **parts: Column) -> Column:
+    """A text with columns in the places of their names."""
+    out, rest = [], template
+    while rest:
+        before, brace, rest = rest.partition("{")
+        out.append(F.lit(before))
+        if brace:
+            name, _, rest = rest.partition("}")
+            out.append(parts[name])
+    return F.concat(*out)
+
+
 def diagnostics(m: Memory, belief: DataFrame, classes: DataFrame) -> DataFrame:
     """class_id, diagnostics (array): what memory says is shaky about an answer."""
     per = belief.groupBy("class_id").agg(
@@ -116,15 +134,16 @@ def diagnostics(m: Memory, belief: DataFrame, classes: DataFrame) -> DataFrame:
         F.count_if((F.col("section") == "history") & (F.col("basis") == "ingestion_order")).alias("by_ingestion"),
         F.count_if((F.col("section") == "current") & (F.col("last_asserted") == "")).alias("undated"),
     )
-    merged = classes.groupBy("class_id").agg(F.max("class_size").alias("names"), F.max("truncated").alias("truncated"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("member_rank", "label"))), lambda x: x["label"]), ", ").alias("labels"))
+    merged = classes.groupBy("class_id").agg(F.max("class_size").alias("names"), F.max("truncated").alias("truncated"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("member_rank", "label"))), lambda x: x["label"]), ", ").alias("labels"), F.min_by("label", "member_rank").alias("canonical"))
     rows = per.join(merged, "class_id", "left")
     count = lambda c, text: F.concat(F.col(c).cast("string"), F.lit(text))
+    merged = filled(V.MERGED, name=F.col("canonical"), n=F.col("names").cast("string"), labels=F.col("labels"))
     notes = F.array(
-        F.when((F.col("current") > 0) & (F.col("history") == 0), "No supersession edge touches this concept: a current position, but no history of what it replaced."),
-        F.when(F.col("by_ingestion") > 0, count("by_ingestion", " supersession(s) were ordered by ingestion order, not by dates; another order of import could invert this answer.")),
-        F.when(F.col("names") > 1, F.concat(F.lit("Resolved across "), F.col("names").cast("string"), F.lit(" names asserted to be the same concept: "), F.col("labels"), F.lit("."))),
-        F.when(F.col("truncated"), "The identity class reached its bound; some equivalent names were not followed."),
-        F.when(F.col("undated") > 0, count("undated", " current fact(s) carry no timestamped evidence.")),
+        F.when((F.col("current") > 0) & (F.col("history") == 0), V.NO_HISTORY),
+        F.when(F.col("by_ingestion") > 0, count("by_ingestion", V.INGESTION_ORDERED)),
+        F.when(F.col("names") > 1, merged),
+        F.when(F.col("truncated"), V.TRUNCATED),
+        F.when(F.col("undated") > 0, count("undated", V.UNDATED)),
     )
     return rows.select("class_id", F.filter(notes, lambda n: n.isNotNull()).alias("diagnostics"))
 

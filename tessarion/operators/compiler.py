@@ -6,6 +6,7 @@ serves the ordinals, the removal of repeats and the entities.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -193,9 +194,11 @@ def entities(segments: DataFrame, matches: DataFrame) -> DataFrame:
     takes = (F.col("v.type") == "unknown") & (F.col("p.kind") == 1)
     chosen = F.when(takes, F.col("p")).otherwise(F.col("v"))
     merged = per_key.select("artifact_id", "seg_ord", "key", F.col("v.kind").alias("kind"), F.col("v.ord").alias("ord"), chosen["name"].alias("name"), chosen["type"].alias("type"))
-    keys = F.collect_list("key").over(W.partitionBy("artifact_id", "seg_ord"))
-    inside = F.exists("keys", lambda other: (other != F.col("key")) & F.rlike(other, F.concat(F.lit(r"(?U)\b\Q"), F.col("key"), F.lit(r"\E\b"))))
-    kept = merged.withColumn("keys", keys).where(~inside).drop("keys")
+    # one list a segment; a name is looked for in the longer ones only
+    whole = merged.groupBy("artifact_id", "seg_ord").agg(F.collect_list(F.struct("key", "kind", "ord", "name", "type")).alias("all"))
+    word = lambda key: F.concat(F.lit(r"(?U)\b\Q"), key, F.lit(r"\E\b"))
+    alone = lambda e: ~F.exists("all", lambda o: (F.length(o["key"]) > F.length(e["key"])) & F.contains(o["key"], e["key"]) & F.rlike(o["key"], word(e["key"])))
+    kept = whole.select("artifact_id", "seg_ord", F.explode(F.filter("all", alone)).alias("e")).select("artifact_id", "seg_ord", "e.*")
     first = kept.groupBy("artifact_id", "key").agg(F.min(F.struct("seg_ord", "kind", "ord", "name", "type")).alias("f"))
     entity_ord = F.row_number().over(W.partitionBy("artifact_id").orderBy("f.seg_ord", "f.kind", "f.ord")) - 1
     return first.select("artifact_id", "key", "f.name", "f.type", entity_ord.alias("entity_ord"))
@@ -226,8 +229,14 @@ class Compiled:
 
     def by_id(self, table: str, artifact_id: str, ordinal: int) -> DataFrame:
         """One record of one artifact; an unknown table is a KeyError, an unknown record an empty result."""
-        keys = {"observations": "obs_ord", "segments": "seg_ord", "entities": "entity_ord", "facts": "fact_ord", "relations": "fact_ord"}
-        return getattr(self, table).where((F.col("artifact_id") == artifact_id) & (F.col(keys[table]) == ordinal))
+        keys = {"observations": "obs_ord", "segments": "seg_ord", "claims": "stmt_ord", "entities": "entity_ord", "facts": "fact_ord", "relations": "fact_ord"}
+        rows = getattr(self, table) if table in keys else None
+        if rows is None:
+            raise KeyError(table)
+        rows = rows.where(F.col("artifact_id") == artifact_id)
+        if table == "claims":
+            rows = rows.withColumn("stmt_ord", F.row_number().over(W.partitionBy("artifact_id").orderBy("seg_ord", "stmt_pos")) - 1)
+        return rows.where(F.col(keys[table]) == ordinal)
 
     def to_json(self) -> DataFrame:
         """artifact_id, ir: one JSON text an artifact, lists in order."""
@@ -240,8 +249,21 @@ class Compiled:
         return out.select("artifact_id", F.to_json(body).alias("ir"))
 
 
-def compile_artifacts(artifacts: DataFrame, *, match=relational_matches, extra_predicates: dict[str, str] | None = None) -> Compiled:
-    """Compile (artifact_id, content); ``match`` turns segments into relational matches and may be replaced.
+def compile_artifacts(
+    artifacts: DataFrame,
+    *,
+    match: Callable[[DataFrame], DataFrame] = relational_matches,
+    state: Callable[[DataFrame, DataFrame], DataFrame] = statements,
+    recognize: Callable[[DataFrame, DataFrame], DataFrame] = entities,
+    promote: Callable[[DataFrame, dict[str, str] | None], DataFrame] = facts,
+    relate: Callable[[DataFrame, DataFrame], DataFrame] = relations,
+    extra_predicates: dict[str, str] | None = None,
+) -> Compiled:
+    """Compile (artifact_id, content).
+
+    Every stage may be replaced by a function of the same frames: ``match`` (segments to relational matches),
+    ``state`` (segments, matches to statements), ``recognize`` (segments, matches to entities), ``promote``
+    (claims, further predicates to facts) and ``relate`` (facts, entities to relations).
 
     Observations, matches, facts and entities are written once to the shared folder, since every later
     table reads them several times.
@@ -250,8 +272,8 @@ def compile_artifacts(artifacts: DataFrame, *, match=relational_matches, extra_p
     obs = keep(observe(artifacts), "observations")
     segs = segment(obs)
     found = keep(match(segs), "matches")
-    stmts = statements(segs, found)
+    stmts = state(segs, found)
     scored = claims(stmts)
-    fact_rows = keep(facts(scored, extra_predicates), "facts")
-    entity_rows = keep(entities(segs, found), "entities")
-    return Compiled(obs, segs, stmts, entity_rows, scored, fact_rows, relations(fact_rows, entity_rows))
+    fact_rows = keep(promote(scored, extra_predicates), "facts")
+    entity_rows = keep(recognize(segs, found), "entities")
+    return Compiled(obs, segs, stmts, entity_rows, scored, fact_rows, relate(fact_rows, entity_rows))

@@ -107,6 +107,12 @@ def edges_caused_by(m: Memory, fact_id: str) -> DataFrame:
     return m.supersessions.where(F.col("superseding") == fact_id)
 
 
+def edges_both_ways(m: Memory) -> DataFrame:
+    """fact_id, other: every edge seen from either end."""
+    pair = m.supersessions.select(F.explode(F.array(F.struct(F.col("superseded").alias("fact_id"), F.col("superseding").alias("other")), F.struct(F.col("superseding").alias("fact_id"), F.col("superseded").alias("other")))).alias("e"))
+    return pair.select("e.*")
+
+
 def conflicts_involving(m: Memory, fact_id: str) -> DataFrame:
     return m.conflicts.where((F.col("fact_a") == fact_id) | (F.col("fact_b") == fact_id))
 

@@ -10,8 +10,8 @@ from pyspark.sql.window import Window as W
 
 from ..functions import vocabulary as V
 from ..functions.ids import entity_id, ref_kind
-from ..functions.markdown import chunks, strip_noise
-from ..functions.phrases import confidence, is_concept, is_negated, is_usable, normalize_phrase, sentences
+from ..functions.markdown import strip_noise
+from ..functions.phrases import confidence, is_concept, is_negated, is_usable, normalize_phrase
 from ..operators import apps, compiler, linker
 from ..operators import belief as B
 from ..operators import memory as M
@@ -369,31 +369,22 @@ def q16_pilot(spark, sf):
 
 
 _EDGES = """, per AS (
-  SELECT class_id, count(*) FILTER (section = 'current') AS cur, count(*) FILTER (section = 'history') AS hist, count(*) FILTER (section = 'current' AND last_asserted = '') AS undated FROM believed GROUP BY class_id)
-SELECT class_id, cur > 0 AND hist = 0 AS no_history, undated > 0 AS undated, class_id IN (SELECT class_id FROM class) AS merged FROM per"""
+  SELECT class_id, count(*) FILTER (section = 'current') AS cur, count(*) FILTER (section = 'history') AS hist, count(*) FILTER (section = 'history' AND basis = 'ingestion_order') AS by_order, count(*) FILTER (section = 'current' AND last_asserted = '') AS undated
+  FROM believed LEFT JOIN (SELECT superseded AS fact_id, min(row(recorded_at, superseding, artifact_id, reason, basis))[5] AS basis FROM supersession GROUP BY superseded) USING (fact_id) GROUP BY class_id),
+named AS (SELECT class_id, count(*) AS n, string_agg(label, ', ' ORDER BY member_rank) AS labels, min(row(member_rank, label))[2] AS canonical FROM class GROUP BY class_id)
+SELECT class_id, array_to_string(list_filter([
+  CASE WHEN cur > 0 AND hist = 0 THEN 'No supersession edge touches this entity: memory holds a current position but no recorded history of what it replaced.' END,
+  CASE WHEN by_order > 0 THEN by_order || ' supersession(s) here were ordered by ingestion order, not by artifact timestamps. Re-importing these artifacts in a different order could invert this answer.' END,
+  CASE WHEN n > 1 THEN '''' || canonical || ''' resolved across ' || n || ' names asserted to be the same concept: ' || labels || '.' END,
+  CASE WHEN n >= 64 THEN 'The identity class hit the traversal bound; some equivalent names were not followed.' END,
+  CASE WHEN undated > 0 THEN undated || ' current fact(s) carry no timestamped evidence.' END], lambda x: x IS NOT NULL), chr(10)) AS notes FROM per LEFT JOIN named USING (class_id)"""
 
 
 @query(_BELIEF + _EDGES)
 def q04_diagnostics(spark, sf):
     m = P.star_memory(spark, sf)
     classes = B.identity_classes(m)
-    notes = B.diagnostics(m, B.beliefs(m, classes), classes)
-    has = lambda text: F.exists("diagnostics", lambda d: F.contains(d, F.lit(text)))
-    return notes.select("class_id", has("no history").alias("no_history"), has("no timestamped").alias("undated"), has("Resolved across").alias("merged"))
-
-
-@query()
-def q09_prose(spark, sf):
-    from ..operators.prose import told
-
-    return told(P.star_memory(spark, sf))
-
-
-@query()
-def q10_rendered(spark, sf):
-    from ..operators.prose import rendered
-
-    return rendered(P.star_memory(spark, sf))
+    return B.diagnostics(m, B.beliefs(m, classes), classes).select("class_id", F.array_join("diagnostics", "\n").alias("notes"))
 
 
 @query("SELECT fact_id, CASE predicate WHEN 'selected' THEN 'uses ' || o.label || ' for ' || s.label WHEN 'uses' THEN s.label || ' uses ' || o.label WHEN 'depends_on' THEN s.label || ' depends on ' || o.label WHEN 'replaced_by' THEN 'replaced ' || s.label || ' with ' || o.label WHEN 'prohibits' THEN s.label || ' must not use ' || o.label WHEN 'allows' THEN s.label || ' may use ' || o.label ELSE s.label || ' same as ' || o.label END AS said FROM fact JOIN lab s ON s.ref = subject_ref JOIN lab o ON o.ref = object_ref")
@@ -464,21 +455,6 @@ def c01_strip_noise(spark, sf):
     return _documents(spark, sf).select("doc_id", F.md5(strip_noise(F.col("content"))).alias("cleaned"))
 
 
-@query()
-def c03_chunks(spark, sf):
-    return _documents(spark, sf).select("doc_id", F.posexplode(chunks(F.col("content"))).alias("pos", "chunk"))
-
-
-@query()
-def c04_observations(spark, sf):
-    return compiler.with_sections(compiler.observe(_documents(spark, sf).withColumn("artifact_id", F.col("doc_id").cast("string"))))
-
-
-@query()
-def c07_sentences(spark, sf):
-    return P.read(spark, sf, "documents").select("doc_id", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
-
-
 @query("SELECT doc_id, regexp_matches(text, '(?i)\\b(never|not|cannot|can''t|won''t|must not|may not|does not|do not|should not|shall not|no longer|neither|nor)\\b') AS negated FROM documents", base=False)
 def c09_negation(spark, sf):
     return P.read(spark, sf, "documents").select("doc_id", is_negated(F.col("text")).alias("negated"))
@@ -520,23 +496,6 @@ def c19_confidence(spark, sf):
     return P.read(spark, sf, "documents").select("doc_id", confidence(F.col("text")).alias("confidence"))
 
 
-@query()
-def c20_compiled_facts(spark, sf):
-    return compiler.compile_artifacts(P.texts(spark, sf)).facts.drop("supporting")
-
-
-@query()
-def c18_compiled_entities(spark, sf):
-    return compiler.compile_artifacts(P.texts(spark, sf)).entities
-
-
-@query()
-def c23_linked_texts(spark, sf):
-    arts = P.texts(spark, sf)
-    m = linker.link(spark, arts, compiler.compile_artifacts(arts))
-    return B.decisions(m)
-
-
 # -- sources -----------------------------------------------------------------------
 
 
@@ -559,21 +518,16 @@ def s06_commit_noise(spark, sf):
     return P.read(spark, sf, "documents").select("doc_id", is_noise(F.concat(head, F.lit("\n\n"), F.col("text"))).alias("noise"))
 
 
-@query()
-def s14_sampled_documents(spark, sf):
-    from ..sources.sheets import sample_documents
-
-    return sample_documents(P.read(spark, sf, "documents").select("doc_id", "source"), 50, 7, "doc_id")
-
-
 @query("SELECT artifact_id FROM art WHERE artifact_id NOT IN (SELECT artifact_id FROM asserted)")
 def s10_unknown_artifacts(spark, sf):
     return P.order_artifacts(spark, sf).select("artifact_id").join(P.asserted(spark, sf).select("artifact_id"), "artifact_id", "left_anti")
 
 
-@query("SELECT event_type AS source, arg_max(CAST(event_id AS VARCHAR), ts) AS cursor FROM events GROUP BY event_type", base=False)
+@query("SELECT event_type AS source, arg_max(CAST(event_id AS VARCHAR), event_id) AS cursor FROM events GROUP BY event_type", base=False)
 def s11_cursors(spark, sf):
-    return P.read(spark, sf, "events").groupBy(F.col("event_type").alias("source")).agg(F.max_by(F.col("event_id").cast("string"), "ts").alias("cursor"))
+    from ..streaming.ingest import latest_cursors
+
+    return latest_cursors(P.read(spark, sf, "events").select(F.col("event_type").alias("source"), F.col("event_id").cast("string").alias("cursor"), F.col("event_id").alias("seq")))
 
 
 @query("""SELECT bucket, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM (SELECT CASE WHEN p_size <= 20 THEN '1' WHEN p_size <= 40 THEN '2' ELSE '3' END AS bucket FROM part) GROUP BY bucket""", base=False)

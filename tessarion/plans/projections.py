@@ -139,35 +139,8 @@ def sql_entity(name: str) -> str:
 
 
 _PART = "(p_name || ' ' || CAST(p_partkey AS VARCHAR))"
-#: CTEs art, ent, asserted, fact and ev; used after WITH.
-SQL_BASE = f"""
-art AS (
-  SELECT {sql_id("artifact", "'order'", "CAST(o_orderkey AS VARCHAR)")} AS artifact_id,
-    CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'adr' WHEN '2' THEN 'pull_request' WHEN '3' THEN 'issue' WHEN '4' THEN 'commit' ELSE 'document' END AS type,
-    CASE WHEN o_orderstatus = 'P' THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS recorded_at, o_orderkey AS ingest_seq, o_custkey AS custkey
-  FROM orders),
-ent AS (
-  SELECT {sql_entity("name")} AS entity_id, name, type FROM (
-    SELECT n_name AS name, 'team' AS type FROM nation UNION ALL SELECT r_name, 'team' FROM region UNION ALL SELECT {_PART}, 'component' FROM part)),
-np AS (SELECT p_partkey, p_size, {_PART} AS part, n_name FROM part JOIN nation ON p_partkey % 25 = n_nationkey),
-said AS (
-  SELECT {sql_entity("n_name")} AS subject_ref, CASE l_returnflag WHEN 'A' THEN 'uses' WHEN 'N' THEN 'selected' ELSE 'depends_on' END AS predicate,
-    {sql_entity(_PART)} AS object_ref, artifact_id, ingest_seq, art.type AS artifact_type, recorded_at, CASE WHEN l_discount > 0.05 THEN CAST(0.4 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END AS confidence
-  FROM lineitem JOIN art ON l_orderkey = ingest_seq JOIN customer ON custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey
-  UNION ALL
-  SELECT {sql_entity("s")}, p, {sql_entity("o")}, {sql_id("artifact", "'part'", "CAST(k AS VARCHAR)")}, k * 7, 'adr', '1998-01-01', CAST(1.0 AS DOUBLE) FROM (
-    SELECT a.p_partkey AS k, a.part AS s, 'replaced_by' AS p, b.part AS o FROM np a JOIN np b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_size = 50
-    UNION ALL SELECT p_partkey, n_name, 'prohibits', part FROM np WHERE p_size IN (1, 2)
-    UNION ALL SELECT p_partkey + 1, n_name, 'allows', part FROM np WHERE p_size = 2)
-  UNION ALL
-  SELECT {sql_entity("n_name")}, 'same_as', {sql_entity("r_name")}, {sql_id("artifact", "'nation'", "CAST(n_nationkey AS VARCHAR)")}, n_nationkey, 'document', '', CAST(1.0 AS DOUBLE) FROM nation JOIN region ON n_regionkey = r_regionkey),
-asserted AS (SELECT *, {sql_id("fact", "subject_ref", "predicate", "object_ref")} AS fact_id FROM said),
-fact AS (SELECT DISTINCT fact_id, subject_ref, predicate, object_ref FROM asserted),
-ev AS (
-  SELECT *, CASE artifact_type WHEN 'adr' THEN 1.0::DOUBLE WHEN 'pull_request' THEN 0.8::DOUBLE WHEN 'document' THEN 0.7::DOUBLE WHEN 'issue' THEN 0.6::DOUBLE ELSE 0.5::DOUBLE END AS authority FROM (
-    SELECT DISTINCT {sql_id("evidence", "artifact_id", "fact_id", "CASE WHEN confidence < 1 THEN '0.4' ELSE '1.0' END")} AS evidence_id, fact_id, artifact_id, artifact_type, recorded_at, confidence FROM asserted)),
-sup AS (
-  SELECT fact_id, round(sum(round(confidence * authority, 6)), 6) AS support, count(*) AS evidence_count, coalesce(max(nullif(recorded_at, '')), '') AS last_asserted FROM ev GROUP BY fact_id),
+#: CTEs from sight to gone: the rules in order of ingestion over any CTE ``asserted``; selections fold in a recursive step.
+SQL_RULES = """
 sight AS (
   SELECT fact_id, subject_ref, predicate, object_ref, recorded_at, min(row(ingest_seq, artifact_id)) AS place FROM asserted
   WHERE predicate IN ('selected', 'uses', 'depends_on', 'replaced_by', 'deprecated', 'prohibits', 'allows') GROUP BY ALL),
@@ -181,7 +154,7 @@ chosen AS (SELECT * FROM seen WHERE predicate = 'selected'),
 about AS (SELECT DISTINCT subject_ref, declared.* FROM declared JOIN (SELECT subject_ref, subject_ref AS ref FROM chosen UNION SELECT subject_ref, object_ref FROM chosen) USING (ref)),
 event AS MATERIALIZED (
   SELECT subject_ref, place, max(t) AS t, row_number() OVER (PARTITION BY subject_ref ORDER BY place) AS n,
-    coalesce(list({{f: fact_id, o: object_ref, t: t, new: new}}) FILTER (fact_id IS NOT NULL), []) AS facts, coalesce(list({{r: r, ref: ref, said: said}}) FILTER (r IS NOT NULL), []) AS decls
+    coalesce(list({f: fact_id, o: object_ref, t: t, new: new}) FILTER (fact_id IS NOT NULL), []) AS facts, coalesce(list({r: r, ref: ref, said: said}) FILTER (r IS NOT NULL), []) AS decls
   FROM (SELECT subject_ref, place, recorded_at AS t, fact_id, object_ref, new, NULL AS r, NULL AS ref, NULL AS said FROM chosen UNION ALL SELECT subject_ref, place, r_at, NULL, NULL, NULL, r, ref, said FROM about)
   GROUP BY subject_ref, place),
 step AS (
@@ -190,14 +163,14 @@ step AS (
   SELECT subject_ref, n,
     list_concat(
       list_transform(list_filter(held, lambda h: NOT list_contains(list_transform(list_filter(met, lambda m: m.o IN ('later', 'unknown')), lambda m: m.f), h.f)),
-        lambda h: {{f: h.f, o: h.o, t: greatest(h.t, coalesce(list_max(list_transform(list_filter(facts, lambda x: x.f = h.f), lambda x: x.t)), ''))}}),
-      list_transform(list_filter(facts, lambda x: x.new AND NOT list_contains(list_transform(list_filter(met, lambda m: m.o = 'earlier'), lambda m: m.i), x.f)), lambda x: {{f: x.f, o: x.o, t: x.t}})),
+        lambda h: {f: h.f, o: h.o, t: greatest(h.t, coalesce(list_max(list_transform(list_filter(facts, lambda x: x.f = h.f), lambda x: x.t)), ''))}),
+      list_transform(list_filter(facts, lambda x: x.new AND NOT list_contains(list_transform(list_filter(met, lambda m: m.o = 'earlier'), lambda m: m.i), x.f)), lambda x: {f: x.f, o: x.o, t: x.t})),
     met, artifact_id, t
   FROM (
     SELECT step.subject_ref, event.n, held, facts, place[2] AS artifact_id, event.t, list_transform(list_concat(
-        flatten(list_transform(decls, lambda d: list_transform(list_filter(held, lambda h: d.ref = step.subject_ref OR h.o = d.ref), lambda h: {{i: d.r, f: h.f, t: h.t, reason: 'Explicit ' || d.said || ' declaration'}}))),
-        flatten(list_transform(list_filter(facts, lambda x: x.new), lambda x: list_transform(held, lambda h: {{i: x.f, f: h.f, t: h.t, reason: 'Single-occupancy decision supersession'}})))),
-      lambda m: {{i: m.i, f: m.f, o: CASE WHEN m.t = '' OR event.t = '' THEN 'unknown' WHEN event.t > m.t THEN 'later' WHEN event.t < m.t THEN 'earlier' ELSE 'simultaneous' END, reason: m.reason}}) AS met
+        flatten(list_transform(decls, lambda d: list_transform(list_filter(held, lambda h: d.ref = step.subject_ref OR h.o = d.ref), lambda h: {i: d.r, f: h.f, t: h.t, reason: 'Explicit ' || d.said || ' declaration'}))),
+        flatten(list_transform(list_filter(facts, lambda x: x.new), lambda x: list_transform(held, lambda h: {i: x.f, f: h.f, t: h.t, reason: 'Single-occupancy decision supersession'})))),
+      lambda m: {i: m.i, f: m.f, o: CASE WHEN m.t = '' OR event.t = '' THEN 'unknown' WHEN event.t > m.t THEN 'later' WHEN event.t < m.t THEN 'earlier' ELSE 'simultaneous' END, reason: m.reason}) AS met
     FROM step JOIN event ON event.subject_ref = step.subject_ref AND event.n = step.n + 1)),
 meeting AS MATERIALIZED (
   SELECT m.i, m.f, m.o, m.reason, artifact_id, t FROM (SELECT unnest(met) AS m, artifact_id, t FROM step)
@@ -210,6 +183,65 @@ conflict AS (
   SELECT least(i, f) AS fact_a, greatest(i, f) AS fact_b, 'simultaneous_incompatible_assertions' AS conflict_type, artifact_id FROM meeting WHERE o = 'simultaneous'
   UNION ALL SELECT least(p.fact_id, a.fact_id), greatest(p.fact_id, a.fact_id), 'prohibits_allows_contradiction', greatest(p.place, a.place)[2]
   FROM seen p JOIN seen a USING (subject_ref, object_ref) WHERE p.new AND a.new AND p.predicate = 'prohibits' AND a.predicate = 'allows' AND p.place <> a.place),
-gone AS (SELECT DISTINCT superseded AS fact_id FROM supersession),
+gone AS (SELECT DISTINCT superseded AS fact_id FROM supersession)
+"""
+#: CTEs art, ent, asserted, fact and ev; used after WITH.
+SQL_BASE = f"""
+art AS (
+  SELECT {sql_id("artifact", "'order'", "CAST(o_orderkey AS VARCHAR)")} AS artifact_id,
+    CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'adr' WHEN '2' THEN 'pull_request' WHEN '3' THEN 'issue' WHEN '4' THEN 'commit' ELSE 'document' END AS type,
+    CASE WHEN o_orderstatus = 'P' THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS recorded_at, o_orderkey AS ingest_seq, o_custkey AS custkey
+  FROM orders),
+ent AS (
+  SELECT {sql_entity("name")} AS entity_id, name, type FROM (
+    SELECT n_name AS name, 'team' AS type FROM nation UNION ALL SELECT r_name, 'team' FROM region UNION ALL SELECT {_PART}, 'component' FROM part)),
+np AS (SELECT p_partkey, p_size, {_PART} AS part, n_name FROM part JOIN nation ON p_partkey % 25 = n_nationkey),
+said AS (
+  SELECT {sql_entity("n_name")} AS subject_ref, CASE l_returnflag WHEN 'A' THEN 'uses' WHEN 'N' THEN 'selected' ELSE 'depends_on' END AS predicate,
+    {sql_entity(_PART)} AS object_ref, artifact_id, ingest_seq, art.type AS artifact_type, recorded_at, CASE WHEN l_discount > 0.05 THEN CAST(0.4 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END AS confidence
+  FROM lineitem JOIN art ON l_orderkey = ingest_seq JOIN customer ON custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey
+  UNION ALL
+  SELECT {sql_entity("s")}, p, {sql_entity("o")}, {sql_id("artifact", "'part'", "CAST(k AS VARCHAR)")}, k * 7, 'adr', '1998-01-01', CAST(1.0 AS DOUBLE) FROM (
+    SELECT a.p_partkey AS k, a.part AS s, 'replaced_by' AS p, b.part AS o FROM np a JOIN np b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_size = 50
+    UNION ALL SELECT p_partkey, n_name, 'prohibits', part FROM np WHERE p_size IN (1, 2)
+    UNION ALL SELECT p_partkey + 1, n_name, 'allows', part FROM np WHERE p_size = 2)
+  UNION ALL
+  SELECT {sql_entity("n_name")}, 'same_as', {sql_entity("r_name")}, {sql_id("artifact", "'nation'", "CAST(n_nationkey AS VARCHAR)")}, n_nationkey, 'document', '', CAST(1.0 AS DOUBLE) FROM nation JOIN region ON n_regionkey = r_regionkey),
+asserted AS (SELECT *, {sql_id("fact", "subject_ref", "predicate", "object_ref")} AS fact_id FROM said),
+fact AS (SELECT DISTINCT fact_id, subject_ref, predicate, object_ref FROM asserted),
+ev AS (
+  SELECT *, CASE artifact_type WHEN 'adr' THEN 1.0::DOUBLE WHEN 'pull_request' THEN 0.8::DOUBLE WHEN 'document' THEN 0.7::DOUBLE WHEN 'issue' THEN 0.6::DOUBLE ELSE 0.5::DOUBLE END AS authority FROM (
+    SELECT DISTINCT {sql_id("evidence", "artifact_id", "fact_id", "CASE WHEN confidence < 1 THEN '0.4' ELSE '1.0' END")} AS evidence_id, fact_id, artifact_id, artifact_type, recorded_at, confidence FROM asserted)),
+sup AS (
+  SELECT fact_id, round(sum(round(confidence * authority, 6)), 6) AS support, count(*) AS evidence_count, coalesce(max(nullif(recorded_at, '')), '') AS last_asserted FROM ev GROUP BY fact_id),
+{SQL_RULES},
 lab AS (SELECT entity_id AS ref, name AS label FROM ent)
 """
+
+
+_SERVICE, _GATEWAY, _MODULE = "n_name || ' service'", "n_name || ' gateway'", "lower(p_type) || ' module'"
+#: CTEs of ``texts``: rec (a record), part_of (its segments with the relation that each asserts), and what linking them asserts.
+SQL_TEXTS = f"""
+rec AS (
+  SELECT *, {sql_id("artifact", "'adr'", "content")} AS artifact_id FROM (
+    SELECT p_partkey AS k, {_PART} AS part, n_name, p_type, p_size % 2 = 0 AS hedged, strftime(DATE '2020-01-01' + p_size, '%Y-%m-%d') AS recorded_at,
+      '# Record ' || p_partkey || E'\\n\\n## Decision\\nUse ' || {_PART} || ' for the ' || n_name || E' service, because it fits.\\n\\n```\\nx = 1\\n```\\n| a | b |\\n\\nReason:\\nThe ' || n_name || ' gateway depends on ' || {_PART}
+      || E'.\\n\\n- The ' || lower(p_type) || ' module uses ' || {_PART} || E'.\\n- ' || n_name || ' must not use old storage.' || CASE WHEN p_size % 2 = 0 THEN E'\\n\\nThis should probably be replaced.' ELSE '' END AS content
+    FROM part JOIN nation ON p_partkey % 25 = n_nationkey)),
+part_of AS (
+  SELECT artifact_id, k, recorded_at, p.* FROM (SELECT artifact_id, k, recorded_at, unnest(list_filter([
+    {{pos: 1, type: 'decision', kind: 'decision', own: 'selected', text: 'Use ' || part || ' for the ' || n_name || ' service, because it fits.', s: {_SERVICE}, p: 'selected', o: part}},
+    {{pos: 2, type: 'reason', kind: 'reason', own: 'has_reason', text: 'The ' || n_name || ' gateway depends on ' || part || '.', s: {_GATEWAY}, p: 'depends_on', o: part}},
+    {{pos: 3, type: 'paragraph', kind: 'description', own: 'description', text: 'The ' || lower(p_type) || ' module uses ' || part || '.', s: {_MODULE}, p: 'uses', o: part}},
+    {{pos: 4, type: 'paragraph', kind: 'description', own: 'description', text: n_name || ' must not use old storage.', s: n_name, p: 'prohibits', o: 'old storage'}},
+    {{pos: 5, type: 'paragraph', kind: 'description', own: 'description', text: CASE WHEN hedged THEN 'This should probably be replaced.' END, s: NULL, p: NULL, o: NULL}}], lambda x: x.text IS NOT NULL)) AS p FROM rec)),
+stmt AS (
+  SELECT artifact_id, k, recorded_at, pos AS seg_ord, 0 AS stmt_pos, 'Current Change' AS subject, own AS predicate, text AS target FROM part_of
+  UNION ALL SELECT artifact_id, k, recorded_at, pos, 1, s, p, o FROM part_of WHERE s IS NOT NULL),
+promoted AS (
+  SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY seg_ord, stmt_pos) - 1 AS stmt_ord FROM stmt),
+asserted AS (
+  SELECT *, {sql_id("fact", "subject_ref", "predicate", "object_ref")} AS fact_id FROM (
+    SELECT artifact_id, k AS ingest_seq, recorded_at, CASE WHEN stmt_pos = 0 THEN 'artifact:' || artifact_id ELSE {sql_entity("subject")} END AS subject_ref, CASE predicate WHEN 'description' THEN 'describes' ELSE predicate END AS predicate,
+      CASE WHEN stmt_pos = 0 THEN target ELSE {sql_entity("target")} END AS object_ref, subject, target, stmt_pos FROM promoted WHERE seg_ord < 5))
+"""

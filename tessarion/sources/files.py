@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -73,6 +75,28 @@ def scan_folder(spark: SparkSession, folder: str, dates: DataFrame | None = None
     return _artifacts(rows.withColumn("ingest_seq", F.col("path")))
 
 
+@dataclass
+class MarkdownFolder:
+    """A folder of documents as a source, dated by ``dates`` (path, recorded_at): the cursor is the last date."""
+
+    folder: str
+    dates: DataFrame | None = None
+    pattern: str = "*.md"
+
+    @property
+    def source_id(self) -> str:
+        return f"folder:{self.folder}:{self.pattern}"
+
+    def fetch(self, spark: SparkSession, since: str = "") -> DataFrame:
+        return scan_folder(spark, self.folder, self.dates, since, self.pattern).withColumn("cursor", F.col("recorded_at"))
+
+
+def self_scan(documents: DataFrame, log: DataFrame) -> DataFrame:
+    """A repository about itself: its documents, by path, and then its commits, as one set of artifacts."""
+    shape = lambda rows, rank, at: rows.select("artifact_id", "type", "content", "recorded_at", F.struct(F.lit(rank).alias("rank"), at.alias("at")).alias("ingest_seq"))
+    return shape(documents, 0, F.col("ingest_seq").cast("string")).unionByName(shape(log, 1, F.lpad(F.col("ingest_seq").cast("string"), 20, "0")))
+
+
 def unknown(artifacts: DataFrame, applied: DataFrame) -> DataFrame:
     """Artifacts that were not applied yet."""
     return artifacts.join(applied.select("artifact_id"), "artifact_id", "left_anti")

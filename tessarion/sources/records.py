@@ -7,9 +7,11 @@ reads increments through an injected fetch function, with the record's key as of
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
@@ -45,6 +47,82 @@ def discussions(items: DataFrame, comments: DataFrame, kind: str = "issue") -> D
     return rows.select(content_id("artifact", "type", "content").alias("artifact_id"), "type", "content", "recorded_at", F.col("number").cast("bigint").alias("ingest_seq"), "updated_at")
 
 
+class RateLimited(Exception):
+    """Raised by a transport: ``wait`` seconds until it may be asked again, if it says so."""
+
+    def __init__(self, wait: float | None = None):
+        super().__init__("rate limited")
+        self.wait = wait
+
+
+def patiently(call: Callable[[], list[dict]], attempts: int = 4, longest: float = 60, sleep: Callable[[float], None] = time.sleep) -> list[dict]:
+    """Call a transport, waiting as long as it asks, or longer each time, when it is rate limited."""
+    for k in range(attempts - 1):
+        try:
+            return call()
+        except RateLimited as e:
+            sleep(min(longest, max(1, e.wait) if e.wait is not None else 2**k))
+    return call()
+
+
+@dataclass
+class CommitLog:
+    """A version-control log as a source.
+
+    ``read(since)`` returns the log text after a commit, all of it for '', and raises LookupError for a commit
+    that it does not know: then everything is read, and what is known already is skipped by its id.
+    """
+
+    source_id: str
+    read: Callable[[str], str]
+
+    def fetch(self, spark: SparkSession, since: str = "") -> DataFrame:
+        try:
+            text = self.read(since)
+        except LookupError:
+            text = self.read("")
+        rows = commits(spark.createDataFrame([(text,)], "log string"))
+        return rows.withColumn("cursor", F.col("metadata")["sha"])
+
+
+@dataclass
+class Discussions:
+    """Pull requests or issues of a tracker as a source, read page by page in order of their last update.
+
+    ``page(k)`` returns the k-th page (from 1) of items (number, title, body, created_at, updated_at),
+    ``comments(number)`` those of one item (at, login, body); both may raise RateLimited, and a thread that
+    cannot be read (LookupError) does not lose its item.
+    """
+
+    source_id: str
+    page: Callable[[int], list[dict]]
+    comments: Callable[[int], list[dict]] = lambda number: []
+    kind: str = "issue"
+    per_page: int = 50
+    sleep: Callable[[float], None] = time.sleep
+
+    def fetch(self, spark: SparkSession, since: str = "") -> DataFrame:
+        items, said, k = [], [], 0
+        while True:
+            k += 1
+            batch = patiently(lambda at=k: self.page(at), sleep=self.sleep)
+            for x in batch:
+                updated = (x.get("updated_at") or "")[:10]
+                if since and updated and updated < since:
+                    continue
+                items.append((x["number"], x.get("title"), x.get("body"), x.get("created_at") or updated, updated))
+                try:
+                    found = patiently(lambda n=x["number"]: self.comments(n), sleep=self.sleep)
+                except LookupError:
+                    found = []
+                said += [(x["number"], f"{j:08d}", c.get("login") or "someone", c["body"]) for j, c in enumerate(found) if (c.get("body") or "").strip()]
+            if len(batch) < self.per_page:
+                break
+        rows = spark.createDataFrame(items, "number bigint, title string, body string, created_at string, updated_at string")
+        out = discussions(rows, spark.createDataFrame(said, "number bigint, at string, login string, body string"), self.kind).where("content <> ''")
+        return out.withColumn("ingest_seq", F.struct("updated_at", "ingest_seq")).withColumn("cursor", F.col("updated_at")).drop("updated_at")
+
+
 class _Increments(SimpleDataSourceStreamReader):
     def __init__(self, fetch: Callable[[str], list[dict]], fields: list[str]):
         self.fetch, self.fields = fetch, fields

@@ -94,5 +94,6 @@ def test_json_and_order(compiled, spark):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert first == again and len(first) == len(ids)
     assert c.by_id("facts", ids["adr"], 3).first()["predicate"] == "contains"
-    with pytest.raises(AttributeError):
+    assert c.by_id("claims", ids["adr"], 3).first()["predicate"] == "contains"
+    with pytest.raises(KeyError):
         c.by_id("nothing", "x", 0)

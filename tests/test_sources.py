@@ -10,6 +10,7 @@ from tessarion import cli, server
 from tessarion.operators import belief as B
 from tessarion.operators import extraction
 from tessarion.operators.memory import Memory, stats
+from tessarion.operators.store import SessionStore
 from tessarion.sources import files, records, sheets
 from tessarion.streaming import ingest
 
@@ -139,3 +140,58 @@ def test_entry(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.queries()["a02_support"](spark, "/root/testdata/sf0.001").where(F.col("support") <= 0).isEmpty()
+
+
+def test_sources_move_their_cursors(spark, tmp_path):
+    """A log whose cursor is gone is read again from the start; pages wait when they are told to; folders skip what is old."""
+    r, f = records.RECORD, records.FIELD
+    commit = lambda sha, at, body: f"{sha}{f}{at}T00:00:00Z{f}me{f}{body}{r}\n"
+    history = [commit("a1", "2024-01-02", "Use Redis for caching."), commit("b2", "2024-01-03", "Use Kafka for messaging.")]
+    asked = []
+
+    def read(since):
+        asked.append(since)
+        if since == "gone":
+            raise LookupError(since)
+        return "".join(history if not since else history[1:])
+
+    store = SessionStore(spark)
+    log = records.CommitLog("log", read)
+    run = ingest.ingest_source(spark, log, store)
+    assert (run.produced, run.skipped, run.cursor) == (2, 0, "b2")
+    history.append(commit("c3", "2024-01-04", "Use Valkey for caching."))
+    assert ingest.ingest_source(spark, log, store).skipped == 1 and asked == ["", "b2"]
+    ingest.set_cursor(spark, store, "log", "gone")
+    run = ingest.ingest_source(spark, log, store)
+    assert (run.produced, run.skipped) == (0, 3) and asked[2:] == ["gone", ""]
+    assert [(x["subject"], x["object"], x["is_current"]) for x in B.decisions(store.load()).where("subject = 'caching'").orderBy("object").collect()] == [("caching", "Redis", False), ("caching", "Valkey", True)]
+
+
+def test_pages(spark):
+    waits, tries = [], []
+    items = [{"number": k, "title": f"T{k}", "body": None, "created_at": "2024-01-01T0", "updated_at": f"2024-0{k}-01T0"} for k in (1, 2, 3)]
+
+    def page(k):
+        tries.append(k)
+        if len(tries) == 1:
+            raise records.RateLimited(7)
+        return items[2 * k - 2 : 2 * k]
+
+    def comments(number):
+        if number == 2:
+            raise LookupError(number)
+        return [{"login": "x", "body": f"c{number}"}, {"login": None, "body": " "}]
+
+    source = records.Discussions("issues", page, comments, per_page=2, sleep=waits.append)
+    rows = source.fetch(spark, "2024-02-01").orderBy("ingest_seq").collect()
+    assert [(x["content"], x["cursor"], x["recorded_at"]) for x in rows] == [("T2", "2024-02-01", "2024-01-01"), ("T3\n\nx: c3", "2024-03-01", "2024-01-01")]
+    assert waits == [7] and tries == [1, 1, 2]
+
+
+def test_folder_since(spark, tmp_path):
+    folder = scenario(tmp_path, OAUTH, with_manifest=False)
+    dates = spark.createDataFrame([("0-adr.md", "2020-01-01"), (f"{folder}/1-adr.md", "2021-01-01")], "path string, recorded_at string")
+    rows = files.MarkdownFolder(folder, dates).fetch(spark, "2020-06-01").orderBy("ingest_seq").collect()
+    assert [(r["source"][-8:], r["recorded_at"]) for r in rows] == [("1-adr.md", "2021-01-01"), ("quest.md", ""), ("ommit.md", "")]
+    both = files.self_scan(files.scan_folder(spark, folder), records.commits(spark.createDataFrame([(f"a1{records.FIELD}2024-01-02{records.FIELD}me{records.FIELD}Use Redis for caching.{records.RECORD}",)], "log string")))
+    assert [r["type"] for r in both.orderBy("ingest_seq").collect()][-1] == "commit" and both.count() == 5
