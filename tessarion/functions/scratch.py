@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -25,16 +27,31 @@ def shared_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_left: dict[str, tuple] = {}
+
+
+@atexit.register
+def clear() -> None:
+    """Remove what this application wrote, when it ends: no frame reads it any more."""
+    for path, fs in _left.values():
+        with contextlib.suppress(Exception):  # the session's process may be gone, and its folder with it
+            fs.delete(path, True)
+    _left.clear()
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage, survive lost executors and carry their size.
 
-    The written size lets Catalyst decide on broadcasts by ``autoBroadcastJoinThreshold``.
+    The written size lets Catalyst decide on broadcasts by ``autoBroadcastJoinThreshold``.  ``drop`` removes
+    what no later step reads; the rest goes when the application ends, since results read it until then.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        _left[self.root] = (path, path.getFileSystem(spark._jsc.hadoopConfiguration()))
         ship_package(spark)
 
     def path(self, tag: str) -> str:

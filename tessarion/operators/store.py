@@ -109,6 +109,6 @@ class SessionStore:
         new = {}
         for name, rows in delta.items():
             rows = self.tables[name].limit(0).unionByName(rows.select(*self.tables[name].columns))
-            found = missing(rows, self.tables[name], ALL_KEYS[name]).collect()
+            found = missing(rows, self.tables[name], ALL_KEYS[name]).select(*rows.columns).collect()
             new[name] = self.tables[name].unionByName(self.spark.createDataFrame(found, TABLES[name]))
         self.tables.update(new)

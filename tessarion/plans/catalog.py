@@ -165,7 +165,7 @@ def m03_ref_kinds(spark, sf):
 
 @query("SELECT (SELECT count(*) FROM fact) AS facts, (SELECT count(*) FROM ev) AS evidence, (SELECT count(*) FROM supersession) AS supersessions, (SELECT count(*) FROM conflict) AS conflicts")
 def s12_ingest_star(spark, sf):
-    m = P.build_star_memory(spark, sf)
+    m = P.ingested_star(spark, sf)
     count = lambda t: t.agg(F.count("*")).scalar()
     return spark.range(1).select(count(m.facts).alias("facts"), count(m.evidence).alias("evidence"), count(m.supersessions).alias("supersessions"), count(m.conflicts).alias("conflicts"))
 

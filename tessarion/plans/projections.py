@@ -103,15 +103,28 @@ def build_star_memory(spark: SparkSession, sf_dir: str) -> Memory:
     return Memory(scratch.table(entity_rows(spark, sf_dir), "entities"), facts, proof, scratch.table(edges, "supersessions"), scratch.table(conflicts, "conflicts"))
 
 
-_stored: dict[tuple[str, str], Memory] = {}
+_stored: dict[str, tuple[tuple, Memory]] = {}
+
+
+def _version(spark: SparkSession, sf_dir: str) -> tuple:
+    """The application, and the files of the tables that memory is made of, with their sizes and times."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(sf_dir).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [fs.getFileStatus(fs_path(f"{sf_dir}/{t}.parquet")) for t in ("customer", "lineitem", "nation", "orders", "part", "region")]
+    return (spark.sparkContext.applicationId, *((f.getLen(), f.getModificationTime()) for f in found))
+
+
+def ingested_star(spark: SparkSession, sf_dir: str) -> Memory:
+    """Ingest the star schema and keep it as the memory that the read path answers from."""
+    version = _version(spark, sf_dir)
+    _stored[sf_dir] = (version, build_star_memory(spark, sf_dir))
+    return _stored[sf_dir][1]
 
 
 def star_memory(spark: SparkSession, sf_dir: str) -> Memory:
-    """The stored memory of the star schema; ingested once an application, as a memory is, and read by every query."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _stored:
-        _stored[key] = build_star_memory(spark, sf_dir)
-    return _stored[key]
+    """The stored memory of the star schema; ingested once an application, unless its files have changed since."""
+    known = _stored.get(sf_dir)
+    return known[1] if known and known[0] == _version(spark, sf_dir) else ingested_star(spark, sf_dir)
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
