@@ -24,35 +24,38 @@ LEAST_SCORE = 0.3
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the network knows; it rejects ``und`` and what it cannot place."""
+    """Documents in a language that the network knows; it rejects ``und``, null texts among them, and what it cannot place."""
     return detect_languages(spark, docs, carry=True).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("doc.*")
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: its representative, the one with the least id.
 
-    A text stays under its own key, so ids that are null or repeat with different texts lose nothing.
+    A text stays under its own key, so ids that are null or repeat with different texts lose nothing; of
+    repeated rows one stays.  Null, empty and wordless texts are no copies of each other and stay.
     """
     scratch = Scratch(spark, "near-dup-stage")
-    stay = scratch.table(near_dup_classes(spark, docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("key").alias("__kept")).distinct(), "keep")
-    keyed = docs.withColumn("__key", F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)))
-    kept = keyed.join(stay, (F.col("__key") == F.col("__kept")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__key"]).select(*docs.columns)
+    stay = scratch.table(near_dup_classes(spark, docs).where("kept").select("doc_id", "key").distinct(), "keep")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)).alias("own"))
+    kept = rows.join(stay, (F.col("own") == F.col("key")) & F.col("id").eqNullSafe(F.col("doc_id")), "left_semi")
+    return kept.dropDuplicates(["id", "own"]).select("row.*")
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that a document with a smaller id holds; what loses all its words goes.
 
-    A text that loses nothing stays as it is, white space included.
+    A text that loses nothing stays as it is, white space included; so do null texts, and rows under a null id.
     """
-    cut = dedup_substrings(spark, docs.withColumn("__whole", F.col("text")))
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("others.__whole"))
-    out = cut.where((F.col("n_removed") < F.col("n_words")) | (F.col("n_removed") == 0)).select("doc_id", text.alias("text"), "others.*")
-    return out.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
+    whole = next(name for k in range(len(docs.columns) + 1) if (name := f"whole{k}") not in docs.columns)
+    cut = dedup_substrings(spark, docs.withColumn(whole, F.col("text")))
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col(f"others.{whole}"))
+    stay = cut.where((F.col("n_removed") < F.col("n_words")) | (F.col("n_removed") == 0))
+    rest = [F.col(f"others.`{c}`") for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    return stay.select("doc_id", text.alias("text"), F.char_length(text).cast("bigint").alias("n_chars"), *rest).select(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a word inside an occurrence of a benchmark window."""
+    """Documents without a word inside an occurrence of a benchmark window; null texts have none."""
     return clean_documents(spark, docs, read(spark, sf_dir, "benchmark"))
 
 

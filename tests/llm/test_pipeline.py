@@ -95,3 +95,19 @@ def test_near_dup_stage_with_odd_ids(spark):
     got = corpus_pipeline.near_dup_stage(spark, docs, SF).collect()
     want = [(1, text("a")), (1, text("b")), (None, text("c")), (None, text("d")), (3, text("e"))]
     assert sorted(map(str, got)) == sorted(str(r) for r in spark.createDataFrame(want, docs.schema).collect())
+
+
+def test_stages_with_odd_rows(spark):
+    """Empty tables, repeated rows, null texts and ids, and columns under names that the stages use themselves."""
+    text = lambda name: " ".join(f"{name}{k}" for k in range(60))
+    rows = [(1, text("a")), (1, text("a")), (None, text("b")), (2, None), (3, ""), (4, "x " + text("a"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "whole", "k", i) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, whole0 string, key string, id bigint")
+    plain = lambda df: sorted((str(r["doc_id"]), r["text"], r["whole0"], r["key"]) for r in df.collect())
+    folder = "/root/testdata/sf0.001"
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        assert stage(spark, docs, folder).columns == docs.columns, name
+        assert stage(spark, docs.limit(0), folder).count() == 0, name
+    want = lambda *kept: sorted((str(i), t, "whole", "k") for i, t in kept)
+    assert plain(corpus_pipeline.near_dup_stage(spark, docs, folder)) == want(rows[0], rows[2], rows[3], (3, ""))
+    assert plain(corpus_pipeline.substring_stage(spark, docs, folder)) == want(rows[0], rows[0], *rows[2:5], (4, "x"))
+    assert plain(corpus_pipeline.benchmark_stage(spark, docs, folder)) == want(*rows)

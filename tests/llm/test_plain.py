@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import math
 import random
 import time
 
@@ -91,6 +92,53 @@ def test_segments_hold_every_byte():
     assert sorted(x[valid].tolist()) == sorted(buf.tolist())
 
 
+def test_language_against_a_plain_network():
+    """Unit by unit, byte by byte, in plain Python."""
+    rng = np.random.default_rng(4)
+    net = language.Network.fresh(["a", "b", "c"], rng)
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    n = language.HIDDEN
+
+    def states(data, d):
+        h, out = [0.0] * n, []
+        for byte in data:
+            a = net.inputs[d][byte]
+            z = [sig(a[j] + sum(h[i] * net.gates[d][i][j] for i in range(n))) for j in range(n)]
+            r = [sig(a[n + j] + sum(h[i] * net.gates[d][i][n + j] for i in range(n))) for j in range(n)]
+            c = [math.tanh(a[2 * n + j] + sum(r[i] * h[i] * net.candidate[d][i][j] for i in range(n))) for j in range(n)]
+            h = [h[j] + z[j] * (c[j] - h[j]) for j in range(n)]
+            out.append(h)
+        return out
+
+    texts = ["hello wörld", "x" * 100 + " end", "", "é"]
+    best, score = language.classify(net, pa.array(texts))
+    for text, k, p in zip(texts, best, score, strict=True):
+        data, total = text.encode(), [0.0] * 3
+        for at in range(0, len(data), language.SPAN):
+            part = data[at : at + language.SPAN]
+            whole = part + bytes(language.SPAN - len(part))  # a short segment is filled up
+            there, back = states(whole, 0), states(whole[::-1], 1)[::-1]
+            for t in range(len(part)):
+                e = [math.exp(net.bias[j] + sum(there[t][i] * net.out[0][i][j] + back[t][i] * net.out[1][i][j] for i in range(n))) for j in range(3)]
+                total = [x + y / sum(e) for x, y in zip(total, e, strict=True)]
+        if not data:
+            assert k == -1
+        else:
+            assert k == total.index(max(total)) and abs(p - max(total) / len(data)) < 1e-3
+
+
+def test_votes_against_a_plain_loop():
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["alpha", "beta!", "gamma 12", "Delta\n"]) for _ in range(rng.randint(1, 40))) for _ in range(90)]
+    x = quality.features(pa.array(texts))
+    v = quality.fit(x[:60], np.array([k % 2 for k in range(60)]))
+    z = v.project(x)
+    for k, got in enumerate(v.score(x)):
+        sims = sorted(((float(sum(a * b for a, b in zip(z[k].tolist(), w.tolist(), strict=True))), y) for w, y in zip(v.vectors, v.labels, strict=True)), reverse=True)
+        weights = [(max(s, 0) ** 4 + 1e-6, y) for s, y in sims[: quality.NEIGHBOURS]]
+        assert abs(got - sum(w * y for w, y in weights) / sum(w for w, _ in weights)) < 0.02
+
+
 def test_tables_needed():
     assert vectors.tables_needed(0.9, 10, 0.995) > vectors.tables_needed(0.9, 6, 0.995) >= 1
 
