@@ -12,8 +12,9 @@ shards, so automata are built of what can repeat only:
 3. What is left are different segments under one anchor.  They are the reference shards: in order of
    document id each streams through a suffix automaton of the ones before, and where the matching
    statistic reaches the threshold the maximal span goes; then it joins the automaton.
-4. An anchor with more than ``AUTOMATON`` different segments is not gathered into one automaton: its
-   windows meet by grouping on their hashes, which is exact as well and spreads over all tasks.
+4. An anchor with more than ``AUTOMATON`` different segments is too common for one automaton: its segments
+   elect again, by longer grams (``GRAMS``), and 2 to 4 are done with the parts.  A gram of a whole window
+   has one segment only, so this ends.
 """
 
 from __future__ import annotations
@@ -30,25 +31,25 @@ from .common import Scratch
 from .words import buffers, mix, runs, slices, word_hashes
 
 WINDOW = 50
-GRAM = 8
-AUTOMATON = 2048
+GRAMS = (8, 24, WINDOW)
+AUTOMATON = 2048  # different segments of one automaton at most
 PER_SHARD = 16384  # segments that one task's automata hold, about
 
 
-def electors(hashes: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+def electors(hashes: np.ndarray, off: np.ndarray, gram: int = GRAMS[0]) -> tuple[np.ndarray, ...]:
     """Segments of all documents: document, first word (from the document's), words, anchor, content hash."""
     none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     n_words = np.diff(off)
     if not (n_words >= WINDOW).any():
         return none
     n = len(hashes)
-    at = np.arange(n - GRAM + 1)
-    grams = runs(hashes, at, np.full(len(at), GRAM))
+    at = np.arange(n - gram + 1)
+    grams = runs(hashes, at, np.full(len(at), gram))
     # order by hash; among equal grams of a window the last one: position counts down in the low bits
     low = np.uint64((1 << 24) - 1)
     here = (at % (1 << 24)).astype(np.uint64)
     best = (mix(grams, 5) & ~low) | (low - here)
-    wide, span = 1, WINDOW - GRAM + 1
+    wide, span = 1, WINDOW - gram + 1
     while wide * 2 <= span:
         best = np.minimum(best[:-wide], best[wide:])
         wide *= 2
@@ -99,6 +100,29 @@ def segment_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
+def elect_again(gram: int):
+    """A function for mapInArrow: passages with their words -> the parts that elect one gram each, as passages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = b.column("words")
+            hashes = words.flatten().to_numpy().view(np.uint64)
+            off = np.append(0, np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))).astype(np.int64)
+            doc, start, length, anchor, content = electors(hashes, off, gram)
+            if len(doc):
+                rows = pa.array(doc)
+                base = b.column("base").to_numpy()[doc] + start
+                at = np.repeat(off[doc] + start - (np.cumsum(length) - length), length) + np.arange(length.sum())
+                parts = pa.ListArray.from_arrays(np.append(0, np.cumsum(length)).astype(np.int32), hashes.view(np.int64)[at])
+                kept = [b.column(c).take(rows) for c in ("top_anchor", "top_content", "first")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(base, pa.int32()), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), parts], ["top_anchor", "top_content", "first", "base", "anchor", "content", "words"])
+
+    return run
+
+
+PASSAGES = "top_anchor bigint, top_content bigint, first bigint, base int, anchor bigint, content bigint, words array<bigint>"
+
+
 class Automaton:
     """Suffix automaton over word hashes, extended text by text."""
 
@@ -187,6 +211,33 @@ def match_shard(t):
     return pa.table({"anchor": pa.array(a, pa.int64()), "content": pa.array(c, pa.int64()), "from": pa.array(s, pa.int32()), "n": pa.array(n, pa.int32())})
 
 
+def decide(passages: DataFrame, scratch: Scratch, repeated: bool) -> tuple[DataFrame, DataFrame]:
+    """(spans, passages that are too common) of passages under anchors.
+
+    ``repeated``: some have the same words.  Of these the one with the smallest document stays to be matched,
+    and the others go as a whole.  Spans are of the first passages' words: top_anchor, top_content, from, n.
+    """
+    versions = passages.select("anchor", "content", "first", "words")
+    if repeated:
+        versions = versions.groupBy("anchor", "content").agg(F.min_by("words", "first").alias("words"), F.min("first").alias("first"))
+    sizes = versions.groupBy("anchor").agg(F.count("*").alias("n"))
+    versions = scratch.table(versions.join(sizes, "anchor"), "passages")
+    total = versions.count()
+    shards = max(1, total // PER_SHARD, scratch.spark.sparkContext.defaultParallelism * 4)
+    few = versions.where((F.col("n") > 1) & (F.col("n") <= AUTOMATON)).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    spans = scratch.table(few.groupBy("shard").applyInArrow(match_shard, "anchor bigint, content bigint, from int, n int"), "spans")
+    key = ["anchor", "content"]
+    at = (F.col("base") + F.col("from")).alias("from")
+    if not repeated:
+        found = passages.select("top_anchor", "top_content", "base", *key).join(spans, key).select("top_anchor", "top_content", at, "n")
+        return found, passages.join(sizes.where(F.col("n") > AUTOMATON).select("anchor"), "anchor", "left_semi")
+    least = versions.select(*key, F.col("first").alias("least"), (F.col("n") > AUTOMATON).alias("common"))
+    placed = passages.join(least, key)
+    whole = placed.where("first > least").select("top_anchor", "top_content", F.col("base").alias("from"), F.size("words").alias("n"))
+    matched = placed.where("first = least").select("top_anchor", "top_content", "base", *key).join(spans, key).select("top_anchor", "top_content", at, "n")
+    return whole.unionByName(matched), placed.where("first = least AND common").select(*passages.columns)
+
+
 def remove_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds n_words, n_removed and the kept words joined by single spaces to doc_id, text_key, text, spans."""
     for b in slices(batches):
@@ -232,23 +283,19 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame) -> DataFrame:
     later = repeated.join(versions.select("anchor", "content", F.col("doc_id").alias("first")), ["anchor", "content"]).where("doc_id > first").select("doc_id", "text_key", "start", "len")
 
     # automata of the segments that differ under one anchor
-    many = versions.where("differ").groupBy("anchor").agg(F.count("*").alias("n"))
-    many = scratch.table(many, "crowds")
     wanted = versions.where("differ").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "len", "anchor", "content")).alias("wanted"))
     passages = keyed.select("doc_id", "text_key", "text").join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
     passages = passages.select("doc_id", "text", "wanted").mapInArrow(segment_words, "anchor bigint, content bigint, first bigint, words array<bigint>")
-    passages = scratch.table(passages.join(many, "anchor"), "passages")
-    n = passages.count()
-    few = passages.where(F.col("n") <= AUTOMATON).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(max(1, n // PER_SHARD, spark.sparkContext.defaultParallelism * 4))))
-    spans = few.groupBy("shard").applyInArrow(match_shard, "anchor bigint, content bigint, from int, n int")
-    # crowded anchors: windows by hash
-    window = F.explode(F.sequence(F.lit(0), F.size("words") - WINDOW))
-    crowd = passages.where(F.col("n") > AUTOMATON).select("anchor", "content", "first", "words", window.alias("from"))
-    crowd = crowd.select("anchor", "content", "first", "from", F.xxhash64(F.slice("words", F.col("from") + 1, WINDOW)).alias("h1"), F.hash(F.slice("words", F.col("from") + 1, WINDOW)).alias("h2"))
-    crowd = scratch.table(crowd, "crowd")
-    earliest = scratch.table(crowd.groupBy("h1", "h2").agg(F.min("first").alias("earliest")), "earliest")
-    by_hash = crowd.join(earliest, ["h1", "h2"]).where("first > earliest").select("anchor", "content", "from", F.lit(WINDOW).alias("n"))
-    spans = scratch.table(spans.unionByName(by_hash), "spans")
+    passages = passages.select(F.col("anchor").alias("top_anchor"), F.col("content").alias("top_content"), "first", F.lit(0).alias("base"), "anchor", "content", "words")
+    spans = None
+    for k, gram in enumerate((*GRAMS[1:], None)):
+        passages = scratch.table(passages, "wanted")
+        found, common = decide(passages, scratch, repeated=k > 0)
+        spans = found if spans is None else spans.unionByName(found)
+        if gram is None or common.isEmpty():
+            break
+        passages = common.mapInArrow(elect_again(gram), PASSAGES)
+    spans = scratch.table(spans.select(F.col("top_anchor").alias("anchor"), F.col("top_content").alias("content"), "from", "n"), "spans")
 
     firsts = versions.select("anchor", "content", "doc_id")
     partly = (
@@ -257,7 +304,7 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame) -> DataFrame:
         .select("doc_id", "text_key", (F.col("start") + F.col("from")).alias("start"), F.col("n").alias("len"))
     )
     cuts = scratch.table(later.unionByName(partly), "cuts")
-    scratch.drop(repeated, passages)
+    scratch.drop(repeated)
     per_doc = cuts.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "len")).alias("spans"))
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"), (F.struct(*others) if others else F.struct(F.lit(0).alias("none"))).alias("others"))
