@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.commits import Commits
-from .common import Scratch
+from .common import WORD, Scratch
 from .words import slices
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -130,32 +130,32 @@ def deletes(docs: DataFrame) -> DataFrame:
     return docs.select(F.lit(-1).alias("sign"), "text", "source", "lang")
 
 
-def revisions(docs: DataFrame, text: Column) -> DataFrame:
-    """Both sides of documents whose text becomes another one."""
-    changed = docs.withColumn("text", F.explode(F.array(F.struct(F.lit(-1).alias("sign"), "text"), F.struct(F.lit(1).alias("sign"), text.alias("text")))))
-    return changed.select("text.sign", "text.text", "source", "lang")
+def revisions(docs: DataFrame, **changed: Column) -> DataFrame:
+    """Both sides of documents some of whose columns become others."""
+    columns = ["text", "source", "lang"]
+    before, after = (F.struct(F.lit(sign).alias("sign"), *[(new.get(c, F.col(c))).alias(c) for c in columns]) for sign, new in ((-1, {}), (1, changed)))
+    return docs.select(F.explode(F.array(before, after)).alias("r")).select("r.*")
 
 
 def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str = TOKENIZER, newer: str = NEWER) -> DataFrame:
     """Rollups of ``docs`` (text, source, lang) after a life of changes, by two versions of the tokenizer.
 
-    The first ledger takes all documents in, then revises those whose white space is not single spaces
-    between words, then deletes those without a word; every batch is committed again, as a driver that
-    starts anew would, and changes nothing.  The newer tokenizer takes in what is left.  Null texts are documents
-    without tokens, until they are deleted; null sources and languages are groups of their own; repeated rows
-    count each; an empty table gives an empty result; other columns are ignored.
+    The first ledger takes all documents in, then revises those without a language, which are ``und`` from
+    then on, then deletes those without a word; every batch is committed again, as a driver that starts anew
+    would, and changes nothing.  The newer tokenizer takes in what is left.  Null texts are documents without
+    tokens, until they are deleted; a null source is a group of its own; repeated rows count each; an empty
+    table gives an empty result; other columns are ignored.
     """
     folder = Scratch(spark, "tokens").path("ledger")
     docs = docs.select("text", "source", "lang")
-    tidy = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
-    loose, blank = F.coalesce(tidy != F.col("text"), F.lit(False)), F.coalesce(tidy, F.lit("")) == ""
-    now = docs.withColumn("text", tidy)
-    batches = {"load": inserts(docs), "tidy": revisions(docs.where(loose), tidy), "drop blank": deletes(now.where(blank))}
+    found = F.lit("und")
+    now = docs.withColumn("lang", F.coalesce("lang", found))
+    blank = ~F.coalesce(F.rlike("text", F.lit(WORD)), F.lit(False))
+    batches = {"load": inserts(docs), "languages": revisions(docs.where("lang IS NULL"), lang=found), "blank": deletes(now.where(blank))}
     ledger = TokenLedger(spark, folder, tokenizer)
     for batch_id, changes in batches.items():
         ledger.commit(batch_id, changes)
         ledger.commit(batch_id, changes)
-    later = TokenLedger(spark, folder, newer)
-    later.commit("load", inserts(now.where(~blank)))
+    TokenLedger(spark, folder, newer).commit("load", inserts(now.where(~blank)))
     ledger.compact()
     return rollups(ledger.totals())

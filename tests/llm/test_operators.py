@@ -164,7 +164,7 @@ def brute_substrings(rows):
 
 @pytest.mark.parametrize("most", [2048, 1])
 def test_substrings(docs, most, monkeypatch):
-    monkeypatch.setattr(substrings, "AUTOMATON", most)  # 1: every anchor with differing segments goes by hashes
+    monkeypatch.setattr(substrings, "AUTOMATON", most)  # 1: every anchor with differing segments elects again
     want = brute_substrings([(r["doc_id"], r["text"]) for r in docs.collect()])
     got = dedup_substrings(docs.sparkSession, docs).collect()
     assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in got) == sorted(want)
@@ -334,9 +334,9 @@ def test_token_counts(docs):
     for path in (token_counts.TOKENIZER, token_counts.NEWER):
         name, enc = path.split("/")[-1].split(".")[0], token_counts.encoding(path, open(path, "rb").read())
         for r in docs.collect():
-            text = " ".join(words(r["text"]))
-            if text:
-                for key in ((3, name, r["source"], r["lang"]), (2, name, r["source"], None), (1, name, None, None)):
+            text = r["text"]
+            if words(text):
+                for key in ((3, name, r["source"], r["lang"] or "und"), (2, name, r["source"], None), (1, name, None, None)):
                     for k, n in enumerate((1, len(text), len(enc.encode_ordinary(text)))):
                         want[key, k] += n
     got = {((r["level"], r["tokenizer"], r["source"], r["lang"]), k): r[m] for r in count_tokens(docs.sparkSession, docs).collect() for k, m in enumerate(token_counts.MEASURES)}
