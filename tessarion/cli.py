@@ -89,7 +89,7 @@ def main(argv: list[str] | None = None, out=sys.stdout) -> int:
             return 1
         own = F.col("class_id") == class_id
         if a.verb == "ask":
-            print(prose.rendered(m).where(own).first()["text"], file=out)
+            print(prose.rendered(m, spark.createDataFrame([(class_id,)], "class_id string")).first()["text"], file=out)
         elif a.verb == "explain":
             print(prose.told(m).where(own).first()["prose"], file=out)
         elif a.verb == "timeline":

@@ -284,3 +284,16 @@ def test_reports(corpora):
     assert said.startswith("checked 2 relationship(s): 1 violation(s), 1 with no applicable rule\n  VIOLATION  order service uses RabbitMQ is forbidden") and said.endswith(reports.NO_RULE)
     done = apps.run_pilot(m, spark.createDataFrame([("asynchronous messaging", "Kafka")], "ask string, expect string"))
     assert "accuracy answered   100%" in reports.pilot_text(done, apps.pilot_summary(done))
+
+
+def test_pages_in_pieces(corpora, monkeypatch, spark):
+    """A page is the same whether it is cut into pieces and streamed or joined as a whole; every question gets its own."""
+    m, _, _ = corpora["queue"]
+    names = spark.createDataFrame([("Kafka",), ("kafka",), ("Kafka",), ("RabbitMQ",), ("nothing such",)], "name string")
+    found = lambda: (sorted(map(tuple, prose.rendered(m).collect())), sorted(map(tuple, prose.answers(m, names).collect())))
+    whole = found()
+    monkeypatch.setattr(prose, "PIECE", 64)
+    monkeypatch.setattr(prose, "LARGE", 300)
+    assert found() == whole
+    assert [n for n, _, _ in whole[1]] == ["Kafka", "Kafka", "RabbitMQ", "kafka", "nothing such"]
+    assert any(t.count("\n\n") and len(t) > 300 for _, t in whole[0])
