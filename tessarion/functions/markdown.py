@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocabulary as V
-from .phrases import strip
+from .phrases import let, strip
 
 LINE_ENDS = r"\r\n|[\n\r\u000B\u000C\u001C-\u001E\u0085\u2028\u2029]"
 #: A fence line opens and the next one closes; one that is never closed takes the rest.
@@ -28,16 +28,19 @@ def blocks(text: Column) -> Column:
 
 def expand_bullets(block: Column) -> Column:
     """The items of a list, each with its continuation lines; a block without bullets as it is."""
-    lines = F.filter(F.split(block, "\n", -1), lambda x: F.rlike(x, F.lit(r"\S")))
-    first = F.array_position(F.transform(lines, lambda x: F.rlike(x, F.lit(BULLET))), True)
 
-    def place(line: Column, i: Column) -> Column:
-        bullet = F.rlike(line, F.lit(BULLET))
-        text = strip(F.when(bullet, F.regexp_replace(line, BULLET, "")).otherwise(line))
-        return F.concat(F.when(bullet | (i + 1 < first), F.lit(ITEM)).otherwise(F.lit(" ")), text)
+    def expanded(lines: Column, first: Column) -> Column:
+        def place(line: Column, i: Column) -> Column:
+            bullet = F.rlike(line, F.lit(BULLET))
+            text = strip(F.when(bullet, F.regexp_replace(line, BULLET, "")).otherwise(line))
+            return F.concat(F.when(bullet | (i + 1 < first), F.lit(ITEM)).otherwise(F.lit(" ")), text)
+
+        items = F.split(F.array_join(F.transform(lines, place), ""), ITEM, -1)
+        return F.when(first > 0, F.filter(F.transform(items, strip), lambda x: x != "")).otherwise(F.array(block))
 
-    items = F.split(F.array_join(F.transform(lines, place), ""), ITEM, -1)
-    return F.when(first > 0, F.filter(F.transform(items, strip), lambda x: x != "")).otherwise(F.array(block))
+    lines = F.filter(F.split(block, "\n", -1), lambda x: F.rlike(x, F.lit(r"\S")))
+    first = lambda found: F.array_position(F.transform(found, lambda x: F.rlike(x, F.lit(BULLET))), True)
+    return let(lines, lambda found: let(first(found), lambda at: expanded(found, at)))
 
 
 def chunks(content: Column) -> Column:
@@ -54,15 +57,16 @@ def merge_labels(parts: Column) -> Column:
         merges = F.endswith(part, F.lit(":"))
         return F.concat(done, F.when(F.endswith(done, F.lit("m")), "c").when(merges, "m").otherwise("n"))
 
-    marks = F.aggregate(parts, F.lit(""), mark)
+    def merged(parts: Column, marks: Column) -> Column:
+        def take(part: Column, i: Column) -> Column:
+            after = F.get(parts, i + 1)
+            sign = F.substr(marks, i + 1, F.lit(1))
+            text = F.when((sign == "m") & after.isNotNull(), F.concat(part, F.lit("\n"), after)).otherwise(part)
+            return F.struct(sign.alias("sign"), text.alias("text"))
 
-    def take(part: Column, i: Column) -> Column:
-        after = F.get(parts, i + 1)
-        sign = F.substr(marks, i + 1, F.lit(1))
-        text = F.when((sign == "m") & after.isNotNull(), F.concat(part, F.lit("\n"), after)).otherwise(part)
-        return F.struct(sign.alias("sign"), text.alias("text"))
+        return F.transform(F.filter(F.transform(parts, take), lambda x: x["sign"] != "c"), lambda x: x["text"])
 
-    return F.transform(F.filter(F.transform(parts, take), lambda x: x["sign"] != "c"), lambda x: x["text"])
+    return let(parts, lambda found: let(F.aggregate(found, F.lit(""), mark), lambda marks: merged(found, marks)))
 
 
 def observation(text: Column) -> Column:

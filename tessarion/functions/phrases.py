@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vocabulary as V
@@ -11,6 +13,19 @@ from . import vocabulary as V
 ANY = "(?iU)"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def each(rows: DataFrame, kept: Sequence[str | Column], array: Column, pos: str, name: str) -> DataFrame:
+    """A row for each element of an array, with its place.
+
+    For the inner explode Spark asks in a filter whether the array has elements, which works it out again.
+    """
+    return rows.select(*kept, F.posexplode_outer(array).alias(pos, name)).where(F.col(pos).isNotNull())
+
+
 def lits(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -89,7 +104,7 @@ def sentences(text: Column) -> Column:
 def clauses(sentence: Column) -> Column:
     """Coordinated clauses of a sentence; the sentence itself if nothing is left."""
     parts = F.filter(F.transform(F.split(sentence, f"{ANY}{V.CLAUSE_END}", -1), strip), lambda p: p != "")
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(sentence))
+    return let(parts, lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(sentence)))
 
 
 def is_negated(sentence: Column) -> Column:

@@ -97,3 +97,17 @@ def test_json_and_order(compiled, spark):
     assert c.by_id("claims", ids["adr"], 3).first()["predicate"] == "contains"
     with pytest.raises(KeyError):
         c.by_id("nothing", "x", 0)
+
+
+def test_work_is_dealt_out_and_done_once(spark):
+    """Artifacts of one file are read by several tasks; no filter works out again what it only asks about."""
+    from pyspark.sql import functions as F
+
+    arts = spark.range(200).select(F.col("id").cast("string").alias("artifact_id"), F.concat(F.lit("The order service uses Kafka "), "id", F.lit(".")).alias("content")).coalesce(1)
+    obs = compiler.observe(arts)
+    assert obs.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    segs = compiler.segment(obs)
+    for rows in (obs, compiler.relational_matches(segs), compiler.vocabulary_entities(segs)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.split("\n") if "Filter" in line and ("regexp_extract_all" in line or "content#" in line)]
+    assert compiler.relational_matches(segs).count() == 200
