@@ -111,3 +111,28 @@ def test_work_is_dealt_out_and_done_once(spark):
         plan = rows._jdf.queryExecution().optimizedPlan().toString()
         assert not [line for line in plan.split("\n") if "Filter" in line and ("regexp_extract_all" in line or "content#" in line)]
     assert compiler.relational_matches(segs).count() == 200
+
+
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [
+        ("Use Redis\u2003for session storage.", {("session storage", "selected", "Redis")}),
+        ("The caf\u00e9 gateway U\u017fES the session store.", {("caf\u00e9 gateway", "uses", "session store")}),
+        ("Use of old things, the cart service\tuses PostgreSQL.", {("cart service", "uses", "PostgreSQL")}),
+    ],
+)
+def test_cheap_looks_lose_no_match(spark, text, wanted):
+    assert wanted <= matches(spark, text)
+
+
+def test_grouping_by_artifact_shuffles_once(spark):
+    arts = artifacts(spark, [("adr", "", GOLDEN["adr"][0])])
+    found = compiler.compile_artifacts(arts)
+    plan = found.claims._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 2  # segments and matches: whatever is grouped by artifact stays there
+
+
+def test_arrays_are_worked_out_before_the_explode(spark):
+    seg = spark.createDataFrame([("a", 0, "Use Redis for sessions.")], "artifact_id string, seg_ord int, text string")
+    plan = compiler.clause_rows(seg)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("posexplode(each_array" in line for line in plan.splitlines() if "Generate " in line)
