@@ -5,11 +5,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.texts import OAUTH, QUEUE, artifacts
+from tessarion.functions.scratch import Scratch
 from tessarion.operators import apps, compiler, linker, prose, reports
 from tessarion.operators import belief as B
 from tessarion.operators import memory as M
 from tessarion.operators.memory import Memory
 from tessarion.operators.store import FolderStore, SessionStore
+from tessarion.plans import projections as P
 
 
 @pytest.fixture(scope="module")
@@ -297,3 +299,35 @@ def test_pages_in_pieces(corpora, monkeypatch, spark):
     assert found() == whole
     assert [n for n, _, _ in whole[1]] == ["Kafka", "Kafka", "RabbitMQ", "kafka", "nothing such"]
     assert any(t.count("\n\n") and len(t) > 300 for _, t in whole[0])
+
+
+def test_prose_in_slices(corpora, monkeypatch):
+    """Prose is the same whether memory is taken at once or by slices, and whether a history is one piece or many."""
+    m, _, _ = corpora["oauth"]
+    found = lambda: sorted(map(tuple, prose.told(m).collect()))
+    whole = found()
+    monkeypatch.setattr(prose, "stored_size", lambda df: 2 * prose.SLICE)
+    monkeypatch.setattr(prose, "PIECE", 64)
+    monkeypatch.setattr(prose, "LARGE", 300)
+    assert found() == whole and any(p.count("This replaced an earlier position") and len(p) > 300 for _, _, p in whole)
+
+
+def test_star_is_stored_once(spark):
+    """Facts and evidence of the star schema are two sides of one stored table, each row once."""
+    sf = "/root/testdata/sf0.001"
+    m, rows = P.build_star_memory(spark, sf), P.asserted(spark, sf)
+    assert sorted(m.facts.inputFiles()) == sorted(m.evidence.inputFiles())
+    same = lambda a, b: sorted(map(repr, a.collect())) == sorted(map(repr, b.select(*a.columns).collect()))
+    assert same(m.facts, P.facts_of(rows)) and same(m.evidence, P.evidence_of(rows))
+
+
+def test_uses_that_no_declaration_is_about(spark, monkeypatch):
+    """Only uses that a declaration names are dealt out for the rules; edges are those of all of them, in slices too."""
+    rows = [("a", "uses", "x", 1), ("b", "uses", "y", 2), ("x", "replaced_by", "z", 3), ("a", "selected", "x", 4), ("a", "selected", "y", 5), ("y", "depends_on", "x", 6)]
+    told = spark.createDataFrame([(f"{s}-{p}-{o}", s, p, o, f"art{n}", "adr", f"2024-01-0{n}", n) for s, p, o, n in rows], "fact_id string, subject_ref string, predicate string, object_ref string, artifact_id string, artifact_type string, recorded_at string, ingest_seq long")
+    seen = linker.sightings(told, None, Scratch(spark, "t"))
+    assert {r["fact_id"] for r in seen.collect()} == {"a-uses-x", "x-replaced_by-z", "a-selected-x", "a-selected-y", "y-depends_on-x"}
+    edges = lambda: sorted((r["superseding"], r["superseded"]) for r in linker.replay(spark, told)[0].collect())
+    assert edges() == [("a-selected-y", "a-selected-x"), ("x-replaced_by-z", "a-uses-x")]
+    monkeypatch.setattr(linker, "stored_size", lambda df: 2 * linker.SLICE)
+    assert edges() == [("a-selected-y", "a-selected-x"), ("x-replaced_by-z", "a-uses-x")]
