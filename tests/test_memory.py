@@ -1,5 +1,6 @@
 import itertools
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -331,3 +332,15 @@ def test_uses_that_no_declaration_is_about(spark, monkeypatch):
     assert edges() == [("a-selected-y", "a-selected-x"), ("x-replaced_by-z", "a-uses-x")]
     monkeypatch.setattr(linker, "stored_size", lambda df: 2 * linker.SLICE)
     assert edges() == [("a-selected-y", "a-selected-x"), ("x-replaced_by-z", "a-uses-x")]
+
+
+def test_pages_in_slices(corpora, monkeypatch, spark):
+    """Pages are the same by slices of memory, and nothing but their pieces is left on disk as large as they are."""
+    m, _, _ = corpora["queue"]
+    whole = sorted(map(tuple, prose.rendered(m).collect()))
+    monkeypatch.setattr(prose, "stored_size", lambda df: 2 * prose.SLICE)
+    scratch = Scratch(spark, "t", lean=True)
+    pieces = prose.page_pieces(m, scratch)
+    assert sorted(map(tuple, prose.joined_pages(pieces).collect())) == whole
+    left = [p.name for p in Path(scratch.root.removeprefix("file:")).iterdir()]
+    assert any(n.endswith("pieces") for n in left) and not any(n.endswith(("blocks", "walked", "conflicts")) for n in left)
