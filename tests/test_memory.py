@@ -12,6 +12,7 @@ from tessarion.operators import belief as B
 from tessarion.operators import memory as M
 from tessarion.operators.memory import Memory
 from tessarion.operators.store import FolderStore, SessionStore
+from tessarion.plans import catalog, text_queries  # noqa: F401  (the second registers its queries with the first)
 from tessarion.plans import projections as P
 
 
@@ -187,6 +188,36 @@ def test_further_rules(spark):
     assert [r["superseded"] for r in edges.collect()] == ["cache-selected-Redis"] and [tuple(r) for r in conflicts.collect()] == [("cache-selected-Redis", "n", "t", "a7")]
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_retired_without_edges(spark, seed):
+    """What is retired is known without the edges, onto memory too."""
+    rows = corpus(seed)
+    gone = one_at_a_time(rows)[2]
+    retired = lambda rows, m=None: {r["fact_id"] for r in linker.retired(spark, spark.createDataFrame(rows, ROWS), m).collect()}
+    assert retired(rows) == gone
+    late = {a for _, a in sorted({(r[7], r[5]) for r in rows})[30:]}
+    before = ingest_in(spark, rows, [30])
+    assert retired([r for r in rows if r[5] in late], before) | {r["superseded"] for r in before.supersessions.collect()} == gone
+
+
+def test_selections_of_one_date_store_no_pairs(spark, monkeypatch, tmp_path):
+    """400 records choose for one service on one date: c23_linked_texts stores rows in their number, not its square."""
+    parts = spark.range(400).select((F.col("id") * 25).alias("p_partkey"), F.lit("grey bolt").alias("p_name"), F.lit("PROMO TIN").alias("p_type"), F.lit(50).alias("p_size"))
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/nation.parquet").write.parquet(f"{tmp_path}/nation.parquet")
+    stored, sliced = [], Scratch.sliced
+
+    def counted(self, make, n, tag):
+        out = sliced(self, make, n, tag)
+        stored.append((out.count(), tag))
+        return out
+
+    monkeypatch.setattr(Scratch, "sliced", counted)
+    said = catalog.QUERIES["c23_linked_texts"](spark, str(tmp_path)).collect()
+    assert len(said) == 800 and all(r["is_current"] for r in said)
+    assert max(stored)[0] <= 10 * 400, max(stored)
+
+
 def test_folder_store(spark, tmp_path):
     """A delta without its marker is not there; compaction changes no table."""
     rows = corpus(3, 20)
