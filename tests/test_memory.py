@@ -333,6 +333,22 @@ def test_pages_in_pieces(corpora, monkeypatch, spark):
     assert any(t.count("\n\n") and len(t) > 300 for _, t in whole[0])
 
 
+def test_large_pages_are_compressed_as_they_go(corpora, monkeypatch, spark, tmp_path):
+    """Large pages are not written by a codec that holds each of them twice more; a codec that was chosen stays."""
+    m, _, _ = corpora["queue"]
+    whole = sorted(map(tuple, prose.rendered(m).collect()))
+    monkeypatch.setattr(prose, "LARGE", 300)
+    codec = "spark.sql.parquet.compression.codec"
+    try:
+        for chosen, used in (("snappy", "zstd"), ("gzip", "gz")):
+            spark.conf.set(codec, chosen)
+            prose.rendered(m).write.parquet(out := f"{tmp_path}/{chosen}")
+            assert sorted(map(tuple, spark.read.parquet(out).collect())) == whole
+            assert all(p.name.endswith(f".{used}.parquet") for p in Path(out).glob("part-*"))
+    finally:
+        spark.conf.unset(codec)
+
+
 def test_prose_in_slices(corpora, monkeypatch):
     """Prose is the same whether memory is taken at once or by slices, and whether a history is one piece or many."""
     m, _, _ = corpora["oauth"]
